@@ -131,7 +131,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, keep
             rank = batch.column("rank").to_numpy() + batch.column("before").to_numpy()
             _, first, each, bins, offset = known[np.searchsorted(starts, length << 48 | rank, "right") - 1].T
             bin_, slot = np.divmod(rank - first, each)
-            columns = [batch.column(c) for c in names[:5]] + [pa.array(bins + bin_), pa.array(offset + slot * length)] + [batch.column("ids")] * keep_ids
+            columns = [batch.column(c) for c in names[:5]] + [pa.array(bins + bin_), pa.array(offset + slot * length)] + [batch.column(c) for c in ["ids"] * keep_ids]
             yield pa.record_batch(columns, names + ["ids"] * keep_ids)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
