@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, packing, simhash, token_counts
+from . import embedding_dedup, language_id, packing, simhash, token_counts, toxicity
 from .common import read
 
 
@@ -20,6 +20,18 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def remainder(n: int) -> Column:
+    """crc32 of doc_id as text, mod n; a null doc_id counts as 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n, F.lit(0))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels").where(remainder(3) != 1))
+    found = toxicity.score(docs, model, threshold=0.7)
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -29,11 +41,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(remainder(4) != 2))
+    return language_id.identify(docs, model).withColumn("held_out", remainder(4) == 2).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_packing": op2_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {}
