@@ -7,6 +7,7 @@ white-space words in a row. Each distinct word needs the library once."""
 from __future__ import annotations
 
 import re
+import string
 
 import numpy as np
 
@@ -14,6 +15,7 @@ import numpy as np
 SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 WIDE = re.compile("[̀-\U0010ffff]")
+MARKS = string.punctuation
 #: Words of more characters are passed to the library each time, so that memory stays bounded.
 LONGEST_KEPT = 64
 
@@ -30,52 +32,58 @@ def words(text: str) -> list[str]:
 
 
 class Coder:
-    """The ids of words; those of up to `room` words are remembered."""
+    """The ids of words. Words met lately are remembered in two generations of
+    about `room` each; longer ones than LONGEST_KEPT only while they are used."""
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 600_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.room, self.known = room, {}
+        self.room, self.young, self.old = room, {}, {}
 
     def encode(self, new: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
 
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Remember the new words; those too long, or all when room is out, are only returned."""
-        found = {w: np.asarray(ids, "<u4").tobytes() for w, ids in zip(new, self.encode(new), strict=True)}
-        if len(self.known) + len(found) > self.room:
-            self.known.clear()
-        self.known.update((w, b) for w, b in found.items() if len(w) <= LONGEST_KEPT)
-        return found
+    def learn(self, new: list[str]) -> None:
+        """Put new words among the young. The library cuts marks off letters, so
+        a word of letters and ASCII marks behind them is made of the two."""
+        young, old = self.young, self.old
+        parts, unknown = {}, {}
+        for w in new:
+            core = w.rstrip(MARKS)
+            if len(core) == len(w) or not core.isalpha():
+                unknown[w] = None
+            else:
+                parts[w] = core, w[len(core) :]
+                for x in parts[w]:
+                    if (b := old.get(x)) is not None:
+                        young[x] = b
+                    elif x not in young:
+                        unknown[x] = None
+        unknown = list(unknown)
+        young.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(unknown, self.encode(unknown), strict=True))
+        for w, (core, marks) in parts.items():
+            young[w] = young[core] + young[marks]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, little-endian unsigned 32-bit."""
         split = [words(t) for t in texts]
-        known = self.known
-        new = {w for s in split for w in s if w not in known}
-        found = self.learn(list(new)) if new else {}
-        if known and not new:
-            return [b"".join([known[w] for w in s]) for s in split]
-        at = _Two(self.known, found, self)
-        return [b"".join([at[w] for w in s]) for s in split]
-
-
-class _Two(dict):
-    """Words just learnt, then those remembered, then, after room ran out, the library again."""
-
-    def __init__(self, known: dict, found: dict, coder: Coder):
-        super().__init__(found)
-        self.old, self.coder = known, coder
-
-    def __missing__(self, w: str) -> bytes:
-        b = self.old.get(w)
-        if b is None:
-            b = np.asarray(self.coder.encode([w])[0], "<u4").tobytes()
-        self[w] = b
-        return b
+        here = set().union(*split)
+        missing = here.difference(self.young)
+        if missing:
+            again = {w: self.old[w] for w in missing if w in self.old}
+            self.young.update(again)
+            self.learn([w for w in missing if w not in again])
+        found = [b"".join(map(self.young.__getitem__, s)) for s in split]
+        if len(self.young) > self.room:
+            self.young, self.old = {}, self.young
+        for w in [w for w in missing if len(w) > LONGEST_KEPT]:
+            for part in (w, w.rstrip(MARKS), w[len(w.rstrip(MARKS)) :]):
+                self.young.pop(part, None)
+                self.old.pop(part, None)
+        return found
 
 
 def slices(texts: list, most: int = 2_000_000):
