@@ -15,12 +15,12 @@ from __future__ import annotations
 
 import re
 import string
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +33,7 @@ WIDEST = 20
 #: Words that a worker remembers.
 ROOM = 400_000
 EDGES = string.punctuation + "¡¿«»“”„‘’…–—·•"
+NO_LETTER = re.compile(r"[\W_]+")
 #: Three words in a row of one or two characters; then, runs of three or more single letters.
 SHORT = re.compile(r"(?:^|\s)\S\S?\s+\S\S?\s+\S\S?(?:\s|$)")
 SPELT = re.compile(r"(?<!\S)(?:[^\W\d_][.,*_-]?\s+){2,}[^\W\d_](?!\w)")
@@ -45,11 +46,13 @@ TELLING = 4.0
 
 def units(text: str | None) -> set[str]:
     """The distinct words of a text in lower case without punctuation at their
-    ends, their stems, and runs of three or more single letters as one word."""
+    ends, and without any, their stems, and runs of three or more single letters
+    as one word."""
     text = (text or "").lower()
     found = {w.strip(EDGES) for w in set(text.split())}
+    found.update([NO_LETTER.sub("", w) for w in found if not w.isalnum()])
     if SHORT.search(text):
-        found.update(re.sub(r"[\W_]", "", m) for m in SPELT.findall(text))
+        found.update(NO_LETTER.sub("", m) for m in SPELT.findall(text))
     if max(map(len, found), default=0) > WIDEST:
         for w in [w for w in found if len(w) > WIDEST]:
             found.remove(w)
@@ -178,51 +181,73 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(self.slope * np.maximum(z, FLOOR) + self.shift, -30, 30)))).tolist()
 
 
-def _without_copies(bags: list[set], alike: float = 0.6) -> list[int]:
-    """Numbers of the bags that resemble none before them, by 32 minima of
-    hashes: copies of one text must not make its chance words look telling."""
-    vocabulary = {w: i for i, w in enumerate(sorted(set().union(*bags)))}
-    hashes = np.random.default_rng(5).integers(0, 1 << 32, (len(vocabulary) + 1, 32), np.uint32)
-    minima = np.array([hashes[[vocabulary[w] for w in b] or [-1]].min(axis=0) for b in bags])
-    kept: list[int] = []
-    for i in range(len(bags)):
-        if not kept or (minima[kept] == minima[i]).mean(axis=1).max() < alike:
-            kept.append(i)
-    return kept
+class Bags:
+    """The distinct words of some texts, as numbers of a vocabulary."""
 
+    def __init__(self, column: pa.ListArray):
+        coded = column.flatten().dictionary_encode()
+        self.words = coded.dictionary.to_pylist()
+        self.codes = coded.indices.to_numpy()
+        self.ends = np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
 
-def _gapped(word: str) -> list[str]:
-    """A word with one character put in at each place in turn, or a mark at all."""
-    return [w[:WIDEST] for w in [*(word[:i] + "x*e.h-"[i % 6] + word[i:] for i in range(1, len(word))), ".".join(word), "-".join(word)]]
+    def of(self, i: int) -> np.ndarray:
+        return self.codes[self.starts[i] : self.ends[i]]
 
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """In how many of these texts each word occurs."""
+        out = np.zeros(len(self.words), np.int64)
+        for i in rows:
+            out[self.of(i)] += 1
+        return out
 
-def _landmarks(toxic: list[set], clean: list[set], most: int) -> tuple[list[str], dict[str, float]]:
-    """Words that tell toxic texts from clean ones, then the clean words that
-    are most like them; and how telling each word is."""
-    there, elsewhere = Counter(w for s in toxic for w in s), Counter(w for s in clean for w in s)
-    p, n = len(toxic), max(1, len(clean))
-    telling = {}
-    for w, k in there.items():
-        if k > 2 and k / p > 4 * elsewhere[w] / n:
-            q = (k + elsewhere[w]) / (p + n)
-            telling[w] = (k / p - elsewhere[w] / n) / np.sqrt(q * (1 - q) * (1 / p + 1 / n))
-    first = sorted((w for w in telling if telling[w] > TELLING), key=lambda w: (-telling[w], w))[: 4 * most]
-    chosen: list[str] = []
-    if first:
-        like = Kernel(first)(first)
+    def highest(self, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Each of these texts' highest value over its words."""
+        return np.array([max(FLOOR, float(values[self.of(i)].max(initial=FLOOR))) for i in rows])
+
+    def apart(self, alike: float = 0.6) -> np.ndarray:
+        """The texts that resemble none before them, by 32 minima of hashes:
+        copies of one text must not make its chance words look telling."""
+        hashes = np.random.default_rng(5).integers(0, 1 << 32, (len(self.words) + 1, 32), np.uint32)
+        minima = np.empty((len(self.ends), 32), np.uint32)
         kept: list[int] = []
-        for i in range(len(first)):
-            if len(kept) < most * 2 // 3 and (not kept or like[i, kept].max() < 0.8):
+        for i in range(len(self.ends)):
+            own = hashes[self.of(i) if len(self.of(i)) else [-1]].min(axis=0)
+            if not kept or (minima[: len(kept)] == own).mean(axis=1).max() < alike:
+                minima[len(kept)] = own
                 kept.append(i)
-        chosen = [first[i] for i in kept]
-        others = sorted((w for w in elsewhere if w not in there or w not in telling), key=lambda w: (-elsewhere[w], w))[:20_000]
-        if others:
-            near = Kernel(chosen)(others).max(axis=1)
-            chosen += [others[i] for i in np.argsort(-near, kind="stable")[: most - len(chosen)]]
+        return np.array(kept, int)
+
+
+def _landmarks(words: list[str], there: np.ndarray, elsewhere: np.ndarray, p: int, n: int, most: int) -> tuple[list[str], np.ndarray]:
+    """Words that tell toxic texts from clean ones, then the clean words that
+    are most like them; and how telling each word is, in standard errors.
+    there and elsewhere: how many of the p toxic and n clean texts have it."""
+    q = (there + elsewhere) / (p + n)
+    telling = (there / p - elsewhere / n) / np.sqrt(np.maximum(q * (1 - q), 1e-12) * (1 / p + 1 / n))
+    telling[(there < 3) | (there / p <= 4 * elsewhere / n)] = 0
+    first = sorted(np.flatnonzero(telling > TELLING), key=lambda i: (-telling[i], words[i]))[: 4 * most]
+    if not first:
+        return [], telling
+    like = Kernel([words[i] for i in first])([words[i] for i in first])
+    kept: list[int] = []
+    for i in range(len(first)):
+        if len(kept) < most * 2 // 3 and (not kept or like[i, kept].max() < 0.8):
+            kept.append(i)
+    chosen = [words[first[i]] for i in kept]
+    others = sorted(np.flatnonzero((elsewhere > 0) & (telling == 0)), key=lambda i: (-elsewhere[i], words[i]))[:20_000]
+    if others:
+        near = Kernel(chosen)([words[i] for i in others]).max(axis=1)
+        chosen += [words[others[i]] for i in np.argsort(-near, kind="stable")[: most - len(chosen)]]
     return chosen, telling
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, landmarks: int = 96) -> Model:
+def _gapped(word: str) -> list[str]:
+    """A word with one character put in at each place in turn, or a mark at all."""
+    return [w[:WIDEST] for w in [*(word[:i] + "x*e.h-"[i % 6] + word[i:] for i in range(1, len(word))), ".".join(word), "-".join(word)]]
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, landmarks: int = 96) -> Model:
     """Learn from the texts of docs (doc_id, text) whose doc_id labels (doc_id,
     toxic 0 or 1) name: of each label about `most` labels, chosen by a hash of
     the doc_id, take part, so what is gathered is bounded. Nulls teach nothing.
@@ -240,36 +265,33 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, landmarks: int = 9
             yield pa.record_batch([batch.column(1), pa.array([sorted(units(t.as_py())) for t in batch.column(0)], pa.list_(pa.string()))], ["toxic", "units"])
 
     got = chosen.mapInArrow(split, "toxic int, units array<string>").toArrow()
-    labels = np.array(got["toxic"].to_pylist(), int)
-    bags = [set(u) for u in got["units"].to_pylist()]
-    if not bags:
+    if not got.num_rows:
         return Model([], 0.0)
-    apart = _without_copies(bags)
-    bags, labels = [bags[i] for i in apart], labels[apart]
-    toxic, clean = [b for b, t in zip(bags, labels, strict=True) if t], [b for b, t in zip(bags, labels, strict=True) if not t]
+    labels, bags = got["toxic"].to_numpy(), Bags(got["units"].combine_chunks())
+    del got
     base = counts.get(1, 0) / max(1, sum(counts.values()))
-    chosen_words, telling = _landmarks(toxic, clean, landmarks) if toxic and clean else ([], {})
+    rows = bags.apart()
+    toxic, clean = rows[labels[rows] == 1], rows[labels[rows] == 0]
+    if not len(toxic) or not len(clean):
+        return Model([], base)
+    elsewhere = bags.counts(clean)
+    chosen_words, telling = _landmarks(bags.words, bags.counts(toxic), elsewhere, len(toxic), len(clean), landmarks)
     model = Model(chosen_words, base)
     if not chosen_words:
         return model
-    vocabulary = sorted(set().union(*bags))
-    place = {w: i for i, w in enumerate(vocabulary)}
-    x = model.features(vocabulary)
-    witnesses = Counter(place[w] for b in toxic for w in b if telling.get(w, 0) > TELLING)
-    against = np.array(sorted({place[w] for b in clean for w in b} - set(witnesses)), int)
-    against = against[np.argsort(-np.abs(x[against]).sum(axis=1), kind="stable")[:30_000]]  # the others are far from all landmarks
-    seen = np.sqrt(np.array(list(witnesses.values()), float))
-    gapped = [_gapped(vocabulary[i]) for i in witnesses]
-    at = np.concatenate([np.array(list(witnesses), int), np.arange(len(x), len(x) + sum(map(len, gapped))), against])
-    y = np.array([1] * (len(at) - len(against)) + [-1] * len(against))
+    witnesses = np.flatnonzero(telling > TELLING)
+    seen = np.sqrt(bags.counts(toxic)[witnesses])
+    gapped = [_gapped(bags.words[i]) for i in witnesses]
+    against = np.flatnonzero((elsewhere > 0) & (telling <= TELLING))
+    near = np.concatenate([model.kernel([bags.words[i] for i in against[k : k + 20_000]]).max(axis=1) for k in range(0, len(against), 20_000)])
+    against = against[np.argsort(-near, kind="stable")[:30_000]]  # the others are far from all landmarks
+    x = model.features([bags.words[i] for i in witnesses] + [w for g in gapped for w in g] + [bags.words[i] for i in against])
+    y = np.array([1] * (len(x) - len(against)) + [-1] * len(against))
     weight = np.concatenate([seen, np.repeat(seen / 40, [len(g) for g in gapped]), np.ones(len(against))])
-    x = np.vstack([x, model.features([w for g in gapped for w in g])])
-    for _ in range(2):  # words of clean texts that come near weigh more each time
-        model.learn(x[at], y, weight)
-        margin = x @ model.w + model.bias
-        weight = np.where((y < 0) & (margin[at] > -0.5), weight * 5, weight)
-    best = np.array([max((margin[place[w]] for w in b), default=FLOOR) for b in bags])
-    model.slope, model.shift = svm.calibrate(np.maximum(best, FLOOR), labels.astype(float))
+    for _ in range(2):  # words of clean texts that come near weigh more the second time
+        model.learn(x, y, weight)
+        weight = np.where((y < 0) & (x @ model.w + model.bias > -0.5), weight * 5, weight)
+    model.slope, model.shift = svm.calibrate(bags.highest(model.margins(bags.words), rows), labels[rows].astype(float))
     return model
 
 
