@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import re
 import string
-
-import numpy as np
+import sys
+from array import array
 
 #: Unicode white space. str.split() also splits at U+001C to U+001F, which the library keeps.
 SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -31,11 +31,19 @@ def words(text: str) -> list[str]:
     return text.split()
 
 
+def little(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
+
+
 class Coder:
     """The ids of words. Words met lately are remembered in two generations of
     about `room` each; longer ones than LONGEST_KEPT only while they are used."""
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 900_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -63,27 +71,31 @@ class Coder:
                     elif x not in young:
                         unknown[x] = None
         unknown = list(unknown)
-        young.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(unknown, self.encode(unknown), strict=True))
+        young.update((w, little(ids)) for w, ids in zip(unknown, self.encode(unknown), strict=True))
         for w, (core, marks) in parts.items():
             young[w] = young[core] + young[marks]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, little-endian unsigned 32-bit."""
         split = [words(t) for t in texts]
-        here = set().union(*split)
-        missing = here.difference(self.young)
+        found = [list(map(self.young.get, s)) for s in split]
+        gaps = [[i for i, b in enumerate(f) if b is None] if None in f else () for f in found]
+        missing = {s[i] for s, g in zip(split, gaps, strict=True) for i in g}
         if missing:
             again = {w: self.old[w] for w in missing if w in self.old}
             self.young.update(again)
             self.learn([w for w in missing if w not in again])
-        found = [b"".join(map(self.young.__getitem__, s)) for s in split]
+            for s, f, g in zip(split, found, gaps, strict=True):
+                for i in g:
+                    f[i] = self.young[s[i]]
+        out = [b"".join(f) for f in found]
         if len(self.young) > self.room:
             self.young, self.old = {}, self.young
         for w in [w for w in missing if len(w) > LONGEST_KEPT]:
             for part in (w, w.rstrip(MARKS), w[len(w.rstrip(MARKS)) :]):
                 self.young.pop(part, None)
                 self.old.pop(part, None)
-        return found
+        return out
 
 
 def slices(texts: list, most: int = 2_000_000):
