@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, packing, simhash, token_counts, toxicity
+from . import embedding_dedup, language_id, mixing, packing, pii, simhash, token_counts, top_k, toxicity
 from .common import read
 
 
@@ -41,6 +41,24 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda x: x["kind"] != pii.LEARNT)
+    of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    return found.select("doc_id", *[of(kind) for kind in pii.KINDS], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return top_k.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), block=16, period=1024)
+    return found.select("doc_id", "source", "mix_slot", "mix_rank")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs.where(remainder(4) != 2))
@@ -53,6 +71,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
+    "op7_pii": op7_pii,
+    "op8_top_k": op8_top_k,
+    "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
 }
 
