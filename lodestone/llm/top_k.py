@@ -1,11 +1,11 @@
 """Exact top-k inner products by the three-phase uniform threshold.
 
 A vector's dimensions are cut into `lists` groups; a candidate's score is the
-sum of its partial scores in the groups, and each group ranks all candidates
-by its partial score. Phase 1 gathers the heads of these lists with their
-whole scores; the k-th best is a lower bound of the answer, and from it a
-uniform cutoff per list follows: who beats the bound must reach the cutoff in
-at least one list. Phase 2 collects all entries that do and could still beat
+sum of its partial scores in the groups, and each group is a list of all
+candidates by partial score. Phase 1 gathers each task's best scores; the k-th
+best of them all is a lower bound of the answer, and from it a uniform cutoff
+per list follows: who beats the bound must reach the cutoff in at least one
+list. Phase 2 collects all entries that do and could still beat
 the bound; phase 3 computes the whole scores of what is left."""
 
 from __future__ import annotations
@@ -100,33 +100,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
 
         def heads(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
             qid, qv = q.value
-            best = np.full((m, len(qid), 0), 0, np.int64)  # partial scores
-            who, whole = best.copy(), best.astype(float)
-            least = np.full((m, len(qid)), np.iinfo(np.int64).max)
+            best, who = np.zeros((len(qid), 0)), np.zeros((len(qid), 0), np.int64)
+            least = np.full((len(qid), m), np.iinfo(np.int64).max)
             step = max(16, 2_000_000 // (m * len(qid)))
             for batch in batches:
                 v, cid = rows_of(batch.column("vec")), batch.column("cid").to_numpy()
                 for a in range(0, len(v), step):
                     part = np.stack([_scores(qv[:, p], v[a : a + step][:, p]) for p in parts])
-                    total = np.broadcast_to(part.astype(float).sum(axis=0), part.shape)
-                    least = np.minimum(least, part.min(axis=2))
-                    p, w, t = (np.concatenate(x, axis=2) for x in ((best, part), (who, np.broadcast_to(cid[a : a + step], part.shape)), (whole, total)))
-                    top = np.argpartition(-p, min(most, p.shape[2]) - 1, axis=2)[:, :, :most]
-                    best, who, whole = (np.take_along_axis(x, top, axis=2) for x in (p, w, t))
-            n = best.shape[2]
+                    total = part.sum(axis=0, dtype=float)
+                    least = np.minimum(least, part.min(axis=2).T)
+                    t, w = np.hstack([best, total]), np.hstack([who, np.broadcast_to(cid[a : a + step], total.shape)])
+                    top = np.argpartition(-t, min(most, t.shape[1]) - 1, axis=1)[:, :most]
+                    best, who = np.take_along_axis(t, top, axis=1), np.take_along_axis(w, top, axis=1)
+            n = best.shape[1]
             if n:
-                lists_ = np.repeat(np.arange(m, dtype=np.int32), len(qid) * n)
-                yield pa.record_batch([pa.array(x) for x in (np.tile(np.repeat(qid, n), m), lists_, who.ravel(), best.ravel(), whole.ravel(), np.repeat(least.ravel(), n))], ["qid", "list", "cid", "partial", "whole", "least"])
+                lows = pa.ListArray.from_arrays(pa.array(np.arange(0, len(qid) * m * n + 1, m), pa.int32()), pa.array(np.repeat(least, n, axis=0).ravel()))
+                yield pa.record_batch([pa.array(np.repeat(qid, n)), pa.array(who.ravel()), pa.array(best.ravel()), lows], ["qid", "cid", "whole", "least"])
 
-        local = save(classes.select("cid", "vec").mapInArrow(heads, "qid long, list int, cid long, partial long, whole double, least long"), "heads")
-        order = Window.partitionBy("qid", "list").orderBy(F.desc("partial"), "cid")
-        top = local.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("qid", "cid", "whole").distinct()
-        top = top.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("whole"), "cid"))).where(F.col("n") <= most)
+        local = save(classes.select("cid", "vec").mapInArrow(heads, "qid long, cid long, whole double, least array<long>"), "heads")
+        top = local.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("whole"), "cid"))).where(F.col("n") <= most)
         bound = top.groupBy("qid").agg(F.min("whole").alias("bound"), F.count("*").alias("n")).where(F.col("n") == most)
-        low = local.groupBy("qid", "list").agg(F.min("least").alias("least"))
-        low = low.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("list", "least"))).alias("least"))
+        low = local.groupBy("qid").agg(F.array(*[F.min(F.col("least")[i]) for i in range(m)]).alias("least"))
         # one row for each query of the block
-        safe = {r["qid"]: (r["bound"], [x["least"] for x in r["least"]]) for r in low.join(bound, "qid", "left").collect()}
+        safe = {r["qid"]: (r["bound"], r["least"]) for r in low.join(bound, "qid", "left").collect()}
         qids = table["qid"].to_pylist()
         lowest = np.array([safe[i][1] if i in safe else [0] * m for i in qids], float).reshape(len(qids), m)
         bounds = np.array([safe[i][0] if i in safe and safe[i][0] is not None else -np.inf for i in qids], float)
