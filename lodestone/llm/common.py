@@ -50,6 +50,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to spark.sql.shuffle.partitions tasks, for steps that make
+    many rows of each; small tables are otherwise read by one or two."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def starts_of(columns: list[np.ndarray]) -> np.ndarray:
     """First row of each run of equal values."""
     n = len(columns[0])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, in_blocks, save, whole_groups
+from .common import components, in_blocks, save, spread, whole_groups
 from .vectors import matrix, packed, rows_by_length
 
 
@@ -114,7 +114,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, hashes: int = 10
     vectors = save(embeddings.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(unpack, "vec_id long, vec binary"), "vectors")
     classes = vectors.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
     classes = save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    keyed = classes.select("cid", "n", "vec").mapInArrow(buckets, "key long, cid long, n long, unit binary, sigs binary")
+    keyed = spread(classes.select("cid", "n", "vec")).mapInArrow(buckets, "key long, cid long, n long, unit binary, sigs binary")
     groups = in_blocks(keyed, "key", F.col("cid"), limit).repartition(*order).sortWithinPartitions(*order)
     found = save(groups.mapInArrow(verify, "cid long, root long, links long"), "links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))

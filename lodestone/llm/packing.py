@@ -83,7 +83,7 @@ def tokenise(docs: DataFrame, path: str, capacity: int, end_id: int = 0, keep_id
         chunk, ranks, end = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), np.uint32(end_id).tobytes()
         for batch in batches:
             ids_, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in slices([None] * len(ids_) if not len(texts) else texts.to_pylist()):
+            for a, b in slices(texts):
                 out: list[list] = [[] for _ in range(8)]
                 part = [t or "" for t in texts.slice(a, b - a).to_pylist()]
                 for doc_id, ids in zip(ids_[a:b], coder(path).ids(part), strict=True):

@@ -31,7 +31,7 @@ from .words import slices
 #: Words of more characters are scored in pieces of so many, each starting half as many later.
 WIDEST = 20
 #: Words that a worker remembers.
-ROOM = 400_000
+ROOM = 200_000
 EDGES = string.punctuation + "¡¿«»“”„‘’…–—·•"
 NO_LETTER = re.compile(r"[\W_]+")
 #: Three words in a row of one or two characters; then, runs of three or more single letters.
@@ -307,10 +307,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = known.value  # one per worker, with the words it remembers
         for batch in batches:
-            texts, out = batch.column(at).to_pylist(), []
-            for a, b in slices(texts, 4_000_000):
-                out += own.score(texts[a:b])
-            values = np.array(out, np.float64)
-            yield pa.record_batch([*batch.columns, pa.array(values), pa.array((values >= threshold).astype(np.int32))], [*names, "toxic_score", "toxic_predicted"])
+            for a, b in slices(batch.column(at), 4_000_000):
+                part = batch.slice(a, b - a)
+                values = np.array(own.score(part.column(at).to_pylist()), np.float64)
+                yield pa.record_batch([*part.columns, pa.array(values), pa.array((values >= threshold).astype(np.int32))], [*names, "toxic_score", "toxic_predicted"])
 
     return docs.mapInArrow(rate, schema)

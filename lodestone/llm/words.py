@@ -11,6 +11,10 @@ import string
 import sys
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Unicode white space. str.split() also splits at U+001C to U+001F, which the library keeps.
 SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -98,16 +102,15 @@ class Coder:
         return out
 
 
-def slices(texts: list, most: int = 2_000_000):
-    """Runs of texts of about `most` characters, so that a batch of long texts is worked off in parts."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+def slices(texts: pa.Array, most: int = 2_000_000):
+    """Runs of texts of about `most` bytes, so that a batch of long texts is worked off in parts."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(sizes):
+        end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right"))
+        end = max(end, at + 1)
+        yield at, end
+        at = end
 
 
 _CODERS: dict[str, Coder] = {}
