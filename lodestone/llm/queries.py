@@ -21,7 +21,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.remove_repeats(read(spark, sf_dir, "documents"), span=200)
+    found = repeats.remove_repeats(read(spark, sf_dir, "documents"), span=200, keep=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

@@ -13,9 +13,11 @@ Documents come in batches. A batch's suffixes are sorted and merged into an
 array, which is merge-scanned against the levels that exist for suffixes with
 common grams, then becomes a level itself; levels of equal size merge, so each
 suffix is rewritten a logarithmic number of times. Suffixes that met another
-are looked at closely: where whole stretches are equal all their windows are,
-else the windows of the stretch are compared one by one, by hashes of 64 bits
-within equal grams and offsets (over 100 bits together)."""
+are looked at closely: where whole stretches are equal all their windows are.
+Of other stretches the windows are compared one by one, by hashes of 64 bits
+within equal grams and offsets (over 100 bits together), after those are left
+out that can't be equal: a window holds the gram and half of what else it
+covers either before or behind it, so that half must occur twice."""
 
 from __future__ import annotations
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, save, starts_of
+from .common import discard, release, save, starts_of
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -61,12 +63,14 @@ class Hashes:
 
 
 def sampled(data: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(place, first, last, key, stretch) of each sampled suffix: the windows
-    from first to last sample it; key has its first 4 bytes and a fingerprint
-    of its gram, stretch is a hash of the bytes from first to the end of last."""
+    """(place, first, last, key, stretch, halves) of each sampled suffix: the
+    windows from first to last sample it; key has its first 4 bytes and a
+    fingerprint of its gram, stretch is a hash of the bytes from first to the
+    end of last, halves has 32 bits each of the gram with what comes before it
+    and with what follows."""
     n = len(data) - span + 1
     if n < 1:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.int64),) * 2
+        return (np.zeros(0, np.int64),) * 6
     hashes = Hashes(data)
     at = np.arange(len(data) - gram + 1)
     grams = _mix((hashes.sums[gram:] - hashes.sums[: len(at)]) * Hashes.down[: len(at)])
@@ -84,7 +88,11 @@ def sampled(data: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
     lead = sum(data[place + i].astype(np.uint64) << np.uint64(8 * (3 - i)) for i in range(4)) << np.uint64(32)
     key = (lead | grams[place] & np.uint64(0xFFFFFFFF)).view(np.int64)
     stretch = _mix(hashes.of(first, last + span) ^ (place - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)).view(np.int64)
-    return place, first, last, key, stretch
+    half = (span - gram) // 2
+    left = _mix(hashes.of(np.maximum(place - half, 0), place + gram))
+    right = _mix(hashes.of(place, np.minimum(place + gram + half, len(data))))
+    halves = (left & np.uint64(0xFFFFFFFF00000000) | right >> np.uint64(32)).view(np.int64)
+    return place, first, last, key, stretch, halves
 
 
 def parts(data: bytes, span: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -97,19 +105,19 @@ def parts(data: bytes, span: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _suffixes(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """doc_id, n_bytes, sha256 of each text and its suffixes: firsts, lasts, places, keys, stretches."""
-    names = ["doc_id", "n_bytes", "sha256", "firsts", "lasts", "places", "keys", "stretches"]
+    """doc_id, n_bytes, sha256 of each text and its suffixes: firsts, lasts, places, keys, stretches, halves."""
+    names = ["doc_id", "n_bytes", "sha256", "firsts", "lasts", "places", "keys", "stretches", "halves"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, counts = [], [], [0]
-            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
             for text in batch.column(1):
                 data = (text.as_py() or "").encode()
                 found = 0
                 for at, part in parts(data, span):
-                    place, first, last, key, stretch = sampled(part, span, gram)
-                    for column, x in zip(columns, (first + at, last + at, place + at, key, stretch), strict=True):
+                    place, first, last, key, stretch, halves = sampled(part, span, gram)
+                    for column, x in zip(columns, (first + at, last + at, place + at, key, stretch, halves), strict=True):
                         column.append(x)
                     found += len(first)
                 counts.append(counts[-1] + found)
@@ -160,10 +168,10 @@ class Family:
         return found.groupBy("key", "stretch").agg(F.sum("n").alias("n"))
 
 
-def remove_repeats(docs: DataFrame, span: int = 200, gram: int = 32, batches: int = 3) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 200, gram: int = 64, batches: int = 3, keep: bool = True) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans,
     kept_sha256, spans (array of start and end of the maximal runs removed) and
-    kept (the bytes left where any were removed, else null).
+    kept (the bytes left where any were removed, else null; null without keep).
 
     Every UTF-8 byte covered by a string of `span` bytes that starts elsewhere
     too, in this document or another, is removed; strings are judged on the
@@ -175,55 +183,93 @@ def remove_repeats(docs: DataFrame, span: int = 200, gram: int = 32, batches: in
     family, suffixes = Family(), None
     for k in range(batches):
         made = save(_suffixes(docs.where(batch == k), span, gram), "suffixes")
+        release(docs.sparkSession)
         family.add(made.select(F.explode(F.arrays_zip("keys", "stretches")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.stretches").alias("stretch")))
         suffixes = made if suffixes is None else suffixes.unionByName(made)
     common = save(family.common(), "common")
+    for _, level in family.levels:
+        discard(level)
+    spark = docs.sparkSession
+    release(spark)
     # a stretch of its own may still share windows with one that is whole elsewhere
     lone = common.groupBy("key").agg(F.min("n").alias("least"))
     common = common.join(lone, "key").select("key", "stretch", (F.col("n") > 1).alias("whole"), (F.col("least") == 1).alias("look"))
     # what is removed follows from the text alone, so copies share it: a text is known by half its digest
     half = F.unhex(F.substring("sha256", 1, 32)).alias("id")
-    zipped = F.explode(F.arrays_zip("firsts", "lasts", "places", "keys", "stretches")).alias("x")
-    each = suffixes.select(half, zipped).select("id", F.col("x.firsts").alias("first"), F.col("x.lasts").alias("last"), F.col("x.places").alias("place"), F.col("x.keys").alias("key"), F.col("x.stretches").alias("stretch"))
-    marked = each.join(common, ["key", "stretch"]).select("id", "first", "last", "place", "key", "whole", "look").distinct()
-    # at most as many as the text has suffixes
-    marked = marked.groupBy("id").agg(F.collect_list(F.struct("first", "last", "place", "key", "whole", "look")).alias("marks"))
+    zipped = F.explode(F.arrays_zip("firsts", "lasts", "places", "keys", "stretches", "halves")).alias("x")
+    each = suffixes.select(half, zipped).select("id", *[F.col(f"x.{many}").alias(one) for many, one in (("firsts", "first"), ("lasts", "last"), ("places", "place"), ("keys", "key"), ("stretches", "stretch"), ("halves", "halves"))])
+    met = save(each.join(common, ["key", "stretch"]).distinct(), "met")
+    release(spark)
+    # of equal stretches one stands for all when windows are compared
+    shown = met.where("whole and look").groupBy("key", "stretch").agg(F.min(F.struct("id", "first", "last", "place", "halves")).alias("x")).select("x.*", "key", "stretch")
+    close = met.where("not whole").select(*shown.columns).unionByName(shown)
+    sides = close.select("id", "first", "key", F.posexplode(F.array(F.shiftright("halves", 32), F.col("halves").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("side", "hash"))
+    again = sides.groupBy("key", "side", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    wanted = sides.join(again, ["key", "side", "hash"], "left_semi").groupBy("id", "first", "key").agg(F.max((F.col("side") == 0).cast("int")).alias("left"), F.max((F.col("side") == 1).cast("int")).alias("right"))
+    looks = close.select("id", "first", "last", "place", "key").join(wanted, ["id", "first", "key"])
+    zero = F.lit(0)
+    marks = met.where("whole").select("id", "first", "last", "place", "key", zero.alias("left"), zero.alias("right"), F.lit(True).alias("whole"))
+    marks = marks.unionByName(looks.withColumn("whole", F.lit(False)))
+    # at most twice as many as the text has suffixes
+    marked = marks.groupBy("id").agg(F.collect_list(F.struct("first", "last", "place", "key", "left", "right", "whole")).alias("marks"))
     low = suffixes.select(half, "doc_id").groupBy("id").agg(F.min("doc_id").alias("low"))
     marked = save(marked.join(low, "id"), "marked")
+    discard(met)
+    release(spark)
     texts = docs.select(F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("id"), "doc_id", "text")
-    close = texts.join(marked, (texts.id == marked.id) & texts.doc_id.eqNullSafe(marked.low)).select(texts.id, "text", "marks")
-    close = save(close, "close")
-    windows = close.select("id", "text", F.filter("marks", lambda m: m["look"]).alias("marks")).where(F.size("marks") > 0).mapInArrow(_windows(span), "id binary, at long, key long, hash long")
+    near = texts.join(marked, (texts.id == marked.id) & texts.doc_id.eqNullSafe(marked.low)).select(texts.id, "text", "marks")
+    near = save(near, "near")
+    release(spark)
+    windows = near.select("id", "text", F.filter("marks", lambda m: ~m["whole"]).alias("marks")).where(F.size("marks") > 0).mapInArrow(_windows(span, gram), "id binary, at long, key long, hash long")
     windows = save(windows, "windows")
     twice = windows.groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").select("key", "hash")
     single = windows.join(twice, ["key", "hash"], "left_semi").groupBy("id").agg(F.collect_set("at").alias("starts"))
-    ends = close.withColumn("marks", F.filter("marks", lambda m: m["whole"])).join(single, "id", "left").mapInArrow(_cut(span), CUT)
+    ends = near.withColumn("marks", F.filter("marks", lambda m: m["whole"])).join(save(single, "starts"), "id", "left").mapInArrow(_cut(span, keep), CUT)
     ends = save(ends.dropDuplicates(["id"]), "cut")
+    discard(windows)
+    discard(near)
+    release(spark)
     rest = suffixes.select(half, "doc_id", "n_bytes", "sha256").join(ends, "id", "left")
-    zero = F.lit(0).cast("long")
-    return rest.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "spans", "kept")
+    none = F.lit(0).cast("long")
+    return rest.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "spans", "kept")
 
 
 CUT = "id binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def _windows(span: int):
-    """Each window of the suffixes to look at: where it starts and its hash."""
+def _windows(span: int, gram: int):
+    """The windows of the suffixes to look at whose half occurs twice: where each starts and its hash."""
+    half = (span - gram) // 2
 
     def of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for own, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = np.frombuffer(text.as_py().encode(), np.uint8)
-                for m in marks:
-                    at = np.arange(m["first"], m["last"] + 1)
-                    h = Hashes(data[m["first"] : m["last"] + span]).of(at - m["first"], at - m["first"] + span)
-                    h = _mix(h ^ (m["place"] - at).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)).view(np.int64)
-                    yield pa.record_batch([pa.array([own] * len(at), pa.binary()), pa.array(at), pa.array(np.full(len(at), m["key"])), pa.array(h)], ["id", "at", "key", "hash"])
+            out: list[list] = [[] for _ in range(4)]
+            size = 0
+            for own, text, marks in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                place, key, left, right, first, last = (marks.values.field(c).to_numpy(zero_copy_only=False) for c in ("place", "key", "left", "right", "first", "last"))
+                # windows that start at place - half or before hold the half before the gram, the others the one behind it
+                begin = np.where(left > 0, first, np.maximum(first, place - half + 1))
+                end = np.where(right > 0, last, np.minimum(last, place - half))
+                n = np.maximum(end - begin + 1, 0)
+                which = np.repeat(np.arange(len(n)), n)
+                if not len(which):
+                    continue
+                at = begin[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                h = Hashes(np.frombuffer(text.as_py().encode(), np.uint8)).of(at, at + span)
+                h = _mix(h ^ (place[which] - at).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)).view(np.int64)
+                for column, x in zip(out, (pa.array([own.as_py()], pa.binary()).take(np.zeros(len(at), np.int64)), at, key[which], h), strict=True):
+                    column.append(x)
+                size += len(at)
+                if size > 200_000:
+                    yield pa.record_batch([pa.concat_arrays(out[0]), *(pa.array(np.concatenate(x)) for x in out[1:])], ["id", "at", "key", "hash"])
+                    out, size = [[] for _ in range(4)], 0
+            if size:
+                yield pa.record_batch([pa.concat_arrays(out[0]), *(pa.array(np.concatenate(x)) for x in out[1:])], ["id", "at", "key", "hash"])
 
     return of
 
 
-def _cut(span: int):
+def _cut(span: int, keep: bool):
     """Texts without the runs that repeated windows cover."""
 
     def of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +289,7 @@ def _cut(span: int):
                     kept.append(data[at:a])
                     at = b
                 kept = b"".join([*kept, data[at:]])
-                for column, x in zip(out, (r["id"], len(data) - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], kept), strict=True):
+                for column, x in zip(out, (r["id"], len(data) - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], kept if keep else None), strict=True):
                     column.append(x)
             spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.record_batch([pa.array(x, kind) for x, kind in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.string(), spans, pa.binary()), strict=True)], ["id", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
