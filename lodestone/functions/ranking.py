@@ -15,8 +15,9 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 def recency_decay(stamp: Column, now: Column) -> Column:
     """1 now, 0 after 180 days, linear between; 0 where stamp can't be read."""
-    days = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.try_to_timestamp(stamp))) / F.lit(86_400_000_000.0)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - days / RECENCY_DAYS)), F.lit(0.0))
+    then = F.try_to_timestamp(stamp)
+    days = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(then)) / F.lit(86_400_000_000.0)
+    return F.when(then.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - days / RECENCY_DAYS)))
 
 
 def recency_boost(stamp: Column, work_type: Column, now: Column) -> Column:
