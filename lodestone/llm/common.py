@@ -47,6 +47,18 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_HELD: dict = {"owner": None, "what": None}
+
+
+def remembered(owner: tuple, make):
+    """What the owner keeps in this worker process from task to task. A worker
+    outlives its operator, so the next owner takes the place of the last."""
+    if _HELD["owner"] != owner:
+        _HELD.update(owner=None, what=None)
+        _HELD.update(owner=owner, what=make())
+    return _HELD["what"]
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of steps that are over; it
     acts when the driver collects garbage, which else may be after the query."""

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import string
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,11 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import svm
+from .common import remembered
 from .words import slices
 
 #: Words of more characters are scored in pieces of so many, each starting half as many later.
 WIDEST = 20
-#: Words that a worker remembers.
+#: Words that a worker remembers, besides those of the texts at hand.
 ROOM = 200_000
 EDGES = string.punctuation + "¡¿«»“”„‘’…–—·•"
 NO_LETTER = re.compile(r"[\W_]+")
@@ -150,7 +152,7 @@ class Model:
             self.turn = vectors[:, kept] / np.sqrt(values[kept])
         self.w = self.beta = self.bias = 0.0
         self.slope = self.shift = 0.0
-        self.known: dict[str, float] = {}
+        self.name = uuid.uuid4().hex
 
     def features(self, words: list[str]) -> np.ndarray:
         return (self.kernel(words) @ self.turn).astype(np.float32)
@@ -162,22 +164,17 @@ class Model:
     def margins(self, words: list[str]) -> np.ndarray:
         return self.kernel.sums(words, self.beta) + self.bias
 
-    def word_scores(self, words: list[str]) -> dict[str, float]:
-        if len(self.known) + len(words) > ROOM:
-            self.known = {}
-        found = dict(zip(words, self.margins(words).tolist(), strict=True)) if words else {}
-        self.known.update(found)
-        return found
-
     def score(self, texts: list[str | None]) -> list[float]:
         """Each text's score, 0 to 1."""
         if not self.kernel:
             return [self.base] * len(texts)
         split = [units(t) for t in texts]
-        known = self.known
-        new = self.word_scores([*{w for s in split for w in s if w not in known}])
-        get = (known | new if known is not self.known else self.known).__getitem__
-        z = np.array([max(map(get, s), default=FLOOR) for s in split])
+        known = remembered(("toxicity", self.name), dict)
+        if len(known) > ROOM:
+            known.clear()
+        new = [*{w for s in split for w in s if w not in known}]
+        known.update(zip(new, self.margins(new).tolist(), strict=True))
+        z = np.array([max(map(known.__getitem__, s), default=FLOOR) for s in split])
         return (1 / (1 + np.exp(-np.clip(self.slope * np.maximum(z, FLOOR) + self.shift, -30, 30)))).tolist()
 
 

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import remembered
+
 #: Unicode white space. str.split() also splits at U+001C to U+001F, which the library keeps.
 SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -113,11 +115,6 @@ def slices(texts: pa.Array, most: int = 2_000_000):
         at = end
 
 
-_CODERS: dict[str, Coder] = {}
-
-
 def coder(path: str) -> Coder:
     """One per worker process."""
-    if path not in _CODERS:
-        _CODERS[path] = Coder(path)
-    return _CODERS[path]
+    return remembered(("words", path), lambda: Coder(path))
