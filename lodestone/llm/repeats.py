@@ -180,9 +180,10 @@ def remove_repeats(docs: DataFrame, span: int = 200, gram: int = 64, batches: in
     matter."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     batch = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(batches))
-    family, suffixes = Family(), None
+    family, suffixes, tables = Family(), None, []
     for k in range(batches):
         made = save(_suffixes(docs.where(batch == k), span, gram), "suffixes")
+        tables.append(made)
         release(docs.sparkSession)
         family.add(made.select(F.explode(F.arrays_zip("keys", "stretches")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.stretches").alias("stretch")))
         suffixes = made if suffixes is None else suffixes.unionByName(made)
@@ -199,6 +200,9 @@ def remove_repeats(docs: DataFrame, span: int = 200, gram: int = 64, batches: in
     zipped = F.explode(F.arrays_zip("firsts", "lasts", "places", "keys", "stretches", "halves")).alias("x")
     each = suffixes.select(half, zipped).select("id", *[F.col(f"x.{many}").alias(one) for many, one in (("firsts", "first"), ("lasts", "last"), ("places", "place"), ("keys", "key"), ("stretches", "stretch"), ("halves", "halves"))])
     met = save(each.join(common, ["key", "stretch"]).distinct(), "met")
+    rows = save(suffixes.select(half, "doc_id", "n_bytes", "sha256"), "rows")
+    for made in tables:
+        discard(made)
     release(spark)
     # of equal stretches one stands for all when windows are compared
     shown = met.where("whole and look").groupBy("key", "stretch").agg(F.min(F.struct("id", "first", "last", "place", "halves")).alias("x")).select("x.*", "key", "stretch")
@@ -212,24 +216,24 @@ def remove_repeats(docs: DataFrame, span: int = 200, gram: int = 64, batches: in
     marks = marks.unionByName(looks.withColumn("whole", F.lit(False)))
     # at most twice as many as the text has suffixes
     marked = marks.groupBy("id").agg(F.collect_list(F.struct("first", "last", "place", "key", "left", "right", "whole")).alias("marks"))
-    low = suffixes.select(half, "doc_id").groupBy("id").agg(F.min("doc_id").alias("low"))
+    low = rows.groupBy("id").agg(F.min("doc_id").alias("low"))
     marked = save(marked.join(low, "id"), "marked")
     discard(met)
     release(spark)
     texts = docs.select(F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("id"), "doc_id", "text")
     near = texts.join(marked, (texts.id == marked.id) & texts.doc_id.eqNullSafe(marked.low)).select(texts.id, "text", "marks")
-    near = save(near, "near")
+    near = save(near.withColumn("no", F.monotonically_increasing_id()), "near")
     release(spark)
-    windows = near.select("id", "text", F.filter("marks", lambda m: ~m["whole"]).alias("marks")).where(F.size("marks") > 0).mapInArrow(_windows(span, gram), "id binary, at long, key long, hash long")
+    windows = near.select("no", "text", F.filter("marks", lambda m: ~m["whole"]).alias("marks")).where(F.size("marks") > 0).mapInArrow(_windows(span, gram), "no long, at long, key long, hash long")
     windows = save(windows, "windows")
     twice = windows.groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").select("key", "hash")
-    single = windows.join(twice, ["key", "hash"], "left_semi").groupBy("id").agg(F.collect_set("at").alias("starts"))
-    ends = near.withColumn("marks", F.filter("marks", lambda m: m["whole"])).join(save(single, "starts"), "id", "left").mapInArrow(_cut(span, keep), CUT)
+    single = windows.join(twice, ["key", "hash"], "left_semi").groupBy("no").agg(F.collect_set("at").alias("starts"))
+    ends = near.withColumn("marks", F.filter("marks", lambda m: m["whole"])).join(save(single, "starts"), "no", "left").mapInArrow(_cut(span, keep), CUT)
     ends = save(ends.dropDuplicates(["id"]), "cut")
     discard(windows)
     discard(near)
     release(spark)
-    rest = suffixes.select(half, "doc_id", "n_bytes", "sha256").join(ends, "id", "left")
+    rest = rows.join(ends, "id", "left")
     none = F.lit(0).cast("long")
     return rest.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "spans", "kept")
 
@@ -245,7 +249,7 @@ def _windows(span: int, gram: int):
         for batch in rows:
             out: list[list] = [[] for _ in range(4)]
             size = 0
-            for own, text, marks in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            for own, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 place, key, left, right, first, last = (marks.values.field(c).to_numpy(zero_copy_only=False) for c in ("place", "key", "left", "right", "first", "last"))
                 # windows that start at place - half or before hold the half before the gram, the others the one behind it
                 begin = np.where(left > 0, first, np.maximum(first, place - half + 1))
@@ -257,14 +261,14 @@ def _windows(span: int, gram: int):
                 at = begin[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
                 h = Hashes(np.frombuffer(text.as_py().encode(), np.uint8)).of(at, at + span)
                 h = _mix(h ^ (place[which] - at).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)).view(np.int64)
-                for column, x in zip(out, (pa.array([own.as_py()], pa.binary()).take(np.zeros(len(at), np.int64)), at, key[which], h), strict=True):
+                for column, x in zip(out, (np.full(len(at), own), at, key[which], h), strict=True):
                     column.append(x)
                 size += len(at)
                 if size > 200_000:
-                    yield pa.record_batch([pa.concat_arrays(out[0]), *(pa.array(np.concatenate(x)) for x in out[1:])], ["id", "at", "key", "hash"])
+                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], ["no", "at", "key", "hash"])
                     out, size = [[] for _ in range(4)], 0
             if size:
-                yield pa.record_batch([pa.concat_arrays(out[0]), *(pa.array(np.concatenate(x)) for x in out[1:])], ["id", "at", "key", "hash"])
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], ["no", "at", "key", "hash"])
 
     return of
 
