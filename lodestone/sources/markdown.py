@@ -42,8 +42,6 @@ def frontmatter(docs: DataFrame, text: str) -> DataFrame:
     and front_error. YAML has no built-in; dates and yes/no stay text."""
     import yaml
 
-    schema = docs.schema.simpleString()[len("struct<") : -1].replace(":", " ")
-
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
 
@@ -66,7 +64,6 @@ def frontmatter(docs: DataFrame, text: str) -> DataFrame:
             yield frame.assign(front=maps, front_error=errors)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
-    del schema
     return docs.mapInPandas(parse, f"{fields}, front map<string,string>, front_error string")
 
 
