@@ -69,3 +69,54 @@ def test_mixing(spark):
     assert {s: sum(s in v for v in by.values()) for s in sizes} == blocks
     assert sorted(r.mix_rank for r in got if r.source == "a") == list(range(701))
     assert mixing.mix(docs.limit(0)).collect() == [] and mixing.mix(docs).count() == len(rows)
+
+
+def ideal(blocks, weights):
+    """By slot, what each source has when all that have blocks left are dealt at once, each at its exact weight."""
+    got = dict.fromkeys(blocks, Fraction(0))
+    while True:
+        yield dict(got)
+        room = Fraction(1)
+        while room and (left := [s for s in blocks if got[s] < blocks[s]]):
+            total = sum(Fraction(weights[s]) for s in left)
+            step = min(room, *((blocks[s] - got[s]) * total / Fraction(weights[s]) for s in left))
+            for s in left:
+                got[s] += step * Fraction(weights[s]) / total
+            room -= step
+
+
+def drift(order, blocks, weights):
+    """The most blocks that a source is off the ideal mix after any slot."""
+    dealt, most = dict.fromkeys(blocks, 0), 0
+    for s, want in zip([*order, None], ideal(blocks, weights), strict=False):
+        most = max(most, *(abs(dealt[x] - want[x]) for x in blocks))
+        if s is not None:
+            dealt[s] += 1
+    return most
+
+
+def test_mixing_keeps_exact_weights(spark, monkeypatch):
+    equal = {f"s{i:02}": 150 for i in range(20)}  # 51.2 of 1024 each
+    many = {"hot": 400} | {f"s{i:02}": 3 + i % 4 for i in range(40)}  # more sources than the period has slots
+    uneven = {"a": 600, "b": 290, "c": 41, "d": 7}
+    for n, weights, period in ((equal, dict.fromkeys(equal, 1.0), 1024), (many, None, 16), (uneven, {"a": 0.7, "b": 1 / 3, "c": 0.061, "d": 0.0123}, 32)):
+        docs = spark.createDataFrame([(i, f"t{i}", s) for i, s in enumerate(s for s, k in n.items() for _ in range(k))], "doc_id long, text string, source string")
+        exact = weights or {s: k**0.5 for s, k in n.items()}
+        got = sorted((r.mix_slot, r.source) for r in mixing.mix(docs, weights, block=1, period=period).collect())
+        assert [t for t, _ in got] == list(range(sum(n.values())))
+        assert drift([s for _, s in got], n, exact) < 1
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "SENT", 0, raising=False)
+            assert sorted((r.mix_slot, r.source) for r in mixing.mix(docs, weights, block=1, period=period).collect()) == got
+
+
+def test_mixing_long_run():
+    n = {"hot": 40_000} | {f"s{i:04}": 20 + i % 5 for i in range(1500)}
+    weights = {s: k**0.5 for s, k in n.items()}
+    slots = mixing.deal(n, weights)
+    assert sorted(x for xs in slots.values() for x in xs) == list(range(sum(n.values())))
+    first = 20_000  # no source has run out by then
+    total = sum(map(Fraction, weights.values()))
+    for s, xs in slots.items():
+        share = Fraction(weights[s]) / total
+        assert all(-1 < i - share * t < 1 and -1 < i + 1 - share * (t + 1) < 1 for i, t in enumerate(xs) if t < first)
