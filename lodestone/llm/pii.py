@@ -1,16 +1,18 @@
 """Personal data: four kinds found by pattern, and identifiers that bootstrapped
 contexts give away. DataFrame operations only.
 
-Seeds are the identifiers of the four kinds. The two words before a seed make
-a lexical pattern; patterns and the identifier-like words that follow them
-form a graph. In each round a pattern scores the mean score of its distinct
+Seeds are the spans of the four kinds, with white space or without. The two
+words before a seed make a lexical pattern, whatever those words are; patterns,
+seeds and the other identifier-like words that follow them form a graph. In each round a pattern scores the mean score of its distinct
 instances, and an instance that is no seed scores by the patterns that bring
 it up. Patterns of enough seeds and a high score point out identifiers that
 no kind describes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save
@@ -29,6 +31,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: A word with a digit or an at sign.
 LIKE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Identifier-like words have as many characters at least, without the marks around them.
+LEAST = 5
 NOTHING = "cast(array() as array<struct<start:int,end:int,value:string>>)"
 
 
@@ -62,9 +66,29 @@ def _placed(found: Column, gaps: Column) -> Column:
     return F.aggregate(both, start, step, lambda s: s["out"])
 
 
+def _bare(word: Column) -> Column:
+    return F.regexp_replace(word, r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$", "")
+
+
+def _plain(word: Column) -> Column:
+    """In lower case with digits as 0."""
+    return F.regexp_replace(F.lower(word), "[0-9]", "0")
+
+
+def _last_two(words: Column) -> Column:
+    return F.slice(words, F.greatest(F.lit(1), F.size(words) - 1), 2)
+
+
+def _of(kind: str) -> Callable[[Column], Column]:
+    return lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
+
+
 def base(docs: DataFrame) -> DataFrame:
-    """docs with spans, an array of (kind, start, end) of the four kinds, and
-    like, an array of (start, end, value, before) of identifier-like words."""
+    """docs with spans, an array of (kind, start, end) of the four kinds, seeds,
+    their (start, end, value), and like, an array of (start, end, word, before,
+    last) of identifier-like words: before are the two words before, last is
+    the one just before. In texts with spans, like has all words with a digit
+    or an at sign."""
     out = docs.withColumn("p_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     out = out.withColumn("p_any", F.col("p_text").rlike("[0-9@]"))
     for kind, pattern in [*PATTERNS.items(), ("like", LIKE)]:
@@ -75,37 +99,68 @@ def base(docs: DataFrame) -> DataFrame:
         placed = F.when(F.size(f"p_{kind}") > 0, _placed(F.col(f"p_{kind}"), F.col(f"g_{kind}"))).otherwise(F.expr(NOTHING))
         out = out.withColumn(f"s_{kind}", placed)
 
-    def valid(kind: str) -> Column:
-        good = F.filter(f"s_{kind}", lambda x: _valid(kind, x["value"]))
-        return F.transform(good, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-
-    # the two words before, in lower case with digits as 0; an identifier-like word just before is one of them
-    words = lambda gap: F.filter(F.split(F.regexp_replace(F.lower(gap), "[0-9]", "0"), r"\s+"), lambda w: w != "")
-    last = lambda a: F.when(F.size(a) >= 2, F.concat_ws(" ", F.element_at(a, -2), F.element_at(a, -1)))
-    likes = F.transform("s_like", lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.regexp_replace(x["value"], r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$", "").alias("value"), last(words(F.substring(F.get("g_like", i), F.greatest(F.lit(1), F.length(F.get("g_like", i)) - 79), F.lit(80)))).alias("before")))
-    helpers = ["p_text", "p_any"] + [f"{a}_{kind}" for a in "pgs" for kind in (*KINDS, "like")]
-    return out.withColumn("spans", F.concat(*map(valid, KINDS))).withColumn("like", F.filter(likes, lambda x: x["before"].isNotNull() & (F.length(x["value"]) >= 5))).drop(*helpers)
-
-
-def _seed(value: Column) -> Column:
-    """Whether the whole value is of one of the four kinds."""
-    found = F.lit(False)
-    for kind, pattern in PATTERNS.items():
-        found = found | (value.rlike(f"^(?:{pattern})$") & _valid(kind, value))
-    return found
+    good = lambda kind: F.filter(f"s_{kind}", lambda x: _valid(kind, x["value"]))
+    for kind in KINDS:
+        out = out.withColumn(f"v_{kind}", good(kind))
+    spans = F.concat(*(F.transform(f"v_{kind}", _of(kind)) for kind in KINDS))
+    seeds = F.concat(*(F.col(f"v_{kind}") for kind in KINDS))
+    # the last two words of each gap; where its last 80 characters hold three, two of them are whole
+    words = lambda gap: F.filter(F.split(F.lower(gap), r"\s+"), lambda w: w != "")
+    ends = F.transform("g_like", lambda gap: words(F.substring(gap, F.greatest(F.lit(1), F.length(gap) - 79), F.lit(80))))
+    out = out.withColumn("e_like", F.transform(ends, lambda end, i: _last_two(F.when(F.size(end) >= 3, end).otherwise(words(F.get("g_like", i))))))
+    out = out.withColumn("n_like", F.transform("p_like", _plain))
+    # a word just before may itself be identifier-like
+    some = lambda a: F.coalesce(a, F.array().cast("array<string>"))
+    one = lambda i: F.when(i >= 0, F.array(F.get("n_like", i)))
+    out = out.withColumn("b_like", F.transform("p_like", lambda _, i: _last_two(F.concat(some(one(i - 2)), some(F.get("e_like", i - 1)), some(one(i - 1)), some(F.get("e_like", i))))))
+
+    def placed(x: Column, i: Column) -> Column:
+        two = F.get("b_like", i)
+        before = F.when(F.size(two) == 2, F.array_join(two, " "))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("word"), before.alias("before"), F.get(two, F.size(two) - 1).alias("last"))
+
+    out = out.withColumn("spans", spans).withColumn("seeds", seeds).withColumn("like", F.transform("s_like", placed))
+    out = out.withColumn("like", F.filter("like", lambda x: (F.size("spans") > 0) | (x["before"].isNotNull() & (F.length(_bare(x["word"])) >= LEAST))))
+    return out.select(*[c for c in docs.columns if c not in ("spans", "seeds", "like")], "spans", "seeds", "like")
+
+
+def instances(rows: DataFrame) -> DataFrame:
+    """Rows (p_row, start, end, value, before, seed): the seeds, and the
+    identifier-like words that share no character with a span. Of spans that
+    overlap the first one is the seed.
+
+    A seed begins in a word with a digit or an at sign, so the words before are
+    that word's; what stands before the seed in it counts as a word if it has
+    a letter or digit."""
+    likes = rows.select("p_row", (F.size("spans") > 0).alias("near"), F.inline("like"))
+    words = likes.select("p_row", "start", "end", F.col("end").alias("at"), F.struct("start", "word", "before", "last").alias("word"), F.lit(None).cast("string").alias("value"), "near")
+    found = rows.select("p_row", F.inline("seeds")).select("p_row", "start", "end", F.col("start").alias("at"), F.lit(None).cast(words.schema["word"].dataType).alias("word"), "value", F.lit(True).alias("near"))
+    both = words.where("near").unionByName(found)
+    text = Window.partitionBy("p_row")  # bounded by what one text holds
+    both = both.withColumn("holds", F.last("word", ignorenulls=True).over(text.orderBy("start", F.col("value").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)))
+    # words come by their ends here, so all spans that begin before the end are met
+    reach = F.max(F.when(F.col("value").isNotNull(), F.col("end"))).over(text.orderBy("at", F.col("end").desc(), "value").rowsBetween(Window.unboundedPreceding, -1))
+    both = both.withColumn("reach", reach).where(F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)))
+    glued = F.substring(F.col("holds.word"), F.lit(1), F.col("start") - F.col("holds.start"))
+    before = F.when(~glued.rlike("[A-Za-z0-9]"), F.col("holds.before")).otherwise(F.when(F.col("holds.last").isNotNull(), F.concat_ws(" ", "holds.last", _plain(glued))))
+    seeds = both.where("value is not null").select("p_row", "start", "end", "value", before.alias("before"), F.lit(True).alias("seed"))
+    rest = both.where("value is null").drop("value", "reach", "holds", "at").unionByName(words.where("not near").drop("value", "at"))
+    rest = rest.select("p_row", "start", "end", _bare(F.col("word.word")).alias("value"), F.col("word.before").alias("before"), F.lit(False).alias("seed")).where(F.length("value") >= LEAST)
+    return seeds.unionByName(rest).where("before is not null")
 
 
 def patterns(likes: DataFrame, rounds: int, least: int, confidence: float) -> DataFrame:
-    """Accepted patterns: (before, shape). likes: rows (before, value)."""
+    """Accepted patterns: (before, shape). likes: rows (before, value, seed)."""
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", r"\p{L}+", "a"), "[0-9]+", "0"), "(?:a0|0a)[a0]*", "x")
-    graph = save(likes.groupBy("before", "value").agg(F.count("*").alias("n")).withColumn("seed", _seed(F.col("value"))).withColumn("shape", shape), "graph")
-    scores = graph.select("value", F.col("seed").cast("double").alias("score")).distinct()
+    graph = save(likes.groupBy("before", "value").agg(F.max("seed").alias("seed")).withColumn("shape", shape), "graph")
+    values = graph.groupBy("value").agg(F.max("seed").alias("seed"))
+    scores = values.select("value", F.col("seed").cast("double").alias("score"))
     accepted = None
     for _ in range(rounds):
         rated = graph.join(scores, "value").groupBy("before").agg(F.avg("score").alias("mean"), F.count("*").alias("instances"), F.sum(F.col("seed").cast("int")).alias("seeds"))
         accepted = save(rated.where((F.col("seeds") >= least) & (F.col("mean") >= confidence)), "patterns")
         doubt = graph.join(accepted, "before").groupBy("value").agg(F.sum(F.log(1.0001 - F.col("mean"))).alias("doubt"))
-        scores = graph.select("value", "seed").distinct().join(doubt, "value", "left").select("value", F.when(F.col("seed"), 1.0).otherwise(F.coalesce(1 - F.exp("doubt"), F.lit(0.0))).alias("score"))
+        scores = values.join(doubt, "value", "left").select("value", F.when(F.col("seed"), 1.0).otherwise(F.coalesce(1 - F.exp("doubt"), F.lit(0.0))).alias("score"))
         scores = save(scores, "scores")
     # a pattern brings up words of shapes that several of its instances have
     return graph.join(accepted.select("before"), "before").groupBy("before", "shape").agg(F.count("*").alias("k")).where(F.col("k") >= 2).select("before", "shape")
@@ -119,16 +174,15 @@ def find(docs: DataFrame, rounds: int = 2, least: int = 5, confidence: float = 0
     after at least `least` seeds and with a score of at least `confidence`,
     over all texts. A null text is an empty one; repeated rows and null
     doc_ids stay; a column named spans is replaced."""
-    docs = docs.drop("spans", "like", "p_row")
+    docs = docs.drop("spans", "seeds", "like", "p_row")
     rows = save(base(docs).withColumn("p_row", F.monotonically_increasing_id()), "spans")
-    likes = rows.select("p_row", "spans", F.explode("like").alias("x")).select("p_row", "spans", "x.*")
+    likes = save(instances(rows), "instances")
     accepted = patterns(likes, rounds, least, confidence)
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", r"\p{L}+", "a"), "[0-9]+", "0"), "(?:a0|0a)[a0]*", "x")
-    apart = ~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    new = likes.withColumn("shape", shape).where(apart).join(accepted, ["before", "shape"])
+    new = likes.where("not seed").withColumn("shape", shape).join(accepted, ["before", "shape"])
     # at most as many as the row's own identifier-like words
     new = new.groupBy("p_row").agg(F.array_sort(F.collect_list(F.struct(F.lit(LEARNT).alias("kind"), "start", "end"))).alias("new"))
-    out = rows.drop("like").join(new, "p_row", "left")
+    out = rows.drop("seeds", "like").join(new, "p_row", "left")
     return out.withColumn("spans", F.when(F.col("new").isNull(), F.col("spans")).otherwise(F.concat("spans", "new"))).drop("new", "p_row")
 
 

@@ -66,3 +66,36 @@ def test_learning_and_redaction(spark):
     assert clean[3] == "foo bar my mail [EMAIL] end" and clean[101] == "well my mail [LEARNT] end a1" and clean[205] == rows[40][1]
     both = spark.createDataFrame([(1, "\U0001f600 +4111111111111111 a@b.cd"), (2, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in pii.redact(both).collect()} == {1: "\U0001f600 +[CARD] [EMAIL]", 2: None}
+
+
+def card(i):
+    digits = f"4{i:014}"
+    return digits + str(next(c for c in range(10) if luhn(digits + str(c))))
+
+
+def fours(x):
+    return " ".join(x[i : i + 4] for i in range(0, len(x), 4))
+
+
+def test_seeds_with_spaces_and_lists(spark):
+    learnt = lambda r: [r.text[x.start : x.end] for x in r.spans if x.kind == pii.LEARNT]
+    # cards and phones with spaces are seeds, the words before them a pattern
+    rows = [(i, f"please charge card {fours(card(i))} now") for i in range(30)] + [(100 + i, f"please charge card acct{i}[x] now") for i in range(4)]
+    rows += [(200 + i, f"you can call (+49 30 12345{i:02}) there") for i in range(30)] + [(300 + i, f"you can call desk{i}[x] there") for i in range(4)]
+    # label, number, label, number: the number is one of the two words before
+    rows += [(400 + i, f"card {card(i)} phone +49301234{i:03} mail u{i}@site.org") for i in range(30)] + [(500 + i, f"card {card(i)} phone desk{i}[x] mail") for i in range(4)]
+    # two words of which one is longer than a window of characters
+    rows += [(600 + i, f"at {'w' * 200} is u{i}@site.org") for i in range(30)] + [(700 + i, f"at {'w' * 200} is u{i}[at]site") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    assert len(got) == len(rows) and all([tuple(x) for x in r.spans if x.kind != pii.LEARNT] == plain(r.text) for r in got.values())
+    for i in range(4):
+        assert learnt(got[100 + i]) == [f"acct{i}[x]"] and learnt(got[300 + i]) == learnt(got[500 + i]) == [f"desk{i}[x]"] and learnt(got[700 + i]) == [f"u{i}[at]site"]
+    assert not any(learnt(r) for i, r in got.items() if i // 100 % 2 == 0 and i % 100 < 30 and i not in range(100, 104))
+
+
+def test_instances(spark):
+    texts = ["My Card 4111 1111 1111 1111 and tel:+49 30 123456 or (a@b.cd), 12 ab34[x] cd56[x]", "one a@b.cd", "no 12 num77 it"]
+    rows = pii.base(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "p_row long, text string"))
+    got = sorted((r.p_row, r.value, r.before, r.seed) for r in pii.instances(rows).collect())
+    assert got == sorted([(0, "4111 1111 1111 1111", "my card", True), (0, "+49 30 123456", "and tel:", True), (0, "a@b.cd", "000000 or", True), (0, "ab34[x", "(a@b.cd), 00", False), (0, "cd56[x", "00 ab00[x]", False), (2, "num77", "no 00", False)])
