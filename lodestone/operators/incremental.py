@@ -45,8 +45,9 @@ def freshness(version: Column, stored_count: Column, count: Column, stored_lates
 
 
 class Index:
-    """Postings and lengths in versioned folders of a base path; a one-row table
-    names the current version, so a reader sees the old one until a build is done."""
+    """Postings and lengths in versioned folders of a base path. The current
+    version is kept in this object only: its reads see the old one until a build is
+    done, and no table names it for others."""
 
     def __init__(self, spark: SparkSession, base: str | None = None):
         self.spark, self.base = spark, base or folder(spark, "index")
