@@ -3,7 +3,6 @@ of sorted rows, bounded blocks of a bucket, connected components."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,13 +37,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_path(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared folder that nothing reads any more."""
+    if "/lodestone-" in folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a saved table that nothing reads any more."""
-    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/lodestone-" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        discard_path(df.sparkSession, folder)
 
 
 _HELD: dict = {"owner": None, "what": None}
@@ -59,13 +62,6 @@ def remembered(owner: tuple, make):
     return _HELD["what"]
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of steps that are over; it
-    acts when the driver collects garbage, which else may be after the query."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

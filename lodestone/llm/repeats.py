@@ -1,41 +1,48 @@
 """Removal of long repeated byte strings by a logarithmic family of sparse
 suffix arrays.
 
-A suffix array over every byte is more than a match of `span` bytes needs. In
-each window of `span` bytes one suffix is sampled: the one whose first `gram`
-bytes hash lowest. Equal windows sample the same suffix at the same place, so
-two windows are equal only if their samples meet in the array. A sampled
-suffix is kept abbreviated (its first 4 bytes, which give the array its order,
-and a fingerprint of its gram) with a hash of the stretch of text that the run
-of windows sampling it covers.
-
-Documents come in batches. A batch's suffixes are sorted and merged into an
-array, which is merge-scanned against the levels that exist for suffixes with
-common grams, then becomes a level itself; levels of equal size merge, so each
-suffix is rewritten a logarithmic number of times. Suffixes that met another
-are looked at closely: where whole stretches are equal all their windows are.
-Of other stretches the windows are compared one by one, by hashes of 64 bits
-within equal grams and offsets (over 100 bits together), after those are left
-out that can't be equal: a window holds the gram and half of what else it
-covers either before or behind it, so that half must occur twice."""
+A match of `span` bytes needs no suffix at every byte. In each window of `span`
+bytes one suffix is sampled: the one whose first `gram` bytes hash lowest.
+Equal windows sample the same suffix at the same place, so two windows are
+equal only if their samples begin with the same gram. The windows that sample
+one suffix follow each other; the text that they cover is its stretch.
+
+Documents come in batches. A batch's array holds its suffixes in the order of
+their grams (4 bytes and 32 hashed bits), each with a 128-bit BLAKE2b digest of
+its stretch and a count. It is merge-scanned against the levels for grams that
+both have and becomes a level itself; levels of equal size merge. Arrays are
+bucketed by gram, so neither a scan nor a merge shuffles anything again.
+
+Suffixes whose whole stretch occurs twice are decided by that. The others that
+met a gram get a closer look, on their bytes: they are sorted by suffix and
+then by what comes before, and by what comes before and then by suffix.
+Neighbours of the two orders show how far a match reaches to either side. Where
+the longest reach to the left and that to the right come from partners of which
+none is long enough, the windows in between are compared one by one."""
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, release, save, starts_of
+from .common import discard, discard_path, save, shared_dir, starts_of
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 INVERSE = pow(BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(3).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes of text that are worked on at once; a longer text overlaps from one part to the next.
 PART = 1 << 20
+#: Suffixes that a task sends on at once.
+SENT = 200_000
+#: The most bits of the filter by which suffixes that met none are left out before they are shuffled. A full filter lets more through; the join that follows decides.
+FILTER_BITS = 1 << 28
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -49,50 +56,36 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-class Hashes:
-    """Hashes of substrings of one part of a text, by sums of byte * BASE ** place."""
-
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        if not hasattr(Hashes, "up") or len(Hashes.up) <= n:
-            Hashes.up, Hashes.down = _powers(BASE, max(n + 1, PART + 4096)), _powers(INVERSE, max(n + 1, PART + 4096))
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[data] * Hashes.up[:n], dtype=np.uint64)])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * Hashes.down[start]
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the `gram` bytes at each place, by sums of byte * BASE ** place."""
+    n = len(data)
+    if not hasattr(gram_hashes, "up") or len(gram_hashes.up) < n:
+        gram_hashes.up, gram_hashes.down = _powers(BASE, max(n, PART)), _powers(INVERSE, max(n, PART))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[data] * gram_hashes.up[:n], dtype=np.uint64)])
+    return _mix((sums[gram:] - sums[: n - gram + 1]) * gram_hashes.down[: n - gram + 1])
 
 
 def sampled(data: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(place, first, last, key, stretch, halves) of each sampled suffix: the
-    windows from first to last sample it; key has its first 4 bytes and a
-    fingerprint of its gram, stretch is a hash of the bytes from first to the
-    end of last, halves has 32 bits each of the gram with what comes before it
-    and with what follows."""
+    """(place, first, last, key) of each sampled suffix: the windows from first
+    to last sample it, key orders it by its first 4 bytes and has 32 bits of its gram's hash."""
     n = len(data) - span + 1
     if n < 1:
-        return (np.zeros(0, np.int64),) * 6
-    hashes = Hashes(data)
-    at = np.arange(len(data) - gram + 1)
-    grams = _mix((hashes.sums[gram:] - hashes.sums[: len(at)]) * Hashes.down[: len(at)])
-    low = grams & np.uint64(0xFFFFFFFF00000000) | at.astype(np.uint64)
+        return (np.zeros(0, np.int64),) * 4
+    grams = gram_hashes(data, gram)
+    low = grams & np.uint64(0xFFFFFFFF00000000) | np.arange(len(grams), dtype=np.uint64)
     wide, width = 1, span - gram + 1
     while wide * 2 <= width:
         low = np.minimum(low[:-wide], low[wide:])
         wide *= 2
     if wide < width:
-        low = np.minimum(low[: n], low[width - wide :])
+        low = np.minimum(low[:n], low[width - wide :])
     place = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = starts_of([place])
     last = np.concatenate([first[1:] - 1, [n - 1]])
     place = place[first]
     lead = sum(data[place + i].astype(np.uint64) << np.uint64(8 * (3 - i)) for i in range(4)) << np.uint64(32)
-    key = (lead | grams[place] & np.uint64(0xFFFFFFFF)).view(np.int64)
-    stretch = _mix(hashes.of(first, last + span) ^ (place - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)).view(np.int64)
-    half = (span - gram) // 2
-    left = _mix(hashes.of(np.maximum(place - half, 0), place + gram))
-    right = _mix(hashes.of(place, np.minimum(place + gram + half, len(data))))
-    halves = (left & np.uint64(0xFFFFFFFF00000000) | right >> np.uint64(32)).view(np.int64)
-    return place, first, last, key, stretch, halves
+    key = (lead | grams[place] & np.uint64(0xFFFFFFFF)) ^ np.uint64(1 << 63)
+    return place, first, last, key.view(np.int64)
 
 
 def parts(data: bytes, span: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -104,186 +97,291 @@ def parts(data: bytes, span: int) -> Iterator[tuple[int, np.ndarray]]:
         yield at, whole[at : at + PART]
 
 
-def _suffixes(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """doc_id, n_bytes, sha256 of each text and its suffixes: firsts, lasts, places, keys, stretches, halves."""
-    names = ["doc_id", "n_bytes", "sha256", "firsts", "lasts", "places", "keys", "stretches", "halves"]
+def _digests(part: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+    view, digest = memoryview(part), hashlib.blake2b
+    return [digest(view[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+
+
+def _sixteens(digests: list[bytes]) -> pa.Array:
+    offsets = np.arange(0, 16 * len(digests) + 1, 16, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(digests), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(digests))])
+
+
+def entries(docs: DataFrame, span: int, gram: int) -> DataFrame:
+    """(gram, stretch, n, batch) of the suffixes of docs (batch, text), counted within what a task holds at once."""
+    names = ["gram", "stretch", "n", "batch"]
+
+    def counted(keys: list[np.ndarray], digests: list[bytes], batches: list[np.ndarray]) -> pa.RecordBatch:
+        key, batch = np.concatenate(keys), np.concatenate(batches)
+        halves = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+        order = np.lexsort((halves[:, 1], halves[:, 0], batch))
+        halves, batch = halves[order], batch[order]
+        first = starts_of([halves[:, 0], halves[:, 1], batch])
+        n = np.diff([*first.tolist(), len(order)])
+        kept = order[first]
+        return pa.record_batch([pa.array(key[kept]), _sixteens([digests[i] for i in kept.tolist()]), pa.array(n, pa.int64()), pa.array(batch[first], pa.int32())], names)
+
+    def of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, digests, batches = [], [], []
+        for row in rows:
+            for own, text in zip(row.column(0).to_pylist(), row.column(1), strict=True):
+                for _, part in parts((text.as_py() or "").encode(), span):
+                    _, first, last, key = sampled(part, span, gram)
+                    keys.append(key)
+                    digests += _digests(part, first, last + span)
+                    batches.append(np.full(len(key), own, np.int32))
+                    if len(digests) > SENT:
+                        yield counted(keys, digests, batches)
+                        keys, digests, batches = [], [], []
+        if digests:
+            yield counted(keys, digests, batches)
+
+    return docs.mapInArrow(of, "gram long, stretch binary, n long, batch int")
+
+
+class Family:
+    """Sorted arrays (gram, stretch, n) as partitions of one table, bucketed by
+    gram. A run has a number and a size in batches; runs are levels until two
+    of equal size merge. The table lies at `path`: a family that is opened again
+    with as many buckets goes on where it was."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int):
+        self.spark, self.path, self.name = spark, path, f"lodestone_family_{uuid.uuid4().hex}"
+        spark.sql(
+            f"CREATE TABLE {self.name} (gram BIGINT, stretch BINARY, n BIGINT, size INT, run INT) USING parquet OPTIONS (compression 'zstd') PARTITIONED BY (size, run) CLUSTERED BY (gram) SORTED BY (gram, stretch) INTO {buckets} BUCKETS LOCATION '{path}/runs'"
+        )
+        spark.sql(f"MSCK REPAIR TABLE {self.name}")
+        self.buckets = buckets
+        self.levels = sorted((r["run"], r["size"]) for r in spark.table(self.name).select("run", "size").distinct().collect())  # few: a logarithm of the batches
+
+    def of(self, *runs: int) -> DataFrame:
+        return self.spark.table(self.name).where(F.col("run").isin(*runs)).select("gram", "stretch", "n")
+
+    def add(self, found: DataFrame) -> None:
+        """found: rows (gram, stretch, n, batch). Each batch becomes a run; they are sorted by one shuffle."""
+        start = max((run for run, _ in self.levels), default=-1) + 1
+        array = found.repartition(self.buckets, "gram").groupBy("batch", "gram", "stretch").agg(F.sum("n").alias("n"))
+        array.select("gram", "stretch", "n", F.lit(1).alias("size"), (F.col("batch") + start).alias("run")).write.insertInto(self.name)
+        self.spark.catalog.refreshTable(self.name)
+        there = [r["run"] for r in self.spark.table(self.name).where(F.col("run") >= start).select("run").distinct().collect()]  # one row a batch
+        self.next = max([start, *there]) + 1
+        for run in sorted(there):
+            self._admit(run)
+
+    def _admit(self, run: int) -> None:
+        own = self.of(run).groupBy("gram").agg(F.sum("n").alias("n"))
+        met = own.where("n > 1").select("gram")
+        if self.levels:
+            levels = self.of(*[r for r, _ in self.levels]).select("gram").distinct()
+            met = met.unionByName(own.select("gram").join(levels.hint("merge"), "gram", "left_semi")).distinct()
+        met.write.mode("append").parquet(f"{self.path}/met")
+        size, gone = 1, []
+        while self.levels and self.levels[-1][1] == size:
+            old, _ = self.levels.pop()
+            merged = self.of(old, run).groupBy("gram", "stretch").agg(F.sum("n").alias("n"))
+            merged.select("gram", "stretch", "n", F.lit(2 * size).alias("size"), F.lit(self.next).alias("run")).write.insertInto(self.name)
+            gone += [(size, old), (size, run)]
+            run, size, self.next = self.next, 2 * size, self.next + 1
+            self.spark.catalog.refreshTable(self.name)
+        self.levels.append((run, size))
+        for was, old in gone:
+            discard_path(self.spark, f"{self.path}/runs/size={was}/run={old}")
+        if gone:
+            self.spark.catalog.refreshTable(self.name)
+
+    def common(self) -> DataFrame:
+        """(gram, stretch, n, lone): the suffixes that met another, and whether
+        one of their gram has a stretch of its own."""
+        met = self.spark.read.schema("gram long").parquet(f"{self.path}/met").distinct()
+        found = self.of(*[r for r, _ in self.levels]).join(met, "gram", "left_semi").groupBy("gram", "stretch").agg(F.sum("n").alias("n"))
+        lone = found.groupBy("gram").agg((F.min("n") == 1).alias("lone"))
+        return found.join(lone, "gram")
+
+    def close(self, keep: bool = False) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        if not keep:
+            discard_path(self.spark, self.path)
+
+
+def _filter(grams: DataFrame) -> np.ndarray:
+    """One bit for each value of the grams' low bits: at most FILTER_BITS, whatever the input."""
+    n = grams.count()
+    bits = min(FILTER_BITS, 1 << max(16, (16 * n).bit_length()))
+    low = F.col("gram").bitwiseAND(F.lit(bits - 1))
+    words = grams.select(F.shiftright(low, 6).alias("word"), F.expr("shiftleft(1L, cast(gram & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit"))
+    got = words.toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[got["word"].to_numpy()] = got["bit"].to_numpy()
+    return out
+
+
+def _hits(docs: DataFrame, words: np.ndarray, span: int, gram: int) -> DataFrame:
+    """doc_id, n_bytes, sha256 of each text; of texts with suffixes that pass the filter also the text and those suffixes."""
+    known = docs.sparkSession.sparkContext.broadcast(words)
+    names = ["doc_id", "n_bytes", "sha256", "text", "firsts", "lasts", "places", "stretches"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = known.value
+        mask = np.int64(64 * len(words) - 1)
         for batch in batches:
-            sizes, digests, counts = [], [], [0]
-            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+            sizes, digests, texts, counts, stretches = [], [], [], [0], []
+            columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
             for text in batch.column(1):
-                data = (text.as_py() or "").encode()
+                text = text.as_py() or ""
+                data = text.encode()
                 found = 0
                 for at, part in parts(data, span):
-                    place, first, last, key, stretch, halves = sampled(part, span, gram)
-                    for column, x in zip(columns, (first + at, last + at, place + at, key, stretch, halves), strict=True):
+                    place, first, last, key = sampled(part, span, gram)
+                    low = key & mask
+                    some = (words[low >> 6] >> (low & 63)) & 1 == 1
+                    place, first, last = place[some], first[some], last[some]
+                    for column, x in zip(columns, (first + at, last + at, place + at), strict=True):
                         column.append(x)
+                    stretches += _digests(part, first, last + span)
                     found += len(first)
                 counts.append(counts[-1] + found)
                 sizes.append(len(data))
                 digests.append(hashlib.sha256(data).hexdigest())
+                texts.append(text if found else None)
             offsets = pa.array(counts, pa.int32())
-            arrays = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c) if c else [], pa.int64())) for c in columns]
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), *arrays], names)
+            arrays = [pa.ListArray.from_arrays(offsets, x) for x in [*(pa.array(np.concatenate(c)) for c in columns), _sixteens(stretches)]]
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string()), *arrays], names)
 
-    lists = ", ".join(f"{n} array<long>" for n in names[3:])
-    return docs.mapInArrow(of, f"doc_id long, n_bytes long, sha256 string, {lists}")
+    return docs.mapInArrow(of, "doc_id long, n_bytes long, sha256 string, text string, firsts array<long>, lasts array<long>, places array<long>, stretches array<binary>")
 
 
-class Family:
-    """The levels: sorted arrays (key, stretch, n), sizes in batches."""
-
-    def __init__(self) -> None:
-        self.levels: list[tuple[int, DataFrame]] = []
-        self.met: list[DataFrame] = []
-
-    def add(self, suffixes: DataFrame) -> None:
-        """suffixes: (key, stretch) of a batch."""
-        array = suffixes.groupBy("key", "stretch").agg(F.count("*").alias("n")).sortWithinPartitions("key", "stretch")
-        array, size = save(array, "level"), 1
-        inside = array.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-        self.met.append(save(inside, "met"))
-        for _, level in self.levels:
-            self.met.append(save(array.select("key").join(level.select("key"), "key", "left_semi").distinct(), "met"))
-        while self.levels and self.levels[-1][0] == size:
-            _, old = self.levels.pop()
-            merged = old.unionByName(array).groupBy("key", "stretch").agg(F.sum("n").alias("n")).sortWithinPartitions("key", "stretch")
-            merged = save(merged, "level")
-            discard(old)
-            discard(array)
-            array, size = merged, 2 * size
-        self.levels.append((size, array))
+CONTEXT = "no long, place long, gram long, single boolean, suffix binary, before binary"
 
-    def common(self) -> DataFrame:
-        """(key, stretch, n) of all suffixes that met another, n over all levels."""
-        keys = self.met[0]
-        for more in self.met[1:]:
-            keys = keys.unionByName(more)
-        keys = keys.distinct()
-        found = None
-        for _, level in self.levels:
-            part = level.join(keys, "key", "left_semi")
-            found = part if found is None else found.unionByName(part)
-        return found.groupBy("key", "stretch").agg(F.sum("n").alias("n"))
-
-
-def remove_repeats(docs: DataFrame, span: int = 200, gram: int = 64, batches: int = 3, keep: bool = True) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans,
-    kept_sha256, spans (array of start and end of the maximal runs removed) and
-    kept (the bytes left where any were removed, else null; null without keep).
 
-    Every UTF-8 byte covered by a string of `span` bytes that starts elsewhere
-    too, in this document or another, is removed; strings are judged on the
-    texts as they came and don't cross documents. A null text is an empty one;
-    repeated rows are each other's copies; null doc_ids and other columns don't
-    matter."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    batch = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(batches))
-    family, suffixes, tables = Family(), None, []
-    for k in range(batches):
-        made = save(_suffixes(docs.where(batch == k), span, gram), "suffixes")
-        tables.append(made)
-        release(docs.sparkSession)
-        family.add(made.select(F.explode(F.arrays_zip("keys", "stretches")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.stretches").alias("stretch")))
-        suffixes = made if suffixes is None else suffixes.unionByName(made)
-    common = save(family.common(), "common")
-    for _, level in family.levels:
-        discard(level)
-    spark = docs.sparkSession
-    release(spark)
-    # a stretch of its own may still share windows with one that is whole elsewhere
-    lone = common.groupBy("key").agg(F.min("n").alias("least"))
-    common = common.join(lone, "key").select("key", "stretch", (F.col("n") > 1).alias("whole"), (F.col("least") == 1).alias("look"))
-    # what is removed follows from the text alone, so copies share it: a text is known by half its digest
-    half = F.unhex(F.substring("sha256", 1, 32)).alias("id")
-    zipped = F.explode(F.arrays_zip("firsts", "lasts", "places", "keys", "stretches", "halves")).alias("x")
-    each = suffixes.select(half, zipped).select("id", *[F.col(f"x.{many}").alias(one) for many, one in (("firsts", "first"), ("lasts", "last"), ("places", "place"), ("keys", "key"), ("stretches", "stretch"), ("halves", "halves"))])
-    met = save(each.join(common, ["key", "stretch"]).distinct(), "met")
-    rows = save(suffixes.select(half, "doc_id", "n_bytes", "sha256"), "rows")
-    for made in tables:
-        discard(made)
-    release(spark)
-    # of equal stretches one stands for all when windows are compared
-    shown = met.where("whole and look").groupBy("key", "stretch").agg(F.min(F.struct("id", "first", "last", "place", "halves")).alias("x")).select("x.*", "key", "stretch")
-    close = met.where("not whole").select(*shown.columns).unionByName(shown)
-    sides = close.select("id", "first", "key", F.posexplode(F.array(F.shiftright("halves", 32), F.col("halves").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("side", "hash"))
-    again = sides.groupBy("key", "side", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    wanted = sides.join(again, ["key", "side", "hash"], "left_semi").groupBy("id", "first", "key").agg(F.max((F.col("side") == 0).cast("int")).alias("left"), F.max((F.col("side") == 1).cast("int")).alias("right"))
-    looks = close.select("id", "first", "last", "place", "key").join(wanted, ["id", "first", "key"])
-    zero = F.lit(0)
-    marks = met.where("whole").select("id", "first", "last", "place", "key", zero.alias("left"), zero.alias("right"), F.lit(True).alias("whole"))
-    marks = marks.unionByName(looks.withColumn("whole", F.lit(False)))
-    # at most twice as many as the text has suffixes
-    marked = marks.groupBy("id").agg(F.collect_list(F.struct("first", "last", "place", "key", "left", "right", "whole")).alias("marks"))
-    low = rows.groupBy("id").agg(F.min("doc_id").alias("low"))
-    marked = save(marked.join(low, "id"), "marked")
-    discard(met)
-    release(spark)
-    texts = docs.select(F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("id"), "doc_id", "text")
-    near = texts.join(marked, (texts.id == marked.id) & texts.doc_id.eqNullSafe(marked.low)).select(texts.id, "text", "marks")
-    near = save(near.withColumn("no", F.monotonically_increasing_id()), "near")
-    release(spark)
-    windows = near.select("no", "text", F.filter("marks", lambda m: ~m["whole"]).alias("marks")).where(F.size("marks") > 0).mapInArrow(_windows(span, gram), "no long, at long, key long, hash long")
-    windows = save(windows, "windows")
-    twice = windows.groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").select("key", "hash")
-    single = windows.join(twice, ["key", "hash"], "left_semi").groupBy("no").agg(F.collect_set("at").alias("starts"))
-    ends = near.withColumn("marks", F.filter("marks", lambda m: m["whole"])).join(save(single, "starts"), "no", "left").mapInArrow(_cut(span, keep), CUT)
-    ends = save(ends.dropDuplicates(["id"]), "cut")
-    discard(windows)
-    discard(near)
-    release(spark)
-    rest = rows.join(ends, "id", "left")
-    none = F.lit(0).cast("long")
-    return rest.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "spans", "kept")
+def _contexts(span: int, gram: int):
+    """`span` bytes from each place, and the bytes before it in reverse, as far as a window reaches."""
 
+    def of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            out: list[list] = [[] for _ in range(6)]
+            for own, text, looks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                data = text.as_py().encode()
+                for x in looks:
+                    p = x["place"]
+                    for column, value in zip(out, (own, p, x["gram"], x["single"], data[p : p + span], data[max(0, p - span + gram) : p][::-1]), strict=True):
+                        column.append(value)
+            yield pa.record_batch([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["no", "place", "gram", "single", "suffix", "before"])
 
-CUT = "id binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
+    return of
+
+
+def _shared(a: list[bytes], b: list[bytes], most: int) -> np.ndarray:
+    """How many first bytes the strings of a and of b have in common, row by row."""
+    if not a:
+        return np.zeros(0, np.int64)
+    table = lambda rows: np.frombuffer(b"".join([x[:most].ljust(most, b"\0") for x in rows]), np.uint8).reshape(len(rows), most)
+    differ = table(a) != table(b)
+    reach = np.where(differ.any(axis=1), differ.argmax(axis=1), most)
+    return np.minimum(reach, [min(len(x), len(y)) for x, y in zip(a, b, strict=True)])
+
+
+REACH = "no long, place long, single boolean, left int, right int"
+
+
+def neighbours(contexts: DataFrame, order: list[str], span: int, gram: int, tasks: int) -> DataFrame:
+    """(no, place, single, left, right): what each suffix shares with the one before and the one
+    after it in the order, to the left of its gram and to the right; -1 where
+    not even the gram is the same. Tasks take ranges of the order; where two
+    ranges meet, their outermost rows are compared on the driver."""
+    names = ["no", "place", "single", "left", "right"]
+    more = ["task", "edge", "suffix", "before"]
+
+    def pairs(suffix: list[bytes], before: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        right = _shared(suffix[:-1], suffix[1:], span) - gram
+        left = _shared(before[:-1], before[1:], span - gram)
+        return np.where(right < 0, -1, left), np.maximum(right, -1)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held = TaskContext.get().partitionId(), None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not rows.num_rows:
+                continue
+            suffix, before = rows["suffix"].to_pylist(), rows["before"].to_pylist()
+            left, right = pairs(suffix, before)
+            id, place, single = (rows[c].to_numpy() for c in ("no", "place", "single"))
+            n = len(left)
+            both = [np.concatenate([x[:-1], x[1:]]) for x in (id, place, single)] + [np.concatenate([x, x]) for x in (left, right)]
+            nothing = [pa.nulls(2 * n, t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary())]
+            yield pa.record_batch([*(pa.array(x, t) for x, t in zip(both, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()), strict=True)), *nothing], names + more)
+            if held is None:
+                yield edge(rows.slice(0, 1), task, 0)
+            held = rows.slice(rows.num_rows - 1)
+        if held is not None:
+            yield edge(held, task, 1)
+
+    def edge(row: pa.Table, task: int, side: int) -> pa.RecordBatch:
+        columns = [row[c].combine_chunks() for c in ("no", "place", "single")] + [pa.array([-1], pa.int32())] * 2
+        return pa.record_batch([*columns, pa.array([task], pa.int32()), pa.array([side], pa.int32()), row["suffix"].combine_chunks(), row["before"].combine_chunks()], names + more)
+
+    by = [*order, "no", "place"]
+    ranged = contexts.select("no", "place", "single", "gram", "suffix", "before").repartitionByRange(tasks, *by).sortWithinPartitions(*by)
+    found = save(ranged.mapInArrow(of, f"{REACH}, task int, edge int, suffix binary, before binary"), "neighbours")
+    edges = found.where("edge is not null").orderBy("task", "edge").collect()  # two rows a task
+    extra = []
+    for a, b in zip(edges, edges[1:], strict=False):
+        if a["task"] != b["task"]:
+            left, right = pairs([bytes(a["suffix"]), bytes(b["suffix"])], [bytes(a["before"]), bytes(b["before"])])
+            extra += [(x["no"], x["place"], x["single"], int(left[0]), int(right[0])) for x in (a, b)]
+    return found.where("edge is null").select(*names).unionByName(contexts.sparkSession.createDataFrame(extra, REACH))
 
 
 def _windows(span: int, gram: int):
-    """The windows of the suffixes to look at whose half occurs twice: where each starts and its hash."""
-    half = (span - gram) // 2
+    """Digests of the windows that begin from `least` to `most` bytes before a place."""
 
     def of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            out: list[list] = [[] for _ in range(4)]
-            size = 0
-            for own, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                place, key, left, right, first, last = (marks.values.field(c).to_numpy(zero_copy_only=False) for c in ("place", "key", "left", "right", "first", "last"))
-                # windows that start at place - half or before hold the half before the gram, the others the one behind it
-                begin = np.where(left > 0, first, np.maximum(first, place - half + 1))
-                end = np.where(right > 0, last, np.minimum(last, place - half))
-                n = np.maximum(end - begin + 1, 0)
-                which = np.repeat(np.arange(len(n)), n)
-                if not len(which):
-                    continue
-                at = begin[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                h = Hashes(np.frombuffer(text.as_py().encode(), np.uint8)).of(at, at + span)
-                h = _mix(h ^ (place[which] - at).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)).view(np.int64)
-                for column, x in zip(out, (np.full(len(at), own), at, key[which], h), strict=True):
-                    column.append(x)
-                size += len(at)
-                if size > 200_000:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], ["no", "at", "key", "hash"])
-                    out, size = [[] for _ in range(4)], 0
-            if size:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], ["no", "at", "key", "hash"])
+            out: list[list] = [[] for _ in range(5)]
+            for no, place, single, suffix, before, least, most in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                data = before[::-1] + suffix
+                for o in range(max(0, least, span - len(suffix)), min(most, len(before)) + 1):
+                    a = len(before) - o
+                    for column, x in zip(out, (no, place, single, o, hashlib.blake2b(data[a : a + span], digest_size=16).digest()), strict=True):
+                        column.append(x)
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()), strict=True)], ["no", "place", "single", "o", "window"])
 
     return of
 
 
-def _cut(span: int, keep: bool):
-    """Texts without the runs that repeated windows cover."""
+def _closer(contexts: DataFrame, span: int, gram: int, tasks: int) -> DataFrame:
+    """(no, start, end): what the windows around the single suffixes of contexts that occur elsewhere cover."""
+    need = span - gram
+    reach = neighbours(contexts, ["suffix", "before"], span, gram, tasks).unionByName(neighbours(contexts, ["gram", "before", "suffix"], span, gram, tasks))
+    long = (F.col("left") >= 0) & (F.col("left") + F.col("right") >= need)
+    reach = reach.where("single").groupBy("no", "place").agg(F.max("left").alias("left_most"), F.max("right").alias("right_most"), F.max(F.when(long, F.col("left"))).alias("left"), F.max(F.when(long, F.col("right"))).alias("right"))
+    reach = save(reach.where(F.col("left_most") + F.col("right_most") >= need), "reach")
+    done = reach.where("left is not null").select("no", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + gram + F.col("right")).alias("end"))
+    # of these a longer reach to one side is known, but not with whom
+    open_ = reach.where("left is null or left < left_most or right < right_most")
+    least, most = F.lit(need) - F.col("right_most"), F.col("left_most")
+    open_ = open_.select("no", "place", least.alias("least"), most.alias("most"))
+    asked = contexts.join(open_, ["no", "place"])
+    ranges = asked.groupBy("gram").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    windows = contexts.join(ranges, "gram").select("no", "place", "single", "suffix", "before", "least", "most").mapInArrow(_windows(span, gram), "no long, place long, single boolean, o int, window binary")
+    windows = save(windows, "windows")
+    twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    more = windows.where("single").join(twice, "window", "left_semi").select("no", (F.col("place") - F.col("o")).alias("start"), (F.col("place") - F.col("o") + span).alias("end"))
+    more = more.groupBy("no", "start").agg(F.max("end").alias("end"))
+    return done.unionByName(more)
+
+
+CUT = "no long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
+
+
+def _cut(keep: bool):
+    """Texts without the bytes that lie in any of the runs."""
 
     def of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             out: list[list] = [[] for _ in range(6)]
             for r in batch.to_pylist():
-                first = np.array([m["first"] for m in r["marks"]] + (r["starts"] or []), np.int64)
-                end = np.array([m["last"] + span for m in r["marks"]] + [s + span for s in r["starts"] or []], np.int64)
-                if not len(first):
-                    continue
+                first = np.array([x["start"] for x in r["runs"]], np.int64)
+                end = np.array([x["end"] for x in r["runs"]], np.int64)
                 order = np.argsort(first, kind="stable")
                 first, end = first[order], np.maximum.accumulate(end[order])
                 new = np.concatenate([[True], first[1:] > end[:-1]])
@@ -293,9 +391,58 @@ def _cut(span: int, keep: bool):
                     kept.append(data[at:a])
                     at = b
                 kept = b"".join([*kept, data[at:]])
-                for column, x in zip(out, (r["id"], len(data) - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], kept if keep else None), strict=True):
+                for column, x in zip(out, (r["no"], len(data) - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], kept if keep else None), strict=True):
                     column.append(x)
             spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.record_batch([pa.array(x, kind) for x, kind in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.string(), spans, pa.binary()), strict=True)], ["id", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+            yield pa.record_batch([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), spans, pa.binary()), strict=True)], ["no", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
     return of
+
+
+def remove_repeats(docs: DataFrame, span: int = 200, gram: int = 64, batch_bytes: int = 32 << 20, keep: bool = True) -> DataFrame:
+    """For each row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans,
+    kept_sha256, spans (array of start and end of the maximal runs removed) and
+    kept (the bytes left where any were removed, else null; null without keep).
+
+    Every UTF-8 byte covered by a string of `span` bytes that starts elsewhere
+    too, in this document or another, is removed; strings are judged on the
+    texts as they came and don't cross documents. A null text is an empty one,
+    a text of fewer than `span` bytes stays; repeated rows are each other's
+    copies; null doc_ids and other columns don't matter; an empty table gives
+    an empty one. Very long texts are sampled in parts of PART bytes.
+
+    The number of batches grows with the input: one more each time it doubles
+    from `batch_bytes` on, so a batch is a part of the corpus that a scan of
+    the levels is worth."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    batches = 1 + (total // batch_bytes).bit_length()
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    family = Family(spark, f"{shared_dir(spark)}/lodestone-family-{uuid.uuid4().hex}", tasks)
+    batch = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(batches)).cast("int").alias("batch")
+    family.add(entries(docs.select(batch, "text"), span, gram))
+    common = save(family.common(), "common") if family.levels else None
+    family.close()
+    if common is None:  # no text is long enough
+        none = F.lit(0).cast("long")
+        return docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"), F.lit(None).cast("binary").alias("kept"))
+    hits = save(_hits(docs, _filter(common.select("gram").distinct()), span, gram).withColumn("no", F.monotonically_increasing_id()), "hits")
+    each = hits.where("text is not null").select("no", F.explode(F.arrays_zip("firsts", "lasts", "places", "stretches")).alias("x"))
+    each = each.select("no", F.col("x.firsts").alias("first"), F.col("x.lasts").alias("last"), F.col("x.places").alias("place"), F.col("x.stretches").alias("stretch"))
+    met = save(each.join(common, "stretch").select("no", "first", "last", "place", "gram", "stretch", "n", "lone"), "met")
+    # of equal stretches one is enough for others to be compared with
+    shown = met.where("n > 1 and lone").groupBy("gram", "stretch").agg(F.min(F.struct("no", "place")).alias("x")).select("x.*", "gram", F.lit(False).alias("single"))
+    looks = met.where("n = 1").select("no", "place", "gram", F.lit(True).alias("single")).unionByName(shown)
+    # a text has one sampled suffix for some bytes, so what is listed here is bounded by the text itself
+    looks = looks.groupBy("no").agg(F.collect_list(F.struct("place", "gram", "single")).alias("looks"))
+    texts = hits.where("text is not null").select("no", "text")
+    contexts = save(texts.join(looks, "no").mapInArrow(_contexts(span, gram), CONTEXT), "contexts")
+    whole = met.where("n > 1").select("no", F.col("first").alias("start"), (F.col("last") + span).alias("end"))
+    runs = whole.unionByName(_closer(contexts, span, gram, tasks))
+    runs = save(runs.groupBy("no").agg(F.collect_list(F.struct("start", "end")).alias("runs")), "runs")
+    discard(met)
+    cut = save(texts.join(runs, "no").mapInArrow(_cut(keep), CUT), "cut")
+    rest = hits.select("no", "doc_id", "n_bytes", "sha256").join(cut, "no", "left")
+    none = F.lit(0).cast("long")
+    return rest.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "spans", "kept")

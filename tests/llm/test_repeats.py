@@ -1,9 +1,12 @@
 import hashlib
+import tempfile
 from collections import Counter
 
 import numpy as np
+import pytest
 
-from lodestone.llm import repeats
+from lodestone.llm import queries, repeats
+from lodestone.llm.common import shared_dir
 
 
 def plain(texts, span):
@@ -21,7 +24,7 @@ def plain(texts, span):
     return out
 
 
-def test_against_brute_force(spark):
+def made():
     rng = np.random.default_rng(9)
     words = ["".join(rng.choice(list("abcdeéß"), rng.integers(2, 7))) for _ in range(400)]
     text = lambda n: " ".join(rng.choice(words, n))
@@ -31,30 +34,75 @@ def test_against_brute_force(spark):
     texts += [text(20) + passages[int(rng.integers(3))] + text(30) + passages[int(rng.integers(3))] for _ in range(20)]
     texts += texts[20:30] + [texts[40], texts[40][:-1] + "q", "z" + texts[41], texts[42][10:], texts[43][:300] + "!" + texts[43][301:]]
     texts += [(s := text(80)) + s, text(10) + passages[0][3:200] + text(9)]
-    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int, row string").repartition(5)
-    path = "/tmp/lodestone-test-repeats-%d" % np.random.default_rng().integers(1 << 40)
-    docs.write.parquet(path)
-    docs = spark.read.parquet(path)
+    # mosaics: what a piece has in common with others differs to the left and to the right
+    core = text(40)
+    for _ in range(60):
+        a, b = sorted(rng.integers(0, len(core), 2).tolist())
+        texts.append(text(8) + core[a:b] + text(8))
+    # a long text of many edits of another
+    long = text(3000)
+    edited = list(long)
+    for i in rng.integers(0, len(long), 40):
+        edited[i] = "#"
+    return texts + [long, "".join(edited)]
+
+
+@pytest.fixture(scope="module")
+def saved(spark):
+    texts = made()
+    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int, no string").repartition(5)
+    with tempfile.TemporaryDirectory(prefix="spark-") as folder:
+        docs.write.mode("overwrite").parquet(f"{folder}/docs")
+        yield spark.read.parquet(f"{folder}/docs"), texts
+
+
+@pytest.mark.parametrize("part, batch_bytes", [(1 << 20, 1 << 30), (1000, 1 << 12)])
+def test_against_brute_force(saved, part, batch_bytes, monkeypatch):
+    docs, texts = saved
+    monkeypatch.setattr(repeats, "PART", part)
+    monkeypatch.setattr(repeats, "SENT", 100)
+    rows = repeats.remove_repeats(docs, batch_bytes=batch_bytes).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
     want = plain(texts, 200)
-    old = repeats.PART
-    for part, batches in ((1 << 20, 3), (1 << 20, 2)):
-        repeats.PART = part
-        rows = repeats.remove_repeats(docs, batches=batches).collect()
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
-        assert [got[i] for i in range(len(texts))] == want and len(rows) == len(texts)
-        for r in rows:
-            if r.spans and r.kept is not None:
-                assert sum(s.end - s.start for s in r.spans) == r.n_removed and hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
-    repeats.PART = old
+    assert len(rows) == len(texts) and {i: (got[i], w) for i, w in enumerate(want) if got[i] != w} == {}
+    for r in rows:
+        if r.spans and r.kept is not None:
+            assert sum(s.end - s.start for s in r.spans) == r.n_removed and hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
+
+
+def test_empty_and_short(spark):
+    docs = spark.createDataFrame([(None, None, 1), (1, "short", 2), (1, "short", 2)], "doc_id long, text string, batch int")
     assert repeats.remove_repeats(docs.limit(0)).collect() == []
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in repeats.remove_repeats(docs).collect()) == [(0, 0, 0, 0), (1, 5, 0, 0), (1, 5, 0, 0)]
+
+
+def test_query(spark, saved, tmp_path):
+    docs, texts = saved
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op3_repeats(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(texts))] == plain(texts, 200)
+
+
+def test_levels_merge_and_a_kept_family_goes_on(spark):
+    path = f"{shared_dir(spark)}/lodestone-family-test"
+    of = lambda rows: spark.createDataFrame([(g, s.encode().ljust(16), n, b) for g, s, n, b in rows], "gram long, stretch binary, n long, batch int")
+    family = repeats.Family(spark, path, 3)
+    family.add(of([(1, "a", 1, 0), (2, "b", 1, 0), (3, "c", 1, 1), (4, "d", 1, 2), (1, "a", 1, 2), (5, "e", 1, 3), (6, "f", 2, 4)]))
+    assert [size for _, size in family.levels] == [4, 1]
+    met = lambda f: sorted((r.gram, bytes(r.stretch).decode().strip(), r.n, r.lone) for r in f.common().collect())
+    assert met(family) == [(1, "a", 2, False), (6, "f", 2, False)]
+    family.close(keep=True)
+    again = repeats.Family(spark, path, 3)
+    assert [size for _, size in again.levels] == [4, 1]
+    again.add(of([(3, "x", 1, 0), (9, "y", 1, 0)]))
+    assert [size for _, size in again.levels] == [4, 2]
+    assert met(again) == [(1, "a", 2, False), (3, "c", 1, True), (3, "x", 1, True), (6, "f", 2, False)]
+    again.close()
 
 
-def test_parts_sample_every_window():
+def test_parts_sample_every_window(monkeypatch):
     rng = np.random.default_rng(1)
     data = rng.integers(97, 101, 5000, np.uint8).tobytes()
-    old, repeats.PART = repeats.PART, 1000
-    try:
-        runs = [(int(f) + at, int(last) + at) for at, part in repeats.parts(data, 200) for f, last in zip(*repeats.sampled(part, 200, 64)[1:3])]
-    finally:
-        repeats.PART = old
+    monkeypatch.setattr(repeats, "PART", 1000)
+    runs = [(int(f) + at, int(last) + at) for at, part in repeats.parts(data, 200) for f, last in zip(*repeats.sampled(part, 200, 64)[1:3])]
     assert [x for a, b in runs for x in range(a, b + 1)] == list(range(4801))
