@@ -37,6 +37,11 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def discard_path(spark: SparkSession, folder: str) -> None:
     """Delete a folder of the shared folder that nothing reads any more."""
     if "/lodestone-" in folder:

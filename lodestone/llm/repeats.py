@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, discard_path, save, shared_dir, starts_of
+from .common import discard, discard_path, exists, save, shared_dir, starts_of
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -150,7 +150,8 @@ class Family:
         spark.sql(
             f"CREATE TABLE {self.name} (gram BIGINT, stretch BINARY, n BIGINT, size INT, run INT) USING parquet OPTIONS (compression 'zstd') PARTITIONED BY (size, run) CLUSTERED BY (gram) SORTED BY (gram, stretch) INTO {buckets} BUCKETS LOCATION '{path}/runs'"
         )
-        spark.sql(f"MSCK REPAIR TABLE {self.name}")
+        if exists(spark, f"{path}/runs"):
+            spark.sql(f"MSCK REPAIR TABLE {self.name}")
         self.buckets = buckets
         self.levels = sorted((r["run"], r["size"]) for r in spark.table(self.name).select("run", "size").distinct().collect())  # few: a logarithm of the batches
 
@@ -185,9 +186,8 @@ class Family:
             self.spark.catalog.refreshTable(self.name)
         self.levels.append((run, size))
         for was, old in gone:
+            self.spark.sql(f"ALTER TABLE {self.name} DROP PARTITION (size = {was}, run = {old})")
             discard_path(self.spark, f"{self.path}/runs/size={was}/run={old}")
-        if gone:
-            self.spark.catalog.refreshTable(self.name)
 
     def common(self) -> DataFrame:
         """(gram, stretch, n, lone): the suffixes that met another, and whether

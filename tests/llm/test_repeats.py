@@ -1,5 +1,6 @@
 import hashlib
 import tempfile
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -84,7 +85,7 @@ def test_query(spark, saved, tmp_path):
 
 
 def test_levels_merge_and_a_kept_family_goes_on(spark):
-    path = f"{shared_dir(spark)}/lodestone-family-test"
+    path = f"{shared_dir(spark)}/lodestone-family-{uuid.uuid4().hex}"
     of = lambda rows: spark.createDataFrame([(g, s.encode().ljust(16), n, b) for g, s, n, b in rows], "gram long, stretch binary, n long, batch int")
     family = repeats.Family(spark, path, 3)
     family.add(of([(1, "a", 1, 0), (2, "b", 1, 0), (3, "c", 1, 1), (4, "d", 1, 2), (1, "a", 1, 2), (5, "e", 1, 3), (6, "f", 2, 4)]))
