@@ -153,7 +153,8 @@ class Family:
         if exists(spark, f"{path}/runs"):
             spark.sql(f"MSCK REPAIR TABLE {self.name}")
         self.buckets = buckets
-        self.levels = sorted((r["run"], r["size"]) for r in spark.table(self.name).select("run", "size").distinct().collect())  # few: a logarithm of the batches
+        there = spark.table(self.name).select("run", "size").distinct().collect()  # few: a logarithm of the batches
+        self.levels = sorted(((r["run"], r["size"]) for r in there), key=lambda x: -x[1])
 
     def of(self, *runs: int) -> DataFrame:
         return self.spark.table(self.name).where(F.col("run").isin(*runs)).select("gram", "stretch", "n")
