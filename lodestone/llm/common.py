@@ -128,19 +128,22 @@ def components(edges: DataFrame) -> DataFrame:
     root the smallest node that can be reached; roots themselves and nodes
     without edges are left out. Alternating large and small stars: each round
     only moves edges towards smaller nodes, so it stays a shuffle of at most
-    as many rows as edges however large a component is."""
+    as many rows as edges however large a component is. Minima are written
+    before they are joined: a join of two plain shuffles is one whose hot keys
+    Spark splits, so the edges of a star's centre don't all go to one task."""
     now = save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     state = None
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         low = both.groupBy("u").agg(F.min("v").alias("low"))
-        low = low.select("u", F.least("u", "low").alias("low"))
-        large = both.where("v > u").join(low, "u").select(F.col("low").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("low"))
+        low = save(low.select("u", F.least("u", "low").alias("low")), "low")
+        large = save(both.where("v > u").join(low, "u").select(F.col("low").alias("a"), F.col("v").alias("b")).where("a <> b").distinct(), "large")
+        least = save(large.groupBy("b").agg(F.min("a").alias("low")), "least")
         small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("low").alias("x"), F.col("a").alias("y")), F.struct(F.col("low").alias("x"), F.col("b").alias("y")))).alias("e"))
         after = save(small.select(F.least("e.x", "e.y").alias("a"), F.greatest("e.x", "e.y").alias("b")).where("a <> b").distinct(), "edges")
         found = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        discard(now)
+        for gone in (now, low, large, least):
+            discard(gone)
         now = after
         if found == state:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
