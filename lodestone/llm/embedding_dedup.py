@@ -29,6 +29,17 @@ def signatures(v: np.ndarray, hashes: int, tables: int, width: float, seed: int)
     return ((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int32)
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length one."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+
+
+def _whole(rows: list[bytes], n: int) -> np.ndarray:
+    """Rows of n numbers in single or double precision."""
+    return np.stack([np.frombuffer(x, "f4" if len(x) == 4 * n else "f8").astype(float) for x in rows])
+
+
 def _linked(v: np.ndarray, n: np.ndarray, sigs: np.ndarray, table: int, mine: np.ndarray, crossing: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Of a group: for each row the number of vectors that it links with and
     that it meets here first, and a root such that equal roots are connected."""
@@ -76,35 +87,36 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, hashes: int = 10
             found = [(rows[some], v[some] + 0.0) for rows, v in rows_by_length(batch.column(1)) if (some := v.any(axis=1)).any()]
             yield pa.record_batch([batch.column(0), pa.array(packed(batch.num_rows, found), pa.binary())], ["vec_id", "vec"])
 
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(x) for x in batch.column("vec").to_pylist()])
+            sizes = np.array([len(x) for x in batch.column("vec").to_pylist()], int)
             for size in np.unique(sizes):
-                for at in range(0, len(rows := np.flatnonzero(sizes == size)), 256):
-                    part = batch.take(pa.array(rows[at : at + 256]))
-                    v = matrix(part.column("vec"), "f8")
-                    v = v / np.abs(v).max(axis=1, keepdims=True)
-                    v /= np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
-                    sigs = signatures(v, hashes, tables, width, seed)
-                    keys = sigs.astype(np.int64) | np.arange(tables) << 32
-                    again = np.repeat(np.arange(len(v)), tables)
-                    unit = packed(len(v), [(np.arange(len(v)), v)])
-                    own = packed(len(v), [(np.arange(len(v)), sigs)])
-                    yield pa.record_batch([pa.array(keys.ravel()), part.column("cid").take(again), part.column("n").take(again), pa.array(unit, pa.binary()).take(again), pa.array(own, pa.binary()).take(again)], ["key", "cid", "n", "unit", "sigs"])
+                for at in range(0, len(rows := np.flatnonzero(sizes == size)), 4096):
+                    part = batch.take(pa.array(rows[at : at + 4096]))
+                    sigs = signatures(_unit(matrix(part.column("vec"), "f8")), hashes, tables, width, seed)
+                    # a key has the table and the length beside the bucket, so only vectors of one length meet
+                    keys = sigs.astype(np.int64) | np.arange(tables) << 32 | np.int64(size // 8) << 40
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables), pa.int32()), pa.array(keys.ravel()))
+                    yield pa.record_batch([*part.columns, pa.array(packed(len(sigs), [(np.arange(len(sigs)), sigs)]), pa.binary()), lists], [*part.schema.names, "sigs", "keys"])
 
     order = ["key", "block_a", "block_b"]
 
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors in single precision where that loses nothing."""
+        for batch in batches:
+            rows = [np.frombuffer(x, "f8") for x in batch.column("vec").to_pylist()]
+            with np.errstate(over="ignore"):
+                short = [s.tobytes() if (s := v.astype("f4")).astype(float).tobytes() == v.tobytes() else v.tobytes() for v in rows]
+            yield pa.record_batch([batch.column("cid"), batch.column("n"), pa.array(short, pa.binary()), batch.column("sigs")], ["cid", "n", "short", "sigs"])
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, order):
             cids, keys, a, b, mine, n = (table[c].to_numpy() for c in ("cid", "key", "block_a", "block_b", "mine", "n"))
-            unit, own = table["unit"].combine_chunks(), table["sigs"].combine_chunks()
+            vecs, own = table["short"].combine_chunks(), table["sigs"].combine_chunks()
             out = []
             for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(cids)], strict=True):
                 if end - at > 1:
-                    sizes = {len(x) for x in unit.slice(at, end - at).to_pylist()}
-                    if len(sizes) > 1:  # lengths are part of the hash, so hardly ever
-                        continue
-                    counted, roots = _linked(matrix(unit.slice(at, end - at), "f8"), n[at:end], matrix(own.slice(at, end - at), "i4"), int(keys[at] >> 32), mine[at:end], bool(a[at] != b[at]), cosine)
+                    counted, roots = _linked(_unit(_whole(vecs.slice(at, end - at).to_pylist(), int(keys[at] >> 40))), n[at:end], matrix(own.slice(at, end - at), "i4"), int(keys[at] >> 32) & 255, mine[at:end], bool(a[at] != b[at]), cosine)
                     here = cids[at:end]
                     some = (counted > 0) | (roots != np.arange(len(roots)))
                     out.append((here[some], here[roots[some]], counted[some]))
@@ -113,9 +125,12 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, hashes: int = 10
 
     vectors = save(embeddings.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(unpack, "vec_id long, vec binary"), "vectors")
     classes = vectors.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
+    classes = spread(classes).mapInArrow(signed, "vec binary, low long, n long, sigs binary, keys array<long>")
     classes = save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    keyed = spread(classes.select("cid", "n", "vec")).mapInArrow(buckets, "key long, cid long, n long, unit binary, sigs binary")
-    groups = in_blocks(keyed, "key", F.col("cid"), limit).repartition(*order).sortWithinPartitions(*order)
+    # buckets are counted and cut by ids alone; vectors join what is left
+    keyed = classes.select("cid", F.explode("keys").alias("key"))
+    groups = save(in_blocks(keyed, "key", F.col("cid"), limit), "groups")
+    groups = groups.join(classes.mapInArrow(shortened, "cid long, n long, short binary, sigs binary"), "cid").repartition(*order).sortWithinPartitions(*order)
     found = save(groups.mapInArrow(verify, "cid long, root long, links long"), "links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("root").alias("a"), F.col("cid").alias("b"))).select(F.col("node").alias("cid"), "root")
