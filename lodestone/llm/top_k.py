@@ -2,11 +2,13 @@
 
 A vector's dimensions are cut into `lists` groups; a candidate's score is the
 sum of its partial scores in the groups, and each group is a list of all
-candidates by partial score. Phase 1 gathers each task's best scores; the k-th
-best of them all is a lower bound of the answer, and from it a uniform cutoff
-per list follows: who beats the bound must reach the cutoff in at least one
-list. Phase 2 collects all entries that do and could still beat
-the bound; phase 3 computes the whole scores of what is left."""
+candidates by partial score. Phase 1 gathers the heads of the lists, `heads`
+candidates a list and query, and looks up what the other lists give those few;
+the k-th best sum is a lower bound of the answer. Who beats it must reach the
+bound divided by the number of lists in at least one list, so that is the
+uniform cutoff. Phase 2 collects the entries that reach it and leaves out those
+that could not beat the bound if each list that they missed gave the cutoff.
+Phase 3 computes the whole scores of what is left."""
 
 from __future__ import annotations
 
@@ -39,11 +41,12 @@ def _integers(v: np.ndarray, scale: int) -> np.ndarray:
     return np.clip(np.floor(scale * v), -(2.0**62), 2.0**62).astype(np.int64)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, lists: int = 2) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, lists: int = 2, heads: int = 32) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries (vec_id,
     embedding) the k rows of vectors with the largest integer inner products
     of floor(scale * x), ties to the smaller vec_id, the row of the same
-    vec_id left out. Vectors that are null, empty or hold null or non-finite
+    vec_id left out. Integers and scores that a long can't hold stop at its
+    ends. Vectors that are null, empty or hold null or non-finite
     numbers, and rows without vec_id, take no part; where lengths differ, the
     missing numbers are zero. Other columns are ignored. Equal vectors are
     searched once: a class is known by its k + 1 smallest ids."""
@@ -88,6 +91,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     def rows_of(column: pa.Array) -> np.ndarray:
         return matrix(pa.array([(x or b"").ljust(width, b"\0") for x in column.to_pylist()], pa.binary()), "<i8")
 
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = rows_of(batch.column("a")), rows_of(batch.column("b"))
+            if max(np.abs(a).max(initial=0), np.abs(b).max(initial=0)) <= EXACT:
+                score = np.einsum("ij,ij->i", a, b)
+            else:
+                score = np.array([int(_scores(x[None], y[None])[0, 0]) for x, y in zip(a, b, strict=True)], np.int64)
+            yield pa.record_batch([batch.column("qid"), batch.column("cid"), pa.array(score)], ["qid", "cid", "score"])
+
+    def whole_scores(pairs: DataFrame, asked: DataFrame, of: DataFrame) -> DataFrame:
+        """(qid, cid, score) of pairs (qid, cid)."""
+        both = pairs.join(asked.select("qid", F.col("vec").alias("a")), "qid").join(of.select("cid", F.col("vec").alias("b")), "cid")
+        return both.select("qid", "cid", "a", "b").mapInArrow(resolve, "qid long, cid long, score long")
+
     parts = np.array_split(np.arange(width // 8), min(lists, width // 8))
     m, most = len(parts), k + 1
     found = None
@@ -98,67 +115,53 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
         table = numbered.where(F.col("block") == at).select("qid", "vec").toArrow()
         q = spark.sparkContext.broadcast((table["qid"].to_numpy(), rows_of(table["vec"])))
 
-        def heads(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
+        def partial(batch: pa.RecordBatch, qv: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """cids of some candidates and their partial scores by list and query."""
+            v, cid = rows_of(batch.column("vec")), batch.column("cid").to_numpy()
+            step = max(16, 2_000_000 // (m * len(qv)))
+            for a in range(0, len(v), step):
+                yield cid[a : a + step], np.stack([_scores(qv[:, p], v[a : a + step][:, p]) for p in parts])
+
+        def gather(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
             qid, qv = q.value
-            best, who = np.zeros((len(qid), 0)), np.zeros((len(qid), 0), np.int64)
-            least = np.full((len(qid), m), np.iinfo(np.int64).max)
-            step = max(16, 2_000_000 // (m * len(qid)))
+            best, who = np.zeros((m, len(qid), 0), np.int64), np.zeros((m, len(qid), 0), np.int64)
             for batch in batches:
-                v, cid = rows_of(batch.column("vec")), batch.column("cid").to_numpy()
-                for a in range(0, len(v), step):
-                    part = np.stack([_scores(qv[:, p], v[a : a + step][:, p]) for p in parts])
-                    total = part.sum(axis=0, dtype=float)
-                    least = np.minimum(least, part.min(axis=2).T)
-                    t, w = np.hstack([best, total]), np.hstack([who, np.broadcast_to(cid[a : a + step], total.shape)])
-                    top = np.argpartition(-t, min(most, t.shape[1]) - 1, axis=1)[:, :most]
-                    best, who = np.take_along_axis(t, top, axis=1), np.take_along_axis(w, top, axis=1)
-            n = best.shape[1]
+                for cid, part in partial(batch, qv):
+                    t, w = np.concatenate([best, part], axis=2), np.concatenate([who, np.broadcast_to(cid, part.shape)], axis=2)
+                    top = np.argpartition(-t, min(heads, t.shape[2]) - 1, axis=2)[:, :, :heads]
+                    best, who = np.take_along_axis(t, top, axis=2), np.take_along_axis(w, top, axis=2)
+            n = best.shape[2]
             if n:
-                lows = pa.ListArray.from_arrays(pa.array(np.arange(0, len(qid) * m * n + 1, m), pa.int32()), pa.array(np.repeat(least, n, axis=0).ravel()))
-                yield pa.record_batch([pa.array(np.repeat(qid, n)), pa.array(who.ravel()), pa.array(best.ravel()), lows], ["qid", "cid", "whole", "least"])
-
-        local = save(classes.select("cid", "vec").mapInArrow(heads, "qid long, cid long, whole double, least array<long>"), "heads")
-        top = local.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("whole"), "cid"))).where(F.col("n") <= most)
-        bound = top.groupBy("qid").agg(F.min("whole").alias("bound"), F.count("*").alias("n")).where(F.col("n") == most)
-        low = local.groupBy("qid").agg(F.array(*[F.min(F.col("least")[i]) for i in range(m)]).alias("least"))
-        # one row for each query of the block
-        safe = {r["qid"]: (r["bound"], r["least"]) for r in low.join(bound, "qid", "left").collect()}
-        qids = table["qid"].to_pylist()
-        lowest = np.array([safe[i][1] if i in safe else [0] * m for i in qids], float).reshape(len(qids), m)
-        bounds = np.array([safe[i][0] if i in safe and safe[i][0] is not None else -np.inf for i in qids], float)
-        # with every partial score taken above its list's least, the bound is shared out equally
-        cutoff = lowest + ((bounds - lowest.sum(axis=1)) / m)[:, None]
-        cutoff -= 1e-6 * np.abs(np.where(np.isfinite(cutoff), cutoff, 0))  # for rounding
-        cut = spark.sparkContext.broadcast((bounds, cutoff))
+                yield pa.record_batch([pa.array(np.tile(np.repeat(qid, n), m)), pa.array(np.repeat(np.arange(m, dtype=np.int32), n * len(qid))), pa.array(who.ravel()), pa.array(best.ravel())], ["qid", "list", "cid", "part"])
+
+        # phase 1: the heads of the lists, at most `heads` a task, list and query, then of all tasks
+        local = classes.select("cid", "vec").mapInArrow(gather, "qid long, list int, cid long, part long")
+        place = F.row_number().over(Window.partitionBy("qid", "list").orderBy(F.desc("part"), "cid"))
+        seen = save(local.withColumn("n", place).where(F.col("n") <= max(heads, most)).select("qid", "cid").distinct(), "heads")
+        sums = whole_scores(seen, numbered, classes)
+        best = sums.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "cid"))).where(F.col("n") == most)
+        safe = {r["qid"]: r["score"] for r in best.select("qid", "score").collect()}  # one row for each query of the block
+        # without k + 1 candidates there is no bound and all entries are collected
+        bounds = np.array([safe.get(i, -np.inf) for i in table["qid"].to_pylist()], float)
+        bounds -= 1e-9 * np.abs(np.where(np.isfinite(bounds), bounds, 0))  # for rounding beyond 53 bits
+        cut = spark.sparkContext.broadcast((bounds, bounds / m))
 
         def entries(batches: Iterator[pa.RecordBatch], q=q, cut=cut) -> Iterator[pa.RecordBatch]:
             (qid, qv), (bounds, cutoff) = q.value, cut.value
-            step = max(16, 2_000_000 // (m * len(qid)))
             for batch in batches:
-                v, cid = rows_of(batch.column("vec")), batch.column("cid").to_numpy()
-                for a in range(0, len(v), step):
-                    part = np.stack([_scores(qv[:, p], v[a : a + step][:, p]) for p in parts]).astype(float)
-                    reached = part >= cutoff.T[:, :, None]
-                    most_ = np.where(reached, part, cutoff.T[:, :, None]).sum(axis=0)
-                    i, j = np.nonzero(reached.any(axis=0) & (most_ >= bounds[:, None] - 1e-6 * np.abs(most_)))
-                    yield pa.record_batch([pa.array(qid[i]), pa.array(cid[a + j])], ["qid", "cid"])
+                for cid, part in partial(batch, qv):
+                    reached = part >= cutoff[None, :, None]
+                    i, j = np.nonzero(reached.any(axis=0))
+                    could = np.where(reached[:, i, j], part[:, i, j].astype(float), cutoff[i]).sum(axis=0)
+                    kept = ~(could < bounds[i] - 1e-9 * np.abs(could))
+                    yield pa.record_batch([pa.array(qid[i[kept]]), pa.array(cid[j[kept]])], ["qid", "cid"])
 
         left = classes.select("cid", "vec").mapInArrow(entries, "qid long, cid long")
         found = left if found is None else found.union(left)
 
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = rows_of(batch.column("a")), rows_of(batch.column("b"))
-            if max(np.abs(a).max(initial=0), np.abs(b).max(initial=0)) <= EXACT:
-                score = np.einsum("ij,ij->i", a, b)
-            else:
-                score = np.array([int(_scores(x[None], y[None])[0, 0]) for x, y in zip(a, b, strict=True)], np.int64)
-            yield pa.record_batch([batch.column("qid"), batch.column("cid"), pa.array(score)], ["qid", "cid", "score"])
-
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    pairs = found.join(asked_vecs.select("qid", F.col("vec").alias("a")), "qid").join(classes.select("cid", F.col("vec").alias("b")), "cid").select("qid", "cid", "a", "b")
-    scored = pairs.mapInArrow(resolve, "qid long, cid long, score long").join(classes.select("cid", "ids"), "cid")
+    scored = whole_scores(found, asked_vecs, classes).join(classes.select("cid", "ids"), "cid")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.col("ids")[0]))
     best = save(scored.withColumn("n", rank).where(F.col("n") <= most).select("qid", "score", "ids"), "best")
     each = asked.join(asked_vecs, "vec").select("query_id", "qid").join(best, "qid")
