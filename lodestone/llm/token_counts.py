@@ -19,6 +19,21 @@ from .words import LONGEST_KEPT, coder, words
 HEAD = 1 << 18
 
 
+def frequent(table: DataFrame, most: int) -> DataFrame:
+    """The pre-tokens above a frequency that at most `most` of them reach, from
+    a histogram of frequencies by eighths of their logarithm: under 512 rows."""
+    short = table.where(F.length("word") <= LONGEST_KEPT)
+    step = F.floor(8 * F.log2(F.col("n").cast("double"))).cast("int")
+    sizes = sorted(((r["step"], r["words"]) for r in short.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    least, total = None, 0
+    for at, words in sizes:
+        total += words
+        if total > most:
+            break
+        least = at
+    return short.where(step >= least) if least is not None else short.limit(0)
+
+
 def pre_token_table(docs: DataFrame, path: str) -> DataFrame:
     """(word, n, pieces): each distinct pre-token of all texts, how often it occurs and its number of tokens."""
 
@@ -55,7 +70,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     table = pre_token_table(docs, path)
-    head = table.where(F.length("word") <= LONGEST_KEPT).orderBy(F.desc("n"), "word").limit(HEAD).select("word", "pieces").toArrow()
+    head = frequent(table, HEAD).select("word", "pieces").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(head["word"].to_pylist(), head["pieces"].to_pylist(), strict=True)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
