@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import svm
@@ -81,15 +81,18 @@ class Model:
 
 
 def fit(labelled: DataFrame, per_language: int = 1000) -> Model | None:
-    """Learn from text and lang of the rows given; of each language about
-    `per_language` rows, chosen by a hash of the text, take part. Rows with a
-    null in either or no letter teach nothing; None if no row does."""
+    """Learn from text and lang of the rows given; of each language at most
+    `per_language` different texts, those of the lowest hashes, take part.
+    Rows with a null in either or no letter teach nothing; None if no row does."""
     rows = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    if not counts:
+    # copies count once; a task sends on at most per_language hashes of each language
+    known = rows.select("lang", F.xxhash64("text").alias("hash")).distinct()
+    lowest = known.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("place") <= per_language)
+    lowest = lowest.groupBy("lang").agg(F.max("hash").alias("highest")).collect()  # one row a language
+    if not lowest:
         return None
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
-    chosen = rows.where((F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)) < share[F.col("lang")])
+    highest = F.create_map(*[x for r in lowest for x in (F.lit(r["lang"]), F.lit(r["highest"]))])
+    chosen = rows.where(F.xxhash64("text") <= highest[F.col("lang")]).dropDuplicates()
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
