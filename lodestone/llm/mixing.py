@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import save
 
@@ -117,11 +118,14 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     them a source of n rows weighs n ** power. Rows of a source are dealt in
     blocks of `block` in an order given by a hash of their doc_id; no row is
     left out or repeated, and when a source runs out the others go on with
-    their weights. A source that weights doesn't name is an error. The driver
+    their weights. Rows without doc_id are dealt like others, by their other
+    columns; a text is not needed and, null, empty or very long, not read; an
+    empty table gives an empty one. A source that weights doesn't name is an error. The driver
     works out the slots from the sources' counts alone, a number for each block;
     rows are never gathered. The table of slots has up to `period` blocks of a
     source in a row, which doesn't change the order."""
     docs = docs.drop("mix_slot", "mix_rank", "mix_source", "mix_bucket", "mix_n", "mix_before", "mix_part", "mix_slots")
+    plain = [f.name for f in docs.schema if f.name != "doc_id" and isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType, T.DatetimeType))]
     name = F.coalesce(F.col("source").cast("string"), F.lit(NONE))
     here = docs.withColumn("mix_source", name)
     counts = {r["mix_source"]: r["count"] for r in here.groupBy("mix_source").count().collect()}  # one row a source
@@ -131,11 +135,11 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     slots = deal({s: -(-n // block) for s, n in counts.items()}, given)
     # a row's rank in its source: ranks in buckets of a bounded size, and the rows of the buckets before
     buckets = max(1, -(-max(counts.values(), default=1) // bucket))
-    here = here.withColumn("mix_bucket", F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(buckets)).cast("int"))
+    here = here.withColumn("mix_bucket", F.pmod(F.xxhash64("doc_id", F.lit("bucket"), *plain), F.lit(buckets)).cast("int"))
     sizes = here.groupBy("mix_source", "mix_bucket").agg(F.count("*").alias("mix_n"))
     before = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("mix_before", F.coalesce(F.sum("mix_n").over(before), F.lit(0))).drop("mix_n")
-    within = F.row_number().over(Window.partitionBy("mix_source", "mix_bucket").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))) - 1
+    within = F.row_number().over(Window.partitionBy("mix_source", "mix_bucket").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64(*plain))) - 1
     ranked = here.withColumn("mix_n", within).join(save(sizes, "mixing"), ["mix_source", "mix_bucket"]).withColumn("mix_rank", (F.col("mix_before") + F.col("mix_n")).cast("long"))
     table = docs.sparkSession.createDataFrame(table_of(slots, period), "mix_source string, mix_part long, mix_slots array<long>")
     if sum(map(len, slots.values())) <= SENT:
