@@ -53,10 +53,10 @@ def fit_small(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1e3,
     return w[:-1], float(w[-1])
 
 
-def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """a, b such that 1 / (1 + exp(-(a z + b))) fits labels 0 and 1, which count equally as classes."""
+def calibrate(z: np.ndarray, y: np.ndarray, share: float = 0.5) -> tuple[float, float]:
+    """a, b such that 1 / (1 + exp(-(a z + b))) fits labels 0 and 1, where `share` of all rows have label 1."""
     a, b = 1.0, 0.0
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+    weight = np.where(y > 0, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
         g, h = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6)

@@ -6,10 +6,15 @@ characters, decay ** (stretch in one + stretch in the other), and is scaled so
 that a word's kernel with itself is 1. A gap or an inserted character lowers a
 match instead of ending it. Landmarks are words of labelled texts; a word's
 kernels with them, turned by the inverse square root of the landmarks' own
-kernel matrix, are its features. Labels sit on texts, so the machine learns
-the words that tell toxic texts (their witnesses) from all words of clean
-texts, and a text scores as its most toxic word does. A word is scored once
-per worker and remembered."""
+kernel matrix, are its features.
+
+The machine is trained on labelled sentences by multiple instances: a sentence
+is as toxic as its most toxic word. All words of a sentence of a clean text are
+negative examples. A sentence of a toxic text gives one positive example, its
+witness: a word that tells toxic texts from clean ones, or else one that the
+machine of the last round is sure of; a sentence without either gives none.
+A text scores as its most toxic sentence does. A word is scored once per worker and
+remembered."""
 
 from __future__ import annotations
 
@@ -22,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +47,7 @@ SPELT = re.compile(r"(?<!\S)(?:[^\W\d_][.,*_-]?\s+){2,}[^\W\d_](?!\w)")
 #: The first letters of longer words also count as a word: insults of inflected languages share a stem.
 STEM = 5
 FLOOR = -3.0
+SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 #: Standard errors by which a word's share of toxic texts must exceed that of clean ones.
 TELLING = 4.0
 
@@ -58,11 +64,26 @@ def units(text: str | None) -> set[str]:
     if max(map(len, found), default=0) > WIDEST:
         for w in [w for w in found if len(w) > WIDEST]:
             found.remove(w)
-            found.update(w[i : i + WIDEST] for i in range(0, len(w) - WIDEST // 2, WIDEST // 2))
+            found.update(_pieces(w))
     found.update([w[:STEM] for w in found if len(w) > STEM])
     return {w for w in found if len(w) > 2}
 
 
+def _pieces(word: str) -> list[str]:
+    """Overlapping pieces that together are the whole word."""
+    if len(word) <= WIDEST:
+        return [word]
+    return [word[i : i + WIDEST] for i in range(0, len(word) - WIDEST // 2, WIDEST // 2)]
+
+
+def sentences(text: str | None, most: int) -> list[list[str]]:
+    """The units of each sentence of a text; of more than `most` sentences, so many spread over it."""
+    parts = [p for p in SENTENCE.split(text or "") if p and not p.isspace()]
+    if len(parts) > most:
+        parts = [parts[i * len(parts) // most] for i in range(most)]
+    return [sorted(units(p)) for p in parts]
+
+
 def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of words of equal length and their characters."""
     sizes = np.array([len(w) for w in words])
@@ -179,17 +200,22 @@ class Model:
 
 
 class Bags:
-    """The distinct words of some texts, as numbers of a vocabulary."""
+    """The distinct words of some sentences of some texts, as numbers of a vocabulary."""
 
     def __init__(self, column: pa.ListArray):
-        coded = column.flatten().dictionary_encode()
+        """column: for each text a list of sentences, which are lists of words."""
+        inner = column.flatten()
+        coded = inner.flatten().dictionary_encode()
         self.words = coded.dictionary.to_pylist()
         self.codes = coded.indices.to_numpy()
-        self.ends = np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
-        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
+        size = lambda c: np.concatenate([[0], np.cumsum(pc.list_value_length(c).to_numpy(zero_copy_only=False).astype(np.int64))])
+        self.bounds = size(inner)
+        self.first = size(column)
+        self.text = np.repeat(np.arange(len(column)), np.diff(self.first))
 
     def of(self, i: int) -> np.ndarray:
-        return self.codes[self.starts[i] : self.ends[i]]
+        """The distinct words of a text."""
+        return np.unique(self.codes[self.bounds[self.first[i]] : self.bounds[self.first[i + 1]]])
 
     def counts(self, rows: np.ndarray) -> np.ndarray:
         """In how many of these texts each word occurs."""
@@ -198,6 +224,18 @@ class Bags:
             out[self.of(i)] += 1
         return out
 
+    def witnesses(self, values: np.ndarray) -> np.ndarray:
+        """The word of highest value in each sentence, -1 in one without words."""
+        out = np.full(len(self.bounds) - 1, -1)
+        some = np.flatnonzero(np.diff(self.bounds))
+        if len(some):
+            own = values[self.codes]
+            highest = np.repeat(np.maximum.reduceat(own, self.bounds[some]), np.diff(self.bounds)[some])
+            at = np.flatnonzero(own == highest)
+            sentence = np.repeat(some, np.diff(self.bounds)[some])[at]
+            out[sentence[::-1]] = self.codes[at[::-1]]  # the first one of equal words
+        return out
+
     def highest(self, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Each of these texts' highest value over its words."""
         return np.array([max(FLOOR, float(values[self.of(i)].max(initial=FLOOR))) for i in rows])
@@ -206,24 +244,25 @@ class Bags:
         """The texts that resemble none before them, by 32 minima of hashes:
         copies of one text must not make its chance words look telling."""
         hashes = np.random.default_rng(5).integers(0, 1 << 32, (len(self.words) + 1, 32), np.uint32)
-        minima = np.empty((len(self.ends), 32), np.uint32)
+        minima = np.empty((len(self.first) - 1, 32), np.uint32)
         kept: list[int] = []
-        for i in range(len(self.ends)):
-            own = hashes[self.of(i) if len(self.of(i)) else [-1]].min(axis=0)
+        for i in range(len(minima)):
+            own = self.of(i)
+            own = hashes[own if len(own) else [-1]].min(axis=0)
             if not kept or (minima[: len(kept)] == own).mean(axis=1).max() < alike:
                 minima[len(kept)] = own
                 kept.append(i)
         return np.array(kept, int)
 
 
-def _landmarks(words: list[str], there: np.ndarray, elsewhere: np.ndarray, p: int, n: int, most: int) -> tuple[list[str], np.ndarray]:
+def _landmarks(words: list[str], there: np.ndarray, elsewhere: np.ndarray, p: int, n: int, most: int, candidates: int) -> tuple[list[str], np.ndarray]:
     """Words that tell toxic texts from clean ones, then the clean words that
     are most like them; and how telling each word is, in standard errors.
     there and elsewhere: how many of the p toxic and n clean texts have it."""
     q = (there + elsewhere) / (p + n)
     telling = (there / p - elsewhere / n) / np.sqrt(np.maximum(q * (1 - q), 1e-12) * (1 / p + 1 / n))
     telling[(there < 3) | (there / p <= 4 * elsewhere / n)] = 0
-    first = sorted(np.flatnonzero(telling > TELLING), key=lambda i: (-telling[i], words[i]))[: 4 * most]
+    first = sorted(np.flatnonzero(telling > TELLING), key=lambda i: (-telling[i], words[i]))[:candidates]
     if not first:
         return [], telling
     like = Kernel([words[i] for i in first])([words[i] for i in first])
@@ -232,7 +271,7 @@ def _landmarks(words: list[str], there: np.ndarray, elsewhere: np.ndarray, p: in
         if len(kept) < most * 2 // 3 and (not kept or like[i, kept].max() < 0.8):
             kept.append(i)
     chosen = [words[first[i]] for i in kept]
-    others = sorted(np.flatnonzero((elsewhere > 0) & (telling == 0)), key=lambda i: (-elsewhere[i], words[i]))[:20_000]
+    others = sorted(np.flatnonzero((elsewhere > 0) & (telling == 0)), key=lambda i: (-elsewhere[i], words[i]))[: 50 * candidates]
     if others:
         near = Kernel(chosen)([words[i] for i in others]).max(axis=1)
         chosen += [words[others[i]] for i in np.argsort(-near, kind="stable")[: most - len(chosen)]]
@@ -241,27 +280,36 @@ def _landmarks(words: list[str], there: np.ndarray, elsewhere: np.ndarray, p: in
 
 def _gapped(word: str) -> list[str]:
     """A word with one character put in at each place in turn, or a mark at all."""
-    return [w[:WIDEST] for w in [*(word[:i] + "x*e.h-"[i % 6] + word[i:] for i in range(1, len(word))), ".".join(word), "-".join(word)]]
-
-
-def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, landmarks: int = 96) -> Model:
-    """Learn from the texts of docs (doc_id, text) whose doc_id labels (doc_id,
-    toxic 0 or 1) name: of each label about `most` labels, chosen by a hash of
-    the doc_id, take part, so what is gathered is bounded. Nulls teach nothing.
-    Without a toxic and a clean text, or without a word that tells them apart,
-    every text scores the share of toxic labels."""
-    labels = labels.select(F.col("doc_id").cast("long"), (F.col("toxic") > 0).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
+    made = [*(word[:i] + "x*e.h-"[i % 6] + word[i:] for i in range(1, len(word))), ".".join(word), "-".join(word)]
+    return [piece for w in made for piece in _pieces(w)[:1]]
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, landmarks: int = 96, per_text: int = 400, candidates: int = 400, negatives: int = 30_000, rounds: int = 2) -> Model:
+    """Learn from labelled sentences of the texts of docs (doc_id, text) whose
+    doc_id labels (doc_id, toxic 0 or 1) name.
+
+    What is gathered is bounded: of each label at most `most` texts, those with
+    the lowest hashes of doc_id and text, of each at most `per_text` sentences
+    spread over it; as landmarks at most `candidates` telling words and 50
+    times as many frequent clean words come into question; of the words of
+    clean sentences the `negatives` nearest to a landmark are learnt from.
+    Positive sentences count once more with a character put into their witness. Nulls
+    teach nothing. Without a toxic and a clean text, or without a word that
+    tells them apart, every text scores the share of toxic labels."""
+    labels = labels.select(F.col("doc_id").cast("long"), (F.col("toxic") > 0).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").distinct()
     counts = dict(labels.groupBy("toxic").agg(F.count("*")).collect())  # two rows at most
-    share = F.when(F.col("toxic") == 1, min(1.0, most / max(1, counts.get(1, 0)))).otherwise(min(1.0, most / max(1, counts.get(0, 0))))
-    chosen = labels.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)) < share)
+    lowest = lambda *by: F.row_number().over(Window.partitionBy("toxic").orderBy(*by))
+    chosen = labels.withColumn("place", lowest(F.xxhash64("doc_id"), "doc_id")).where(F.col("place") <= most).drop("place")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    chosen = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    chosen = texts.join(F.broadcast(chosen), "doc_id")  # at most 2 * most rows are sent
+    chosen = chosen.withColumn("place", lowest(F.xxhash64("doc_id"), F.xxhash64("text"))).where(F.col("place") <= most).select("text", "toxic")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(1), pa.array([sorted(units(t.as_py())) for t in batch.column(0)], pa.list_(pa.string()))], ["toxic", "units"])
+            made = [sentences(t.as_py(), per_text) for t in batch.column(0)]
+            yield pa.record_batch([batch.column(1), pa.array(made, pa.list_(pa.list_(pa.string())))], ["toxic", "units"])
 
-    got = chosen.mapInArrow(split, "toxic int, units array<string>").toArrow()
+    got = chosen.mapInArrow(split, "toxic int, units array<array<string>>").toArrow()
     if not got.num_rows:
         return Model([], 0.0)
     labels, bags = got["toxic"].to_numpy(), Bags(got["units"].combine_chunks())
@@ -272,30 +320,46 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, landmarks: int = 9
     if not len(toxic) or not len(clean):
         return Model([], base)
     elsewhere = bags.counts(clean)
-    chosen_words, telling = _landmarks(bags.words, bags.counts(toxic), elsewhere, len(toxic), len(clean), landmarks)
+    chosen_words, telling = _landmarks(bags.words, bags.counts(toxic), elsewhere, len(toxic), len(clean), landmarks, candidates)
     model = Model(chosen_words, base)
     if not chosen_words:
         return model
-    witnesses = np.flatnonzero(telling > TELLING)
-    seen = np.sqrt(bags.counts(toxic)[witnesses])
-    gapped = [_gapped(bags.words[i]) for i in witnesses]
+    used = np.zeros(len(labels), bool)
+    used[rows] = True
+    inside = used[bags.text] & (labels[bags.text] == 1)
+    # each word of a sentence of a clean text is a negative example; those far from all landmarks are left to the bias
     against = np.flatnonzero((elsewhere > 0) & (telling <= TELLING))
-    near = np.concatenate([model.kernel([bags.words[i] for i in against[k : k + 20_000]]).max(axis=1) for k in range(0, len(against), 20_000)])
-    against = against[np.argsort(-near, kind="stable")[:30_000]]  # the others are far from all landmarks
-    x = model.features([bags.words[i] for i in witnesses] + [w for g in gapped for w in g] + [bags.words[i] for i in against])
-    y = np.array([1] * (len(x) - len(against)) + [-1] * len(against))
-    weight = np.concatenate([seen, np.repeat(seen / 40, [len(g) for g in gapped]), np.ones(len(against))])
-    for _ in range(2):  # words of clean texts that come near weigh more the second time
-        model.learn(x, y, weight)
-        weight = np.where((y < 0) & (x @ model.w + model.bias > -0.5), weight * 5, weight)
-    model.slope, model.shift = svm.calibrate(bags.highest(model.margins(bags.words), rows), labels[rows].astype(float))
+    near = np.concatenate([np.zeros(0, np.float32), *(model.kernel([bags.words[i] for i in against[k : k + 20_000]]).max(axis=1) for k in range(0, len(against), 20_000))])
+    against = against[np.argsort(-near, kind="stable")[:negatives]]
+    x_against = model.features([bags.words[i] for i in against])
+    worth = np.where(telling > TELLING, telling, -1.0)
+    for _ in range(rounds):
+        # of a sentence of a toxic text one word is a positive example, if there is one to be had
+        witness = bags.witnesses(worth)
+        witness = witness[inside & (witness >= 0)]
+        words, times = np.unique(witness[worth[witness] > 0], return_counts=True)
+        gapped = [_gapped(bags.words[i]) for i in words]
+        x = np.concatenate([model.features([bags.words[i] for i in words] + [w for g in gapped for w in g]), x_against])
+        y = np.array([1] * (len(x) - len(against)) + [-1] * len(against))
+        seen = np.sqrt(times)
+        weight = np.concatenate([seen, np.repeat(seen / 40, [len(g) for g in gapped]), np.ones(len(against))])
+        for _ in range(2):  # words of clean sentences that come near weigh more the second time
+            model.learn(x, y, weight)
+            weight = np.where((y < 0) & (x @ model.w + model.bias > -0.5), weight * 5, weight)
+        margins = model.margins(bags.words)
+        # sentences without a telling word, such as those with a disguised one, find their witness by the machine
+        worth = np.where(telling > TELLING, 10 + margins, np.where((margins > 1) & (elsewhere == 0), margins, -1.0))
+    model.slope, model.shift = svm.calibrate(bags.highest(margins, rows), labels[rows].astype(float))
     return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The columns of docs with toxic_score (0 to 1) and toxic_predicted (1 from
-    `threshold`, else 0), from the whole text alone. A null or wordless text
-    scores as one without any toxic word; all rows stay as they are."""
+    `threshold`, else 0), from the whole text alone, however long: words of
+    over WIDEST characters count by overlapping pieces. A null or wordless text
+    scores as one without any toxic word; all rows, null doc_ids and repeated
+    rows too, stay as they are; an empty table gives an empty one; columns of
+    the two names are replaced."""
     docs = docs.drop("toxic_score", "toxic_predicted")
     known = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_predicted", T.IntegerType())])
