@@ -97,5 +97,44 @@ def test_seeds_with_spaces_and_lists(spark):
 def test_instances(spark):
     texts = ["My Card 4111 1111 1111 1111 and tel:+49 30 123456 or (a@b.cd), 12 ab34[x] cd56[x]", "one a@b.cd", "no 12 num77 it"]
     rows = pii.base(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "p_row long, text string"))
-    got = sorted((r.p_row, r.value, r.before, r.seed) for r in pii.instances(rows).collect())
-    assert got == sorted([(0, "4111 1111 1111 1111", "my card", True), (0, "+49 30 123456", "and tel:", True), (0, "a@b.cd", "000000 or", True), (0, "ab34[x", "(a@b.cd), 00", False), (0, "cd56[x", "00 ab00[x]", False), (2, "num77", "no 00", False)])
+    got = sorted((r.p_row, r.value, r.before, r.after, r.seed) for r in pii.instances(rows).collect())
+    want = [(0, "4111 1111 1111 1111", "my card", "and tel:+00", True), (0, "+49 30 123456", "and tel:", "or (a@b.cd),", True), (0, "a@b.cd", "000000 or", "00 ab00[x]", True)]
+    want += [(0, "ab34[x", "(a@b.cd), 00", None, False), (0, "cd56[x", "00 ab00[x]", None, False), (2, "num77", "no 00", None, False)]
+    assert got == sorted(want, key=lambda x: (x[0], x[1]))
+
+
+def test_secrets_and_words_behind(spark):
+    key = lambda i: f"{i:03}b{i * 7919 % 1000:03}adc0ffee{i:03}beef{i * 31 % 1000:03}c0de"
+    rows = [(i, f'some words then token = "{key(i)}" and more') for i in range(20)] + [(100 + i, f'now token = "short{i}x9" again') for i in range(4)]
+    # a shape that nothing but what stands behind gives away
+    rows += [(200 + i, f"word{i} x u{i}@site.org is reachable by post") for i in range(20)] + [(300 + i, f"odd y u{i}[at]site is reachable by post") for i in range(4)]
+    rows += [(400 + i, f"plain chapter {key(i)[:7]} of it") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: [(x.kind, r.text[x.start : x.end]) for x in r.spans] for r in pii.find(docs).collect()}
+    assert all(got[i] == [(pii.LEARNT, f'"{key(i)}"')] for i in range(20))
+    assert [got[300 + i] for i in range(4)] == [[(pii.LEARNT, f"u{i}[at]site")] for i in range(4)]
+    assert all(not got[400 + i] for i in range(20))
+
+
+def test_running_sums_over_chunks(spark):
+    rows = [(i, [int(x) for x in np.random.default_rng(i).integers(0, 50, n)]) for i, n in enumerate((1, 2, 3, 4, 9, 700))]
+    data = spark.createDataFrame(rows, "i int, x array<int>")
+    for step in (3, 256):
+        got = data.select("i", pii._running(data.x, lambda a, b: a + b, step).alias("s"), pii._running(data.x, pii.F.greatest, step).alias("m")).collect()
+        for r in got:
+            x = np.array(rows[r.i][1])
+            assert r.s == np.cumsum(x).tolist() and r.m == np.maximum.accumulate(x).tolist()
+
+
+def test_query(spark, tmp_path):
+    import hashlib
+
+    from lodestone.llm import queries
+
+    texts = [None, "", "x a@b.cd y 10.0.0.1", "call +49 30 1234567 or 4111 1111 1111 1111"]
+    spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op7_pii(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        spans = ",".join(f"{k}:{a}:{b}" for k, a, b in plain(t))
+        assert got[i].base_sha256 == hashlib.sha256(spans.encode()).hexdigest() and got[i].spans == spans
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in plain(t)) for k in pii.KINDS]
