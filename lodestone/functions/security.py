@@ -27,6 +27,7 @@ SECRETS = {
     "bearer_header": r"{b}Bearer\s+[A-Za-z0-9._-]{20,}{b}",
     "url_basic_auth": r"(?i){b}[a-z][a-z0-9+.-]*:\/\/[^/\s:@]+:[^/\s:@]+@",
 }
+# Keys whose values are masked, the least length and entropy of a suspicious token.
 REDACTION_KEYS = ["token", "apiKey", "api_key", "authorization", "password", "secret", "cookie", "set-cookie", "privateKey", "accessToken", "refreshToken"]
 MIN_LENGTH, MIN_ENTROPY = 32, 4.0
 
@@ -52,6 +53,15 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
     return lines.select(key, (F.col("at") + 1).alias("line"), F.explode(names).alias("name"))
 
 
+def gate(docs: DataFrame, text: str, allow: Column | bool = False) -> tuple[DataFrame, DataFrame]:
+    """(clean, blocked): blocked rows hold a secret in their text and aren't
+    allowed to; findings names the patterns that they match."""
+    names = F.array_compact(F.array(*[F.when(F.col(text).rlike(pattern(name)), F.lit(name)) for name in SECRETS]))
+    rows = docs.withColumn("findings", F.coalesce(names, F.array().cast("array<string>")))
+    bad = (F.size("findings") > 0) & ~(allow if isinstance(allow, Column) else F.lit(allow))
+    return rows.where(~bad).drop("findings"), rows.where(bad)
+
+
 def entropy(token: Column) -> Column:
     """Shannon entropy of the characters, in bits."""
     chars = F.filter(F.split(token, ""), lambda c: c != "")

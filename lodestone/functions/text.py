@@ -11,9 +11,12 @@ from pyspark.sql import types as T
 
 # Words too common to be concepts.
 STOPWORDS = (
-    "the and for with use used using via instead over than this that these those our was were are not but "
-    "from into onto off due per add added new old set get all any can will has have its their"
-).split()
+    "the", "and", "for", "with", "use", "used", "using", "via", "instead", "over", "than", "this", "that", "these", "those", "our", "was", "were", "are", "not", "but",
+    "from", "into", "onto", "off", "due", "per", "add", "added", "new", "old", "set", "get", "all", "any", "can", "will", "has", "have", "its", "their",
+)
+#: Latin letters with marks and their plain letters, by Unicode's decomposition; then marks on their own, which go.
+MARKED = {chr(c): d[0] for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isascii()}
+MARKS = "".join(map(chr, range(0x300, 0x370)))
 CHARS_PER_TOKEN = 3.5
 SPACE = r"[\s\x0B\u0085   -     　﻿]"
 
@@ -27,9 +30,15 @@ def normalise(text: Column) -> Column:
     return trim(F.regexp_replace(F.lower(text), f"{SPACE}+", " "))
 
 
+def fold(text: Column) -> Column:
+    """Lower case without accents."""
+    plain = F.translate(text, "".join(MARKED) + MARKS, "".join(MARKED.values()))
+    return F.lower(plain)
+
+
 def tokens(text: Column) -> Column:
-    """ASCII words in lower case, in order."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    """Words in lower case without accents, in order: runs of Unicode letters and numbers."""
+    return F.filter(F.split(fold(text), r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
 
 
 def significant_tokens(text: Column) -> Column:
@@ -56,6 +65,7 @@ def title(text: Column) -> Column:
 
 
 def first_line(text: Column) -> Column:
+    """The first line that isn't blank, trimmed; null without one."""
     return F.try_element_at(F.filter(F.transform(F.split(text, r"\r?\n"), trim), lambda x: x != ""), F.lit(1))
 
 
@@ -92,11 +102,29 @@ def version_parts(text: Column) -> Column:
 def is_newer(a: Column, b: Column) -> Column:
     """Whether version a is later than b; missing parts are 0."""
     n = F.greatest(F.size(version_parts(a)), F.size(version_parts(b)))
-    pad = lambda v: F.slice(F.concat(v, F.array_repeat(F.lit(0), 8)), F.lit(1), F.greatest(n, F.lit(8)))
+    pad = lambda v: F.slice(F.concat(v, F.array_repeat(F.lit(0), n)), F.lit(1), n)
     key = lambda v: F.array_join(F.transform(pad(version_parts(v)), lambda x: F.lpad(x.cast("string"), 10, "0")), ".")
     return key(a) > key(b)
 
 
+def looks_like_file(target: Column) -> Column:
+    """Whether a target of a query is a path: it has a slash, a backslash or an extension."""
+    return target.rlike(r"[/\\\\]|\.[A-Za-z0-9]+$")
+
+
+def split_csv(text: Column) -> Column:
+    """Parts between commas, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(text, ","), trim), lambda x: x != "")
+
+
+def parse_rejected(text: Column) -> Column:
+    """(option, reason) of "option: reason", cut at the first colon; without one there is no reason."""
+    at = F.instr(text, ":")
+    option = F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text)
+    reason = F.when(at > 0, F.substring(text, at + 1, F.length(text))).otherwise("")
+    return F.struct(trim(option).alias("option"), trim(reason).alias("reason"))
+
+
 def directory(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 

@@ -75,16 +75,17 @@ def _hop(edges_: DataFrame, frontier: DataFrame) -> DataFrame:
     """(id, points) that the frontier's documents (id) give others. Each bridge
     adds up the frontier's edges by weight before it meets its other documents,
     so a hub of n documents costs n rows, not n * n; what a document would give
-    itself is taken off."""
+    itself is taken off. Points are decimals, so no order of adding matters."""
+    exact = lambda x: F.round(x, 6).cast("decimal(20,6)")
     kinds = F.create_map(*[x for rel, kind in BRIDGES.items() for x in (F.lit(rel), F.lit(ranking.BRIDGE[kind]))])
     bridging = edges_.where(F.col("rel").isin(*BRIDGES))
     mine = bridging.join(frontier.select(F.col("id").alias("src")), "src", "left_semi")
     counts = mine.groupBy("dst", "rel", F.col("weight").alias("w")).agg(F.count("*").alias("n"))
-    given = bridging.join(counts, ["dst", "rel"]).select(F.col("src").alias("id"), (kinds[F.col("rel")] * F.col("n") * F.least("w", "weight")).alias("points"), F.col("n"))
-    own = mine.select(F.col("src").alias("id"), (-kinds[F.col("rel")] * F.col("weight")).alias("points"), F.lit(-1).cast("long").alias("n"))
+    given = bridging.join(counts, ["dst", "rel"]).select(F.col("src").alias("id"), (exact(kinds[F.col("rel")] * F.least("w", "weight")) * F.col("n").cast("decimal(12,0)")).alias("points"), F.col("n"))
+    own = mine.select(F.col("src").alias("id"), (-exact(kinds[F.col("rel")] * F.col("weight"))).alias("points"), F.lit(-1).cast("long").alias("n"))
     sup = edges_.where("rel = 'SUPERSEDES'")
     both = sup.select("src", "dst", "weight").union(sup.select("dst", "src", "weight"))
-    chained = both.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"), (F.lit(ranking.BRIDGE["supersedes"]) * F.col("weight")).alias("points"), F.lit(1).cast("long").alias("n"))
+    chained = both.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"), exact(F.lit(ranking.BRIDGE["supersedes"]) * F.col("weight")).alias("points"), F.lit(1).cast("long").alias("n"))
     return given.union(own).union(chained).groupBy("id").agg(F.sum("points").alias("points"), F.sum("n").alias("bridges")).where("bridges > 0")
 
 
@@ -100,10 +101,96 @@ def expand(edges_: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
             found = save(found, "expand")
             frontier = found.select("id").distinct().join(reached, "id", "left_anti")
             reached = reached.union(frontier)
-    out = found.groupBy("id").agg(F.sum("points").alias("points"), F.sum("bridges").alias("bridges"), F.min("distance").alias("distance"))
+    out = found.groupBy("id").agg(F.sum("points").cast("double").alias("points"), F.sum("bridges").alias("bridges"), F.min("distance").alias("distance"))
     return out.join(seeds.select("id"), "id", "left_anti")
 
 
+def expand_budgeted(edges_: DataFrame, seeds: list[str], depth: int = 1, max_nodes: int = 40, max_edges: int = 80) -> DataFrame:
+    """(id, seed, kind, bridge, weight, distance): what leads from seeds to
+    other documents, within a budget of edges and documents. Edges are walked
+    in the order of the seeds, SUPERSEDES first, then bridges by id and their
+    documents by id; walking to a bridge is an edge too. Each task sends on no
+    more edges than the budget has left."""
+    kinds = F.create_map(*[x for rel, kind in BRIDGES.items() for x in (F.lit(rel), F.lit(kind))])
+    spark = edges_.sparkSession
+    bridging = edges_.where(F.col("rel").isin(*BRIDGES)).withColumn("kind", kinds[F.col("rel")])
+    sup = edges_.where("rel = 'SUPERSEDES'")
+    both = sup.select("src", F.col("dst").alias("other"), "weight").union(sup.select("dst", "src", "weight"))
+    schema = "id string, seed string, kind string, bridge string, weight double, distance int"
+    rows, known, frontier, left = [], [], list(seeds), max_edges
+    seen = set(seeds)
+    for d in range(1, depth + 1):
+        if not frontier or left <= 0 or len(known) >= max_nodes:
+            break
+        start = F.broadcast(spark.createDataFrame([(s, i) for i, s in enumerate(frontier)], "seed string, at int"))  # seeds, then at most the budget
+        chained = both.join(start, both.src == start.seed).select("at", F.lit(0).alias("step"), F.lit("").alias("bridge"), F.col("other").alias("id"), "seed", F.lit("supersedes").alias("kind"), "weight")
+        mine = bridging.join(start, bridging.src == start.seed).select("at", "seed", F.col("dst").alias("bridge"), "rel", "kind", F.col("weight").alias("w"))
+        there = mine.select("at", F.lit(1).alias("step"), "bridge", F.lit(None).cast("string").alias("id"), "seed", "kind", F.col("w").alias("weight"))
+        back = bridging.select("src", F.col("dst").alias("bridge"), "rel", "weight").join(mine, ["bridge", "rel"]).where("src <> seed")
+        back = back.select("at", F.lit(1).alias("step"), "bridge", F.col("src").alias("id"), "seed", "kind", F.least("w", "weight").alias("weight"))
+        walked = chained.union(there).union(back).orderBy("at", "step", "bridge", F.col("id").asc_nulls_first(), "kind").limit(left).collect()  # at most max_edges
+        left -= len(walked)
+        frontier = []
+        for r in walked:
+            if r["id"] is None:
+                continue
+            if r["id"] not in known and len(known) < max_nodes:
+                known.append(r["id"])
+            if r["id"] in known:
+                rows.append((r["id"], r["seed"], r["kind"], r["bridge"], r["weight"], d))
+            if r["id"] not in seen:
+                seen.add(r["id"])
+                frontier.append(r["id"])
+    return spark.createDataFrame([r for r in rows if r[0] not in set(seeds)], schema)
+
+
+def related_to_file(edges_: DataFrame, path: str) -> DataFrame:
+    """(id, points, bridges, distance): documents that touch a file, at no
+    distance and with the points of one file bridge, and what they lead to;
+    nothing for an unknown file."""
+    touching = edges_.where((F.col("rel") == "TOUCHES_FILE") & (F.col("dst") == node("file", F.lit(path)))).select(F.col("src").alias("id")).distinct()
+    own = touching.select("id", F.lit(ranking.BRIDGE["file"]).alias("points"), F.lit(1).cast("long").alias("bridges"), F.lit(0).alias("distance"))
+    return own.unionByName(expand(edges_, touching, 1))
+
+
+def resolve(nodes_: DataFrame, ids: list[str]) -> DataFrame:
+    """(asked, id): the nodes that ids of documents stand for, by ref; ids with
+    a kind stay, unknown ones are footprints."""
+    asked = nodes_.sparkSession.createDataFrame([(i,) for i in ids], "asked string")
+    refs = nodes_.where(F.col("kind").isin("footprint", "memory")).select(F.col("ref").alias("asked"), F.col("id").alias("known"))
+    found = asked.join(refs, "asked", "left")
+    return found.select("asked", F.when(F.col("asked").contains(":"), F.col("asked")).otherwise(F.coalesce("known", node("footprint", F.col("asked")))).alias("id"))
+
+
+def superseding(edges_: DataFrame, affected: DataFrame) -> DataFrame:
+    """SUPERSEDES edges that begin or end at affected documents (id)."""
+    s = edges_.where("rel = 'SUPERSEDES'")
+    ids = affected.select("id").distinct()
+    return s.join(ids, s.src == ids.id, "left_semi").union(s.join(ids, s.dst == ids.id, "left_semi")).distinct()
+
+
+def document_nodes(docs: DataFrame) -> DataFrame:
+    """(id, kind, label, ref, data): a node for each document with what ranking and rendering need."""
+    data = F.struct(F.get("files", F.lit(0)).alias("file_path"), "status", "work_type", "created_at", "actor")
+    return docs.select(node("footprint", F.col("id").cast("string")).alias("id"), F.lit("footprint").alias("kind"), F.col("title").alias("label"), F.col("id").cast("string").alias("ref"), data.alias("data"))
+
+
+def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Nodes (id, kind, label, ref) after a write: what a document owns is
+    replaced, of what documents share the first label stays."""
+    both = old.withColumn("order_", F.lit(0)).unionByName(new.withColumn("order_", F.lit(1)))
+    row = F.struct("kind", "label", "ref")
+    chosen = both.groupBy("id").agg(F.min_by(row, "order_").alias("first"), F.max_by(row, "order_").alias("last"))
+    owned = F.col("last.kind").isin("footprint", "memory", "rejected_option")
+    return chosen.select("id", F.when(owned, F.col("last")).otherwise(F.col("first")).alias("x")).select("id", "x.*")
+
+
+def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges (src, dst, rel, weight, owner) after a write: the last writer's weight and owner hold."""
+    both = old.withColumn("order_", F.lit(0)).unionByName(new.withColumn("order_", F.lit(1)))
+    return both.groupBy("src", "dst", "rel").agg(F.max_by(F.struct("weight", "owner"), "order_").alias("x")).select("src", "dst", "rel", "x.*")
+
+
 def rank(candidates: DataFrame, docs: DataFrame, now: str, exclude_superseded: bool = False) -> DataFrame:
     """Candidates that are documents, with their score."""
     known = docs.select(node("footprint", F.col("id").cast("string")).alias("id"), "status", "created_at", "work_type")

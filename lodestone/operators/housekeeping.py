@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.search import active
@@ -38,6 +38,56 @@ def apply_supersede(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("superseded_by").isNotNull(), "superseded").otherwise(F.col("status"))).withColumn("supersedes", F.coalesce("supersedes", F.lit(0)))
 
 
+def link_supersede(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """docs (with array columns supersedes and superseded_by, or without them)
+    after linking (old, new): ids are added to the lists once, so doing it again
+    changes nothing. A record lists as many ids as it has direct links."""
+    listed = lambda key, value: pairs.where(F.col("old") != F.col("new")).groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_set(value)).alias(f"more_{value}"))
+    out = docs.join(listed("old", "new"), "id", "left").join(listed("new", "old"), "id", "left")
+    kind = docs.schema["id"].dataType.simpleString()
+    empty = F.array().cast(f"array<{kind}>")
+    had = lambda name: F.coalesce(F.col(name), empty) if name in docs.columns else empty
+    merged = lambda name, more: F.array_union(had(name), F.coalesce(F.col(more), empty))
+    status = F.when(F.col("more_new").isNotNull(), "superseded").otherwise(F.col("status"))
+    out = out.withColumn("status", status).withColumn("superseded_by", merged("superseded_by", "more_new")).withColumn("supersedes", merged("supersedes", "more_old"))
+    return out.drop("more_new", "more_old")
+
+
+def with_titles(hits_: DataFrame, docs: DataFrame) -> DataFrame:
+    """Hits (returned_id, hits) with titles; "(unknown)" where the record is gone."""
+    titles = docs.select(F.col("id").alias("returned_id"), "title")
+    return hits_.join(titles, "returned_id", "left").withColumn("title", F.coalesce("title", F.lit("(unknown)")))
+
+
+def default_queries(docs: DataFrame, n: int = 5) -> DataFrame:
+    """The titles of the n newest active records, as queries to measure with."""
+    live = docs.where(active(F.col("status")) & (F.col("title") != ""))
+    return live.orderBy(F.desc("created_at"), F.desc("id")).limit(n).select("id", F.col("title").alias("query"))
+
+
+def summaries(docs: DataFrame) -> DataFrame:
+    """Records as search results without a score; the snippet is the purpose, which is the first line of the content."""
+    return docs.select("id", "title", F.lit(0.0).alias("score"), F.coalesce("status", F.lit("completed")).alias("status"), "created_at", F.get("files", F.lit(0)).alias("path"))
+
+
+def access_rows(entries: DataFrame, store_query: bool = True, most: int = 280) -> DataFrame:
+    """Rows for the access log (ts, op, query, result_count, returned_ids,
+    source): queries lose secrets and what is over `most` characters, or aren't kept."""
+    from lodestone.functions import security
+
+    kept = F.when(F.col("query") != "", F.substring(security.redact(F.col("query")), 1, most)) if store_query else F.lit(None).cast("string")
+    return entries.select("ts", "op", kept.alias("query"), "result_count", F.to_json("returned_ids").alias("returned_ids"), "source")
+
+
+def log_access(entries: DataFrame, path: str, **options) -> bool:
+    """Append to the access log; a log that can't be written never fails a read."""
+    try:
+        access_rows(entries, **options).write.mode("append").parquet(path)
+        return True
+    except Exception:  # noqa: BLE001
+        return False
+
+
 def stale(docs: DataFrame, cutoff: str) -> DataFrame:
     return docs.where((F.col("status") == "completed") & (F.col("created_at") < cutoff))
 
@@ -85,7 +135,3 @@ def learned(records: DataFrame, known: DataFrame) -> DataFrame:
     each = records.select("id", F.posexplode("learned").alias("at", "line")).withColumn("entry", F.concat_ws("#", "id", "at"))
     return each.join(known, "entry", "left_anti").select("id", "entry", "line")
 
-
-def first_by(df: DataFrame, key: str, order: Column) -> DataFrame:
-    """Of rows that share a key the first in the order."""
-    return df.withColumn("n_", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("n_ = 1").drop("n_")

@@ -1,12 +1,13 @@
-"""Manifests, freshness and tables that follow their sources."""
+"""Manifests, freshness, and stored tables that follow their sources."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.search import postings
-from lodestone.sources.shared import folder
+from lodestone.operators import graph
+from lodestone.operators.search import LIMIT, compile_query, indexed_bm25, postings, ranked
+from lodestone.sources.shared import exists, folder, save
 
 SCHEMA_VERSION = 2
 
@@ -44,38 +45,165 @@ def freshness(version: Column, stored_count: Column, count: Column, stored_lates
     )
 
 
-class Index:
-    """Postings and lengths in versioned folders of a base path. The current
-    version is kept in this object only: its reads see the old one until a build is
-    done, and no table names it for others."""
+def diff_stat(old: DataFrame, new: DataFrame, contents: DataFrame) -> DataFrame:
+    """(id, change) as diff() gives it, from size and time of change first: a
+    document with the same two is trusted. Only of the others the content
+    (id, content) is read and hashed; one whose content is as before is the same."""
+    a = old.select("id", F.col("hash").alias("was"), F.col("size").alias("size_was"), F.col("mtime").alias("mtime_was"))
+    both = a.join(new.select("id", "size", "mtime"), "id", "full_outer")
+    trusted = F.col("size_was").eqNullSafe(F.col("size")) & F.col("mtime_was").eqNullSafe(F.col("mtime"))
+    doubtful = both.where(~trusted & F.col("was").isNotNull() & F.col("size").isNotNull()).select("id")
+    hashed = contents.join(doubtful, "id", "left_semi").select("id", F.sha1("content").alias("now"))
+    change = F.when(F.col("was").isNull(), "added").when(F.col("size").isNull(), "removed").when(F.col("now").isNotNull() & (F.col("now") != F.col("was")), "changed").otherwise("same")
+    return both.join(hashed, "id", "left").select("id", change.alias("change"))
 
-    def __init__(self, spark: SparkSession, base: str | None = None):
-        self.spark, self.base = spark, base or folder(spark, "index")
-        self.version = 0
 
-    def _path(self, name: str, version: int | None = None) -> str:
-        return f"{self.base}/{name}/v{self.version if version is None else version}"
+def built_at(docs: DataFrame, updated: Column | None = None) -> DataFrame:
+    """One row: the latest time in the sources, not the clock's; the first of January 1970 without any."""
+    latest = F.greatest(F.col("created_at"), updated) if updated is not None else F.col("created_at")
+    return docs.agg(F.coalesce(F.max(latest), F.lit("1970-01-01T00:00:00.000Z")).alias("built_at"))
 
-    def _write(self, post: DataFrame, lengths: DataFrame, manifest_: DataFrame) -> None:
+
+class Stored:
+    """A base path whose current version is the last row of a pointer table.
+    What a version consists of is written before its row, so a reader sees the
+    old version or the new one."""
+
+    def __init__(self, spark: SparkSession, base: str | None, name: str):
+        self.spark, self.base = spark, base or folder(spark, name)
+        self.state = self._last()
+
+    def _last(self):
+        path = f"{self.base}/pointer"
+        return self.spark.read.parquet(path).orderBy(F.desc("version")).first() if exists(self.spark, path) else None
+
+    @property
+    def version(self) -> int:
+        return self.state["version"] if self.state else 0
+
+    def _point(self, **row) -> None:
+        fields = ", ".join(f"{k} {'array<int>' if isinstance(v, list) else 'string' if isinstance(v, str) else 'long'}" for k, v in row.items())
+        self.spark.createDataFrame([tuple(row.values())], fields).coalesce(1).write.mode("append").parquet(f"{self.base}/pointer")
+        self.state = self._last()
+
+    def status(self, count: int, latest: str) -> str:
+        """missing, stale with the reason, or fresh, for sources of so many documents and this latest time."""
+        if self.state is None:
+            return "missing"
+        if self.state["schema"] != SCHEMA_VERSION:
+            return "stale: schema"
+        if self.state["count"] != count:
+            return "stale: count"
+        return "stale: mtime" if latest > self.state["built_at"] else "fresh"
+
+
+class Index(Stored):
+    """Postings of columns, lengths, a manifest and what results show. An update
+    writes the postings of changed and added documents as a segment of their
+    own; a posting counts while lengths names its segment for its document.
+    Segments are merged when there are SEGMENTS of them. A build or another
+    schema version starts anew."""
+
+    SEGMENTS = 8
+
+    def __init__(self, spark: SparkSession, base: str | None = None, columns: tuple[str, ...] = ("content",), stem: bool = False):
+        super().__init__(spark, base, "index")
+        self.columns, self.stem = columns, stem
+
+    def _path(self, name: str, version: int) -> str:
+        return f"{self.base}/{name}/v{version}"
+
+    def read(self, name: str) -> DataFrame:
+        if name == "postings":
+            paths = [self._path("postings", k) for k in self.state["segments"]]
+            found = None
+            for k, path in zip(self.state["segments"], paths, strict=True):
+                part = self.spark.read.parquet(path).withColumn("segment", F.lit(k))
+                found = part if found is None else found.unionByName(part)
+            if len(paths) == 1:
+                return found.drop("segment")
+            return found.join(self.read("lengths").select("id", "segment"), ["id", "segment"], "left_semi").drop("segment")
+        return self.spark.read.parquet(self._path(name, self.version))
+
+    def _segment(self, docs: DataFrame, version: int) -> DataFrame:
+        post = postings(docs, self.stem, self.columns)
+        post.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(self._path("postings", version))
+        counted = self.spark.read.parquet(self._path("postings", version)).groupBy("id").agg(F.count("*").alias("dl"))
+        return docs.select("id").join(counted, "id", "left").select("id", F.coalesce("dl", F.lit(0).cast("long")).alias("dl"), F.lit(version).alias("segment"))
+
+    def _commit(self, docs: DataFrame, lengths: DataFrame, segments: list[int]) -> None:
         after = self.version + 1
-        post.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(self._path("postings", after))
         lengths.write.mode("overwrite").parquet(self._path("lengths", after))
-        manifest_.write.mode("overwrite").parquet(self._path("manifest", after))
-        self.version = after
+        manifest(docs).write.mode("overwrite").parquet(self._path("manifest", after))
+        docs.select([c for c in docs.columns if c != "content"]).write.mode("overwrite").parquet(self._path("shown", after))
+        latest = built_at(docs).first()["built_at"] if "created_at" in docs.columns else ""
+        count = self.spark.read.parquet(self._path("manifest", after)).count()
+        self._point(version=after, schema=SCHEMA_VERSION, segments=segments, count=count, built_at=latest)
 
     def build(self, docs: DataFrame) -> None:
-        post = postings(docs)
-        self._write(post, post.groupBy("id").agg(F.count("*").alias("dl")), manifest(docs))
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(name))
+        after = self.version + 1
+        self._commit(docs, self._segment(docs, after), [after])
 
     def update(self, docs: DataFrame) -> None:
-        """Rewrite what changed: rows of changed and removed documents go, those
-        of changed and added ones come."""
-        changes = diff(self.read("manifest"), manifest(docs)).where("change <> 'same'")
+        """docs: the whole corpus as it is now; documents that read as before are left alone."""
+        if self.state is None or self.state["schema"] != SCHEMA_VERSION or len(self.state["segments"]) >= self.SEGMENTS:
+            return self.build(docs)
+        changes = save(diff(self.read("manifest"), manifest(docs)).where("change <> 'same'"), "changes")
         fresh = docs.join(changes.where("change <> 'removed'"), "id", "left_semi")
-        post = postings(fresh)
-        kept = self.read("postings").join(changes, "id", "left_anti")
-        lengths = self.read("lengths").join(changes, "id", "left_anti")
-        self._write(kept.unionByName(post), lengths.unionByName(post.groupBy("id").agg(F.count("*").alias("dl"))), manifest(docs))
+        kept = self.read("lengths").join(changes, "id", "left_anti")
+        after = self.version + 1
+        self._commit(docs, kept.unionByName(self._segment(fresh, after)), [*self.state["segments"], after])
+
+    def ensure(self, docs: DataFrame) -> str:
+        """Build or update unless the index is fresh; returns the status before."""
+        now = docs.agg(F.count("*").alias("n"), F.coalesce(F.max("created_at"), F.lit("1970-01-01T00:00:00.000Z")).alias("latest")).first()
+        status = self.status(now["n"], now["latest"])
+        if status in ("missing", "stale: schema"):
+            self.build(docs)
+        elif status != "fresh":
+            self.update(docs)
+        return status
+
+    def search(self, query: str, now: str, limit: int | None = LIMIT, **filters) -> DataFrame:
+        """id, title, score, status of the best matches, from the stored tables alone."""
+        phrases = compile_query(query)
+        if self.stem:
+            from lodestone.functions.stem import porter
+
+            phrases = [[porter(t) for t in p] for p in phrases]
+        found = indexed_bm25(self.read("postings"), self.read("lengths"), phrases)
+        return ranked(self.read("shown").join(found, "id"), now, limit, **filters)
+
+
+class Graph(Stored):
+    """Edges with their owner and nodes, kept up with a corpus. docs as
+    graph.edges() takes them, supersedes as (newer, older)."""
+
+    def _write(self, edges: DataFrame, docs: DataFrame) -> None:
+        after = self.version + 1
+        edges.repartition("src").write.mode("overwrite").parquet(f"{self.base}/edges/v{after}")
+        stored = self.spark.read.parquet(f"{self.base}/edges/v{after}")
+        graph.nodes(stored, docs).write.mode("overwrite").parquet(f"{self.base}/nodes/v{after}")
+        docs.select("id", F.sha1(F.to_json(F.struct("title", "tags", "files", "actor"))).alias("hash")).write.mode("overwrite").parquet(f"{self.base}/manifest/v{after}")
+        latest = built_at(docs).first()["built_at"] if "created_at" in docs.columns else ""
+        self._point(version=after, schema=SCHEMA_VERSION, count=docs.count(), built_at=latest)
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.base}/{name}/v{self.version}")
+
+    def build(self, docs: DataFrame, supersedes: DataFrame) -> None:
+        self._write(graph.edges(docs, supersedes).withColumn("owner", F.col("src")), docs)
+
+    def update(self, docs: DataFrame, supersedes: DataFrame) -> None:
+        """Only edges that changed documents own, and SUPERSEDES edges at either
+        end of one or that the table of supersedes no longer has, are made anew."""
+        if self.state is None or self.state["schema"] != SCHEMA_VERSION:
+            return self.build(docs, supersedes)
+        fresh = docs.select("id", F.sha1(F.to_json(F.struct("title", "tags", "files", "actor"))).alias("hash"))
+        changes = save(diff(self.read("manifest"), fresh).where("change <> 'same'"), "changes")
+        touched = changes.select(graph.node("footprint", F.col("id").cast("string")).alias("id"))
+        kept = self.read("edges").where("rel <> 'SUPERSEDES'").join(touched.select(F.col("id").alias("owner")), "owner", "left_anti")
+        some = docs.join(changes.where("change <> 'removed'"), "id", "left_semi")
+        # these follow from other documents' content, so all are taken from the table: one row a pair
+        new = graph.edges(some, supersedes).withColumn("owner", F.col("src"))
+        self._write(kept.unionByName(new), docs)

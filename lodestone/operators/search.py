@@ -19,10 +19,15 @@ def compile_query(query: str) -> list[list[str]]:
     return [p for w in re.split(r"[^A-Za-z0-9_]+", query) if (p := [x for x in w.lower().split("_") if x])]
 
 
-def postings(docs: DataFrame, stem: bool = False) -> DataFrame:
-    """(id, pos, term) of every word of content. Stemming joins the stems of
-    the distinct vocabulary back, so the UDF sees each word once."""
-    words = docs.select("id", F.posexplode(text.tokens(F.col("content"))).alias("pos", "term"))
+def postings(docs: DataFrame, stem: bool = False, columns: tuple[str, ...] = ("content",)) -> DataFrame:
+    """(id, pos, term) of every word of the columns, whose positions are far
+    apart so that no phrase spans two. Stemming joins the stems of the distinct
+    vocabulary back, so the UDF sees each word once."""
+    words = None
+    for k, name in enumerate(columns):
+        whole = F.array_join(name, " ") if docs.schema[name].dataType.typeName() == "array" else F.col(name)
+        part = docs.select("id", F.posexplode(text.tokens(whole)).alias("pos", "term")).withColumn("pos", F.col("pos") + F.lit(k << 32))
+        words = part if words is None else words.unionByName(part)
     if not stem:
         return words
     from lodestone.functions.stem import stem as porter
@@ -63,18 +68,24 @@ def bm25(docs: DataFrame, phrases: list[list[str]]) -> DataFrame:
 
 
 def indexed_bm25(index: DataFrame, lengths: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """(id, bm25) of single-word phrases from saved postings: index is read for
-    the query's terms alone."""
-    terms = [p[0] for p in phrases]
-    hits = index.where(F.col("term").isin(*terms)).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """(id, bm25) from saved postings: index is read for the query's terms
+    alone. A phrase occurs where its words follow each other; words of a
+    phrase meet at the place where it would begin."""
+    spark = index.sparkSession
+    wanted = [(t, n, i, len(p)) for n, p in enumerate(phrases) for i, t in enumerate(p)]
+    if not wanted:
+        return lengths.select("id", F.lit(0.0).alias("bm25")).limit(0)
+    asked = F.broadcast(spark.createDataFrame(wanted, "term string, phrase int, at int, words int"))  # the query's words
+    hits = index.where(F.col("term").isin(*{w[0] for w in wanted})).join(asked, "term")
+    whole = hits.groupBy("id", "phrase", "words", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("met")).where("met = words")
+    tf = whole.groupBy("id", "phrase").agg(F.count("*").alias("tf"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    df = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row a query term
+    df = {r["phrase"]: r["df"] for r in tf.groupBy("phrase").agg(F.count("*").alias("df")).collect()}  # a row a phrase
     if not df:
-        return hits.select("id", F.lit(0.0).alias("bm25"))
-    table = F.create_map(*[x for t, n in df.items() for x in (F.lit(t), F.lit(n))])
-    times = F.create_map(*[x for t in df for x in (F.lit(t), F.lit(float(terms.count(t))))])
-    one = ranking.bm25_term(F.col("tf"), F.col("dl"), stats["n"], table[F.col("term")], stats["avgdl"])
-    return hits.join(lengths, "id").withColumn("s", one * times[F.col("term")]).groupBy("id").agg(F.sum("s").alias("bm25"))
+        return tf.select("id", F.lit(0.0).alias("bm25"))
+    table = F.create_map(*[x for p, n in df.items() for x in (F.lit(p), F.lit(n))])
+    one = ranking.bm25_term(F.col("tf"), F.col("dl"), stats["n"], table[F.col("phrase")], stats["avgdl"])
+    return tf.join(lengths.select("id", "dl"), "id").groupBy("id").agg(F.sum(one).alias("bm25"))
 
 
 def active(status: Column) -> Column:
@@ -95,6 +106,11 @@ def search(docs: DataFrame, query: str, now: str, limit: int | None = LIMIT, tag
     """id, title, score, status of the best matches; ties go to the smaller id."""
     phrases = compile_query(query)
     found = bm25(docs, phrases) if phrases else docs.withColumn("bm25", F.lit(0.0)).where(F.lit(False))
+    return ranked(found, now, limit, tags, files, exclude_superseded)
+
+
+def ranked(found: DataFrame, now: str, limit: int | None, tags=None, files=None, exclude_superseded: bool = False) -> DataFrame:
+    """id, title, score, status of rows with bm25; ties go to the smaller id."""
     found = filtered(found, tags, files, exclude_superseded)
     score = ranking.score(F.col("bm25"), F.col("files"), files or [], F.col("created_at"), F.col("work_type"), F.col("status"), F.lit(now))
     found = found.select("id", "title", score.alias("score"), F.coalesce("status", F.lit("completed")).alias("status"))
@@ -125,10 +141,15 @@ def related_to_file(docs: DataFrame, path: str, now: str, limit: int | None = LI
 
 
 def snippet(words: Column, terms: list[str], width: int = 12) -> Column:
-    """The window of `width` words around the first hit, hits in brackets."""
+    """The window of `width` words with the most different terms, the first of
+    equals, a little ahead of its first hit; hits in brackets."""
     wanted = F.array(*map(F.lit, terms))
-    hit = F.greatest(F.lit(1), F.coalesce(F.array_position(F.transform(words, lambda t: F.array_contains(wanted, t)), True), F.lit(1)).cast("int"))
-    start = F.greatest(F.lit(1), F.least(hit - width // 2, F.size(words) - width + 1))
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words))), lambda i: F.array_contains(wanted, F.get(words, i - 1)))
+    inside = lambda i: F.size(F.array_intersect(F.slice(words, i, F.lit(width)), wanted))
+    best = F.array_max(F.transform(places, lambda i: F.struct(inside(i).alias("n"), (-i).alias("at"))))
+    hit = F.coalesce(-best["at"], F.lit(1))
+    lead = F.when(best["n"] > 1, F.lit(0)).otherwise(F.lit(width // 2))
+    start = F.greatest(F.lit(1), F.least(hit - lead, F.size(words) - width + 1))
     shown = F.transform(F.slice(words, start, F.lit(width)), lambda t: F.when(F.array_contains(wanted, t), F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))
     return F.concat(F.when(start > 1, "… ").otherwise(""), F.array_join(shown, " "), F.when(start + width - 1 < F.size(words), " …").otherwise(""))
 

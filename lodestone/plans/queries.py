@@ -41,7 +41,7 @@ def six(c: Column | str, name: str) -> Column:
 
 corpus = tables.documents
 TERMS = ["oui", "clown", "als"]
-TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda t: t <> '')"
+TOKENS = r"list_filter(regexp_split_to_array(lower(strip_accents({0})), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 TOKENS_OF = TOKENS.format("content")
 WORDS_SQL = f"{CORPUS_SQL}, words AS (SELECT *, {TOKENS_OF} AS toks FROM corpus), lens AS (SELECT *, len(toks) AS dl FROM words)"
 AGE = "date_diff('millisecond', CAST(replace(replace(created_at, 'T', ' '), 'Z', '') AS TIMESTAMP), TIMESTAMP '2024-07-01') / 86400000.0"
@@ -214,6 +214,17 @@ def record_sections(spark: SparkSession, sf: str) -> DataFrame:
     return talks(spark, sf).select("id", text.trim(F.regexp_replace("purpose", r"\s+", " ")).alias("purpose"), long(F.size("decisions"), "decisions"), long(F.length("notes"), "notes_chars"))
 
 
+SAID_SQL = "list_filter(list_transform(coalesce(said, []), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')"
+
+
+@query(f"WITH {TALKS_SQL} SELECT id, 'Talk ' || id AS title, len({SAID_SQL})::BIGINT AS decisions, array_to_string({SAID_SQL}, '|') AS said FROM talks")
+def sections_parsed(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions parsed from rendered bodies by the section reader."""
+    rows = _sections(spark, sf).select("id", markdown.render(F.concat(F.lit("Talk "), F.col("id").cast("string")), F.col("s")).alias("body"))
+    said = F.coalesce(markdown.sections(F.col("body"))["decisions"], F.array().cast("array<string>"))
+    return rows.select("id", text.title(F.col("body")).alias("title"), long(F.size(said), "decisions"), F.array_join(said, "|").alias("said"))
+
+
 @query(f"WITH {CORPUS_SQL} SELECT id, title || chr(10) || chr(10) || content || chr(10) || chr(10) || tag || chr(10) || chr(10) || file AS flat FROM corpus WHERE title <> ''")
 def doc_flatten(spark: SparkSession, sf: str) -> DataFrame:
     parts = F.filter(F.array("title", "content", F.array_join("tags", " "), F.array_join("files", " ")), lambda x: x != "")
@@ -314,7 +325,7 @@ BRIDGE_W = "CASE e1.rel WHEN 'TOUCHES_FILE' THEN 1.0 WHEN 'HAS_TAG' THEN 0.5 WHE
 
 
 def _hop_sql(frontier: str, name: str, d: int) -> str:
-    return f"""{name} AS (SELECT id, sum(points) AS points, count(*) AS bridges, {d} AS distance FROM (
+    return f"""{name} AS (SELECT id, sum(points::DECIMAL(18,6))::DOUBLE AS points, count(*) AS bridges, {d} AS distance FROM (
     SELECT e2.src AS id, ({BRIDGE_W})::DOUBLE * least(e1.weight, e2.weight) AS points FROM {frontier} f JOIN edges e1 ON e1.src = f.id AND e1.rel IN ('TOUCHES_FILE','HAS_TAG','HAS_DECISION','MENTIONS')
       JOIN edges e2 ON e2.dst = e1.dst AND e2.rel = e1.rel AND e2.src <> e1.src
     UNION ALL SELECT e.dst, 1.5 * e.weight FROM {frontier} f JOIN edges e ON e.src = f.id AND e.rel = 'SUPERSEDES'
@@ -334,7 +345,7 @@ def graph_expand_1hop(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"WITH {EDGES_SQL}, seed AS (SELECT 'footprint:5' AS id), {_hop_sql('seed', 'h1', 1)}, next AS (SELECT id FROM h1 WHERE id <> 'footprint:5'), {_hop_sql('next', 'h2', 2)}, "
-    f"either AS (SELECT id, sum(points) AS points, sum(bridges) AS bridges, min(distance) AS distance FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) WHERE id <> 'footprint:5' GROUP BY id) {RANKED.format('either')}"
+    f"either AS (SELECT id, sum(points::DECIMAL(18,6))::DOUBLE AS points, sum(bridges) AS bridges, min(distance) AS distance FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) WHERE id <> 'footprint:5' GROUP BY id) {RANKED.format('either')}"
 )
 def graph_expand_2hop(spark: SparkSession, sf: str) -> DataFrame:
     seeds = spark.createDataFrame([("footprint:5",)], "id string")
@@ -390,8 +401,9 @@ def context_budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
     found = search.bm25(docs, [[t] for t in TERMS])
     score = ranking.score(F.col("bm25"), F.col("files"), [], F.col("created_at"), F.col("work_type"), F.col("status"), F.lit(NOW))
     rank = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("score"), "id"))
-    ranked = found.select("id", F.col("tags")[0].alias("tag"), "content", six(score, "score")).withColumn("rank", rank)
-    return search.budget_prefix(ranked, text.estimate_tokens(F.col("content")), 1600, 10, "tag").select("tag", "id", "rank", long("used", "used"))
+    # each match costs a token at least, so no later rank than the budget fits; Spark keeps as many a group before it shuffles
+    ranked = found.select("id", F.col("tags")[0].alias("tag"), text.estimate_tokens(F.col("content")).alias("tokens"), six(score, "score")).withColumn("rank", rank).where("rank <= 1600")
+    return search.budget_prefix(ranked, F.col("tokens"), 1600, 10, "tag").select("tag", "id", "rank", long("used", "used"))
 
 
 @query(

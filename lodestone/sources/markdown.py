@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import trim
+from lodestone.sources.shared import exists
 
 # Fixed values.
 HEADINGS = ("purpose", "decisions", "rejected options", "implementation notes", "commands run", "memory learned", "future agent guidance")
@@ -18,10 +19,21 @@ SECTIONS = "purpose string, decisions array<string>, rejected array<struct<optio
 
 def scan(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     """All .md files below a folder: path, modified, size, content hash, raw text; none if it doesn't exist."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length long, hash string, raw string, doc_type string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
     return files.select("path", "modificationTime", "length", F.sha1("content").alias("hash"), F.decode("content", "UTF-8").alias("raw"), F.lit(kind).alias("doc_type"))
 
 
+def sources(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
+    """Files of several kinds (kind -> folder) in one table: footprints, then memory, by path."""
+    found = None
+    for kind, folder in folders.items():
+        part = scan(spark, folder, kind)
+        found = part if found is None else found.unionByName(part)
+    return found.orderBy("doc_type", "path")
+
+
 def source_stats(spark: SparkSession, folder: str) -> DataFrame:
     """One row: files and latest change; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
@@ -145,7 +157,10 @@ def records(spark: SparkSession, folder: str, kind: str = "footprint") -> tuple[
     raw = scan(spark, folder, kind)
     front, body = split_front(F.col("raw"))
     parsed = frontmatter(raw.withColumn("front_text", front).withColumn("body", body), "front_text")
-    wrong = validate(F.col("front")) if kind == "footprint" else F.array_compact(F.array(F.when(F.col("front")["id"].isNull(), F.lit("id is missing"))))
+    listed = lambda name: F.coalesce(F.from_json(F.col("front")[name], "array<string>"), F.array().cast("array<string>"))
+    urls = F.coalesce(F.from_json(F.get_json_object(F.col("front")["related"], "$.urls"), "array<string>"), F.array().cast("array<string>"))
+    places = F.array_compact(F.array(F.when(F.exists(listed("files_touched"), bad_path), F.lit("files_touched must stay in the project")), F.when(F.exists(urls, bad_url), F.lit("related.urls must be http or https"))))
+    wrong = F.concat(validate(F.col("front")), places) if kind == "footprint" else F.array_compact(F.array(F.when(F.col("front")["id"].isNull(), F.lit("id is missing"))))
     parsed = parsed.withColumn("errors", F.concat(wrong, F.array_compact(F.array("front_error")))).withColumn("id", F.col("front")["id"])
     again = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("modificationTime"), "path")) > 1
     parsed = parsed.withColumn("errors", F.when(F.col("id").isNotNull() & again, F.concat("errors", F.array(F.lit("duplicate id")))).otherwise(F.col("errors")))

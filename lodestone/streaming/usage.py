@@ -30,20 +30,27 @@ def run(spark: SparkSession, source: str, glob: str) -> DataFrame:
     out, state = folder(spark, "usage"), folder(spark, "state")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        # counts that changed, one file set a batch; a batch that is run again replaces its own
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    windowed(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    windowed(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.schema("start timestamp, op string, reads long, batch long").option("basePath", out).parquet(out)
+    return kept.groupBy("start", "op").agg(F.max_by("reads", "batch").alias("reads"))
 
 
 def follow(spark: SparkSession, source: str, schema: T.StructType, index, glob: str = "*.parquet"):
-    """Keep an Index up to date with document files that arrive; returns the stream's query."""
+    """Keep an Index up to date with document files that arrive; returns the
+    stream's query. Of a document that comes again the last batch holds, and
+    within a batch the row that sorts last. The corpus so far is kept beside
+    the index by batches, and a batch only indexes its own documents."""
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source)
+    kept = folder(spark, "documents")
 
     def apply(batch: DataFrame, number: int) -> None:
-        if index.version:
-            index.update(batch.unionByName(spark.read.schema(schema).parquet(source)).dropDuplicates(["id"]))
-        else:
-            index.build(batch)
+        batch.write.mode("overwrite").parquet(f"{kept}/batch={number}")
+        whole = F.struct(*[c for c in schema.fieldNames() if c != "id"])
+        rows = spark.read.option("basePath", kept).schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(kept)
+        latest = rows.groupBy("id").agg(F.max_by(whole, F.struct("batch", whole)).alias("x")).select("id", "x.*")
+        index.update(latest.select(*schema.fieldNames()))
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", folder(spark, "state")).trigger(availableNow=True).start()
