@@ -43,12 +43,17 @@ def term_stats(docs: DataFrame) -> DataFrame:
 
 
 def frequency(words: Column, phrase: list[str]) -> Column:
-    """How often a phrase occurs among words."""
+    """How often a phrase occurs among words. A phrase of several words binds
+    the words once, however many places are looked at."""
     if len(phrase) == 1:
         return F.size(F.filter(words, lambda t: t == phrase[0]))
     n, wanted = len(phrase), F.array(*map(F.lit, phrase))
-    places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(places, lambda i: F.slice(words, i, F.lit(n)) == wanted))
+
+    def of(w: Column) -> Column:
+        places = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.size(F.filter(places, lambda i: F.slice(w, i, F.lit(n)) == wanted))
+
+    return F.transform(F.array(words), of)[0]
 
 
 def bm25(docs: DataFrame, phrases: list[list[str]]) -> DataFrame:

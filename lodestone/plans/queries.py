@@ -36,7 +36,10 @@ def long(c: Column | str, name: str | None = None) -> Column:
 
 
 def six(c: Column | str, name: str) -> Column:
-    return F.round(c if isinstance(c, Column) else F.col(c), 6).alias(name)
+    """Six decimals. The double itself is scaled and rounded, as DuckDB does;
+    round(c, 6) would round its shortest decimal, which differs at halves."""
+    c = c if isinstance(c, Column) else F.col(c)
+    return (F.round(c.cast("double") * F.lit(1e6)) / F.lit(1e6)).alias(name)
 
 
 corpus = tables.documents
