@@ -100,7 +100,7 @@ class Stored:
 class Index(Stored):
     """Postings of columns, lengths, a manifest and what results show. An update
     writes the postings of changed and added documents as a segment of their
-    own; a posting counts while lengths names its segment for its document.
+    own; a posting counts while its document is owned by its segment.
     Segments are merged when there are SEGMENTS of them. A build or another
     schema version starts anew."""
 
@@ -122,9 +122,16 @@ class Index(Stored):
                 found = part if found is None else found.unionByName(part)
             if len(paths) == 1:
                 return found.drop("segment")
-            return found.join(self.read("lengths").select("id", "segment"), ["id", "segment"], "left_semi").drop("segment")
+            return found.join(self._owners().select("id", "segment"), ["id", "segment"], "left_semi").drop("segment")
+        if name == "lengths":
+            return self._owners().drop("segment")
         return self.spark.read.parquet(self._path(name, self.version))
 
+    def _owners(self) -> DataFrame:
+        """The lengths with the segment that holds each document's postings: how
+        an index came to be, not what is in it."""
+        return self.spark.read.parquet(self._path("lengths", self.version))
+
     def _segment(self, docs: DataFrame, version: int) -> DataFrame:
         post = postings(docs, self.stem, self.columns)
         post.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(self._path("postings", version))
@@ -150,7 +157,7 @@ class Index(Stored):
             return self.build(docs)
         changes = save(diff(self.read("manifest"), manifest(docs)).where("change <> 'same'"), "changes")
         fresh = docs.join(changes.where("change <> 'removed'"), "id", "left_semi")
-        kept = self.read("lengths").join(changes, "id", "left_anti")
+        kept = self._owners().join(changes, "id", "left_anti")
         after = self.version + 1
         self._commit(docs, kept.unionByName(self._segment(fresh, after)), [*self.state["segments"], after])
 

@@ -46,15 +46,20 @@ CORPUS_SQL = """corpus AS (
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
-def supersedes(docs: DataFrame) -> DataFrame:
+def supersedes(docs: DataFrame, width: int = 1 << 16) -> DataFrame:
     """(newer, older): each document and the one before it, by id, with the same
-    text. Copies are paired within a hash bucket of the text by a window over
-    ids alone."""
+    text. Copies are paired within ranges of `width` ids, so a large group of
+    them is many windows; the first of a range takes the last of the range
+    before that has copies."""
     from pyspark.sql import Window
 
-    same = Window.partitionBy("digest").orderBy("id")
-    pairs = docs.select("id", F.sha2("content", 256).alias("digest")).withColumn("older", F.lag("id").over(same))
-    return pairs.where("older is not null").select(F.col("id").alias("newer"), "older")
+    within = Window.partitionBy("digest", "part").orderBy("id")
+    rows = docs.select("id", F.sha2("content", 256).alias("digest"), F.floor(F.col("id") / F.lit(width)).alias("part"))
+    rows = rows.withColumn("older", F.lag("id").over(within))
+    ends = rows.groupBy("digest", "part").agg(F.min("id").alias("newer"), F.max("id").alias("last"))
+    ends = ends.withColumn("older", F.lag("last").over(Window.partitionBy("digest").orderBy("part")))
+    pairs = rows.select(F.col("id").alias("newer"), "older").union(ends.select("newer", "older"))
+    return pairs.where("older is not null")
 
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import ranking, security, text
 from lodestone.functions.stem import porter
 from lodestone.operators import graph, housekeeping, incremental, search
-from lodestone.sources import markdown
+from lodestone.sources import markdown, tables
 from lodestone.streaming import usage
 
 NOW = "2026-06-11T00:00:00Z"
@@ -169,3 +169,25 @@ def test_stream(spark, tmp_path):
     docs(spark).write.parquet(f"{tmp_path}/docs")
     usage.follow(spark, f"{tmp_path}/docs", docs(spark).schema, index).awaitTermination()
     assert index.read("lengths").count() == 4
+
+
+def test_phrases_are_counted_in_long_texts(spark):
+    rows = [(1, "of the " * 4000), (2, "of of the"), (3, "the of"), (4, "of"), (5, ""), (6, None)]
+    docs = spark.createDataFrame(rows, "id int, content string")
+    times = search.frequency(text.tokens(F.col("content")), ["of", "the"])
+    got = {r.id: r.n for r in docs.select("id", times.alias("n")).collect()}
+    assert [got[i] for i in range(1, 6)] == [4000, 1, 0, 0, 0] and not got[6]
+
+
+def test_copies_are_paired_across_ranges_of_ids(spark):
+    rows = [(i, "ab"[i % 2] if i % 5 else f"alone {i}") for i in range(60)] + [(500, "a"), (501, "b")]
+    docs = spark.createDataFrame(rows, "id long, content string")
+    wanted, last = set(), {}
+    for i, content in rows:
+        if content in last:
+            wanted.add((i, last[content]))
+        last[content] = i
+    for width in (1, 7, 1 << 16):
+        got = [tuple(r) for r in tables.supersedes(docs, width).collect()]
+        assert len(got) == len(set(got)) and set(got) == wanted
+    assert tables.supersedes(docs.limit(0)).collect() == []
