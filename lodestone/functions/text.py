@@ -31,9 +31,9 @@ def normalise(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
+    """Lower case without accents. Text with as many bytes as characters is ASCII and has none."""
     plain = F.translate(text, "".join(MARKED) + MARKS, "".join(MARKED.values()))
-    return F.lower(plain)
+    return F.lower(F.when(F.length(text) == F.octet_length(text), text).otherwise(plain))
 
 
 def tokens(text: Column) -> Column:
