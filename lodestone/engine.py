@@ -13,11 +13,12 @@ from lodestone.sources import tables
 
 class Engine:
     """docs: a corpus as sources.tables.documents() gives it; supersedes:
-    (newer, older), found by equal texts if not given. The index and the graph lie below `base`, and are
+    (newer, older), found by equal texts if not given; memory: documents of the
+    graph that lead to their tags alone (id, tags). The index and the graph lie below `base`, and are
     built or brought up to date by refresh(); reads use what is stored."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, supersedes: DataFrame | None = None, base: str | None = None, now: str = tables.NOW, stem: bool = True):
-        self.spark, self.docs, self.now = spark, docs, now
+    def __init__(self, spark: SparkSession, docs: DataFrame, supersedes: DataFrame | None = None, base: str | None = None, now: str = tables.NOW, stem: bool = True, memory: DataFrame | None = None):
+        self.spark, self.docs, self.now, self.memory = spark, docs, now, memory
         self.pairs = tables.supersedes(docs) if supersedes is None else supersedes
         self.index = incremental.Index(spark, f"{base}/index" if base else None, ("title", "tags", "files", "content"), stem)
         self.graph = incremental.Graph(spark, f"{base}/graph" if base else None, "graph")
@@ -28,7 +29,7 @@ class Engine:
         count, latest = self.index.state["count"], self.index.state["built_at"]
         before["graph"] = self.graph.status(count, latest)
         if before["graph"] != "fresh":
-            self.graph.update(self.docs, self.pairs)
+            self.graph.update(self.docs, self.pairs, self.memory)
         return before
 
     def search(self, query: str, limit: int = LIMIT, **filters) -> DataFrame:

@@ -20,7 +20,8 @@ def node(kind: str, key: Column) -> Column:
 def edges(docs: DataFrame, supersedes: DataFrame) -> DataFrame:
     """(src, dst, rel, weight), one row for each src, dst and rel with its
     highest weight. docs: id, title, tags, files, actor; a title is the
-    document's decision and its words are concepts."""
+    document's decision and its words are concepts. Where docs have `rejected`,
+    rejected options lead to nodes and concepts of their own."""
     src = node("footprint", F.col("id").cast("string"))
     one = F.lit(1.0)
     files = docs.select(src.alias("src"), F.explode("files").alias("file")).select("src", node("file", F.col("file")).alias("dst"), F.lit("TOUCHES_FILE").alias("rel"), one.alias("weight"))
@@ -36,12 +37,21 @@ def edges(docs: DataFrame, supersedes: DataFrame) -> DataFrame:
         actors.select("src", node("actor", F.col("who")).alias("dst"), F.lit("AUTHORED_BY").alias("rel"), one.alias("weight")),
         supersedes.select(node("footprint", F.col("newer").cast("string")).alias("src"), node("footprint", F.col("older").cast("string")).alias("dst"), F.lit("SUPERSEDES").alias("rel"), F.lit(SUPERSEDES_WEIGHT).alias("weight")),
     ]
+    if "rejected" in docs.columns:
+        parts.append(rejected_edges(docs))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy("src", "dst", "rel").agg(F.max("weight").alias("weight"))
 
 
+def memory_edges(memory: DataFrame) -> DataFrame:
+    """Edges of memory documents (id, tags): they lead to their tags alone."""
+    src = node("memory", F.col("id").cast("string"))
+    tags = memory.select(src.alias("src"), F.explode("tags").alias("tag")).withColumn("tag", text.normalise(F.col("tag"))).where("tag <> ''")
+    return tags.select("src", node("tag", F.col("tag")).alias("dst"), F.lit("HAS_TAG").alias("rel"), F.lit(1.0).alias("weight")).distinct()
+
+
 def rejected_edges(records: DataFrame) -> DataFrame:
     """Edges of rejected options (records: id, rejected): the option itself, and
     its words as concepts, a short one as a phrase too."""
@@ -54,9 +64,11 @@ def rejected_edges(records: DataFrame) -> DataFrame:
     return own.unionByName(phrase).unionByName(words).groupBy("src", "dst", "rel").agg(F.max("weight").alias("weight"))
 
 
-def nodes(edges_: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, kind): both ends of all edges, and the documents."""
+def nodes(edges_: DataFrame, docs: DataFrame, memory: DataFrame | None = None) -> DataFrame:
+    """(id, kind): both ends of all edges, the documents and memory documents."""
     ends = edges_.select(F.col("src").alias("id")).union(edges_.select("dst")).union(docs.select(node("footprint", F.col("id").cast("string"))))
+    if memory is not None:
+        ends = ends.union(memory.select(node("memory", F.col("id").cast("string"))))
     return ends.distinct().select("id", F.substring_index("id", ":", 1).alias("kind"))
 
 
@@ -109,8 +121,9 @@ def expand_budgeted(edges_: DataFrame, seeds: list[str], depth: int = 1, max_nod
     """(id, seed, kind, bridge, weight, distance): what leads from seeds to
     other documents, within a budget of edges and documents. Edges are walked
     in the order of the seeds, SUPERSEDES first, then bridges by id and their
-    documents by id; walking to a bridge is an edge too. Each task sends on no
-    more edges than the budget has left."""
+    documents by id; walking to a bridge is an edge too. No seed is walked from
+    once there are enough documents. Each task sends on no more edges than the
+    budget has left."""
     kinds = F.create_map(*[x for rel, kind in BRIDGES.items() for x in (F.lit(rel), F.lit(kind))])
     spark = edges_.sparkSession
     bridging = edges_.where(F.col("rel").isin(*BRIDGES)).withColumn("kind", kinds[F.col("rel")])
@@ -130,8 +143,11 @@ def expand_budgeted(edges_: DataFrame, seeds: list[str], depth: int = 1, max_nod
         back = back.select("at", F.lit(1).alias("step"), "bridge", F.col("src").alias("id"), "seed", "kind", F.least("w", "weight").alias("weight"))
         walked = chained.union(there).union(back).orderBy("at", "step", "bridge", F.col("id").asc_nulls_first(), "kind").limit(left).collect()  # at most max_edges
         left -= len(walked)
-        frontier = []
+        frontier, at = [], None
         for r in walked:
+            if r["at"] != at and len(known) >= max_nodes:
+                break
+            at = r["at"]
             if r["id"] is None:
                 continue
             if r["id"] not in known and len(known) < max_nodes:

@@ -9,7 +9,7 @@ from lodestone.operators import graph
 from lodestone.operators.search import LIMIT, compile_query, indexed_bm25, postings, ranked
 from lodestone.sources.shared import exists, folder, save
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 
 
 def manifest(docs: DataFrame) -> DataFrame:
@@ -184,33 +184,51 @@ class Index(Stored):
 
 class Graph(Stored):
     """Edges with their owner and nodes, kept up with a corpus. docs as
-    graph.edges() takes them, supersedes as (newer, older)."""
-
-    def _write(self, edges: DataFrame, docs: DataFrame) -> None:
+    graph.edges() takes them, supersedes as (newer, older), memory documents as
+    (id, tags)."""
+
+    @staticmethod
+    def _manifest(docs: DataFrame, memory: DataFrame | None) -> DataFrame:
+        """(id, hash) of each document's node and of what its edges follow from."""
+        own = [c for c in ("title", "tags", "files", "actor", "rejected") if c in docs.columns]
+        rows = docs.select(graph.node("footprint", F.col("id").cast("string")).alias("id"), F.sha1(F.to_json(F.struct(*own))).alias("hash"))
+        if memory is None:
+            return rows
+        return rows.union(memory.select(graph.node("memory", F.col("id").cast("string")), F.sha1(F.to_json(F.struct("tags")))))
+
+    @staticmethod
+    def _edges(docs: DataFrame, supersedes: DataFrame, memory: DataFrame | None) -> DataFrame:
+        found = graph.edges(docs, supersedes)
+        if memory is not None:
+            found = found.unionByName(graph.memory_edges(memory))
+        return found.withColumn("owner", F.col("src"))
+
+    def _write(self, edges: DataFrame, docs: DataFrame, memory: DataFrame | None) -> None:
         after = self.version + 1
         edges.repartition("src").write.mode("overwrite").parquet(f"{self.base}/edges/v{after}")
         stored = self.spark.read.parquet(f"{self.base}/edges/v{after}")
-        graph.nodes(stored, docs).write.mode("overwrite").parquet(f"{self.base}/nodes/v{after}")
-        docs.select("id", F.sha1(F.to_json(F.struct("title", "tags", "files", "actor"))).alias("hash")).write.mode("overwrite").parquet(f"{self.base}/manifest/v{after}")
+        graph.nodes(stored, docs, memory).write.mode("overwrite").parquet(f"{self.base}/nodes/v{after}")
+        self._manifest(docs, memory).write.mode("overwrite").parquet(f"{self.base}/manifest/v{after}")
         latest = built_at(docs).first()["built_at"] if "created_at" in docs.columns else ""
         self._point(version=after, schema=SCHEMA_VERSION, count=docs.count(), built_at=latest)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.base}/{name}/v{self.version}")
 
-    def build(self, docs: DataFrame, supersedes: DataFrame) -> None:
-        self._write(graph.edges(docs, supersedes).withColumn("owner", F.col("src")), docs)
+    def build(self, docs: DataFrame, supersedes: DataFrame, memory: DataFrame | None = None) -> None:
+        self._write(self._edges(docs, supersedes, memory), docs, memory)
 
-    def update(self, docs: DataFrame, supersedes: DataFrame) -> None:
+    def update(self, docs: DataFrame, supersedes: DataFrame, memory: DataFrame | None = None) -> None:
         """Only edges that changed documents own, and SUPERSEDES edges at either
         end of one or that the table of supersedes no longer has, are made anew."""
         if self.state is None or self.state["schema"] != SCHEMA_VERSION:
-            return self.build(docs, supersedes)
-        fresh = docs.select("id", F.sha1(F.to_json(F.struct("title", "tags", "files", "actor"))).alias("hash"))
-        changes = save(diff(self.read("manifest"), fresh).where("change <> 'same'"), "changes")
-        touched = changes.select(graph.node("footprint", F.col("id").cast("string")).alias("id"))
-        kept = self.read("edges").where("rel <> 'SUPERSEDES'").join(touched.select(F.col("id").alias("owner")), "owner", "left_anti")
-        some = docs.join(changes.where("change <> 'removed'"), "id", "left_semi")
-        # these follow from other documents' content, so all are taken from the table: one row a pair
-        new = graph.edges(some, supersedes).withColumn("owner", F.col("src"))
-        self._write(kept.unionByName(new), docs)
+            return self.build(docs, supersedes, memory)
+        changes = save(diff(self.read("manifest"), self._manifest(docs, memory)).where("change <> 'same'"), "changes")
+        kept = self.read("edges").where("rel <> 'SUPERSEDES'").join(changes.select(F.col("id").alias("owner")), "owner", "left_anti")
+        left = changes.where("change <> 'removed'").select(F.col("id").alias("node"))
+        some = docs.join(left, graph.node("footprint", docs["id"].cast("string")) == left["node"], "left_semi")
+        if memory is not None:
+            memory_some = memory.join(left, graph.node("memory", memory["id"].cast("string")) == left["node"], "left_semi")
+        # supersedes follow from other documents' content, so all are taken from the table: one row a pair
+        new = self._edges(some, supersedes, None if memory is None else memory_some)
+        self._write(kept.unionByName(new), docs, memory)

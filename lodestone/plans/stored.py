@@ -74,8 +74,9 @@ def _budget_sql(seeds: str, most_nodes: int = 40, most_edges: int = 80) -> str:
         UNION ALL SELECT pos, 1, bridge, NULL, seed, kind, w FROM mine
         UNION ALL SELECT m.pos, 1, m.bridge, e.src, m.seed, m.kind, least(m.w, e.weight) FROM mine m JOIN edges e ON e.dst = m.bridge AND e.rel = m.rel WHERE e.src <> m.seed),
       walked AS (SELECT *, row_number() OVER (ORDER BY pos, step, bridge, id NULLS FIRST, kind) AS n FROM events ORDER BY n LIMIT {most_edges}),
-      firsts AS (SELECT id, row_number() OVER (ORDER BY min(n)) AS place FROM walked WHERE id IS NOT NULL GROUP BY id),
-      bridges AS (SELECT w.id, w.seed, w.kind, w.bridge, w.weight, 1 AS distance FROM walked w JOIN firsts f ON w.id = f.id AND f.place <= {most_nodes} WHERE w.id NOT IN (SELECT id FROM {seeds}))"""
+      firsts AS (SELECT id, min(pos) AS pos, row_number() OVER (ORDER BY min(n)) AS place FROM walked WHERE id IS NOT NULL GROUP BY id),
+      bridges AS (SELECT w.id, w.seed, w.kind, w.bridge, w.weight, 1 AS distance FROM walked w JOIN firsts f ON w.id = f.id AND f.place <= {most_nodes} WHERE w.id NOT IN (SELECT id FROM {seeds})
+        AND (SELECT count(*) FROM firsts x WHERE x.pos < w.pos) < {most_nodes})"""
 
 
 @query(f"WITH {EDGES_SQL}, seeds AS (SELECT * FROM (VALUES (0, 'footprint:5'), (1, 'footprint:11'), (2, 'footprint:7')) t(pos, id)), {_budget_sql('seeds')} SELECT id, seed, kind, bridge, weight::DOUBLE AS weight, distance::INT AS distance FROM bridges")
@@ -104,6 +105,29 @@ def graph_incremental_equals_full(spark: SparkSession, sf: str) -> DataFrame:
     return stored.read("edges").select("src", "dst", "rel", "weight")
 
 
+TALK_TAGS_SQL = "talk_tags AS (SELECT DISTINCT 'memory:' || conv_id AS src, 'tag:' || lower(role) AS dst FROM conversations WHERE trim(role) <> '')"
+REJECTED_SQL = (
+    "refused AS (SELECT doc_id AS id, source AS option FROM documents WHERE doc_id % 5 = 0), "
+    "refusals AS (SELECT 'footprint:' || id AS src, 'rejected_option:' || id || '#0' AS dst, 'REJECTED' AS rel, 1.0::DOUBLE AS weight FROM refused)"
+)
+
+
+@query(
+    f"WITH {EDGES_SQL}, {TALK_TAGS_SQL}, {REJECTED_SQL} SELECT src, dst, rel, weight FROM edges WHERE rel <> 'MENTIONS' UNION ALL SELECT src, dst, 'HAS_TAG', 1.0::DOUBLE FROM talk_tags UNION ALL SELECT src, dst, rel, weight FROM refusals"
+)
+def graph_memory_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored graph with memory documents, tagged by the roles in a conversation, and
+    with rejected options, here the source; after an update to it. Concepts aside."""
+    option = F.struct(F.col("source").alias("option"), F.lit("").alias("reason"))
+    refused = table(spark, sf, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("id"), F.array(option).alias("rejected"))
+    docs = corpus(spark, sf).join(refused, "id", "left")
+    memory = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.sort_array(F.collect_set("role")).alias("tags"))
+    stored = incremental.Graph(spark, None, "graph")
+    stored.build(docs.where("id % 7 > 0"), tables.supersedes(docs), memory.withColumn("tags", F.slice("tags", 1, 1)))
+    stored.update(docs, tables.supersedes(docs), memory)
+    return stored.read("edges").where("rel <> 'MENTIONS'").select("src", "dst", "rel", "weight")
+
+
 @query(f"WITH {EDGES_SQL}, hit AS (SELECT 'footprint:' || id AS id FROM corpus WHERE id % 10 = 0) SELECT DISTINCT src, dst FROM edges WHERE rel = 'SUPERSEDES' AND (src IN (SELECT id FROM hit) OR dst IN (SELECT id FROM hit))")
 def graph_supersede_closure(spark: SparkSession, sf: str) -> DataFrame:
     affected = corpus(spark, sf).where("id % 10 = 0").select(graph.node("footprint", F.col("id").cast("string")).alias("id"))

@@ -163,3 +163,27 @@ def test_documents_that_arrive(spark, tmp_path):
     usage.follow(spark, source, schema, index).awaitTermination()
     assert sorted(r.term for r in index.read("postings").collect()) == ["one", "two", "two"]
     assert index.version and uuid
+
+
+def test_budget_stops_before_a_seed(spark):
+    docs = spark.createDataFrame([doc(i, f"word{i}", "c", ["a"] if i < 4 else ["b"], []) for i in range(8)], DOC)
+    e = graph.edges(docs, spark.createDataFrame([], "newer long, older long"))
+    rows = graph.expand_budgeted(e, ["footprint:0", "footprint:1", "footprint:4"], max_nodes=3).collect()
+    assert {r["seed"] for r in rows} == {"footprint:0"}  # 1, 2 and 3 fill it; 1 and 4 aren't walked from
+
+
+def test_memory_and_rejected(spark):
+    docs = spark.createDataFrame([(1, "first", ["Team A"], ["f.md"], "me", [("Redis cache", "slow")]), (2, "second", [], [], "me", None)], "id long, title string, tags array<string>, files array<string>, actor string, rejected array<struct<option:string,reason:string>>")
+    memory = spark.createDataFrame([("m1", ["team a", "Team  A", " "]), ("m2", None), ("m3", ["team a"])], "id string, tags array<string>")
+    none = spark.createDataFrame([], "newer long, older long")
+    store = incremental.Graph(spark, None, "graph")
+    store.build(docs, none, memory.where("id <> 'm3'"))
+    store.update(docs, none, memory)
+    edges = store.read("edges")
+    assert sorted(r["src"] for r in edges.where("dst = 'tag:team a'").collect()) == ["footprint:1", "memory:m1", "memory:m3"]
+    assert edges.where("rel = 'REJECTED'").first()["dst"] == "rejected_option:1#0"
+    assert edges.where("dst = 'concept:redis cache'").first()["weight"] == 1.0
+    assert store.read("nodes").where("id = 'memory:m2' and kind = 'memory'").count() == 1
+    assert {r["id"] for r in graph.expand(edges, spark.createDataFrame([("footprint:1",)], "id string")).collect()} == {"memory:m1", "memory:m3"}
+    store.update(docs, none, memory.where("id <> 'm1'"))
+    assert store.read("edges").where("src = 'memory:m1'").count() == 0
