@@ -284,37 +284,8 @@ def _gapped(word: str) -> list[str]:
     return [piece for w in made for piece in _pieces(w)[:1]]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, landmarks: int = 96, per_text: int = 400, candidates: int = 400, negatives: int = 30_000, rounds: int = 2) -> Model:
-    """Learn from labelled sentences of the texts of docs (doc_id, text) whose
-    doc_id labels (doc_id, toxic 0 or 1) name.
-
-    What is gathered is bounded: of each label at most `most` texts, those with
-    the lowest hashes of doc_id and text, of each at most `per_text` sentences
-    spread over it; as landmarks at most `candidates` telling words and 50
-    times as many frequent clean words come into question; of the words of
-    clean sentences the `negatives` nearest to a landmark are learnt from.
-    Positive sentences count once more with a character put into their witness. Nulls
-    teach nothing. Without a toxic and a clean text, or without a word that
-    tells them apart, every text scores the share of toxic labels."""
-    labels = labels.select(F.col("doc_id").cast("long"), (F.col("toxic") > 0).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").distinct()
-    counts = dict(labels.groupBy("toxic").agg(F.count("*")).collect())  # two rows at most
-    lowest = lambda *by: F.row_number().over(Window.partitionBy("toxic").orderBy(*by))
-    chosen = labels.withColumn("place", lowest(F.xxhash64("doc_id"), "doc_id")).where(F.col("place") <= most).drop("place")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    chosen = texts.join(F.broadcast(chosen), "doc_id")  # at most 2 * most rows are sent
-    chosen = chosen.withColumn("place", lowest(F.xxhash64("doc_id"), F.xxhash64("text"))).where(F.col("place") <= most).select("text", "toxic")
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [sentences(t.as_py(), per_text) for t in batch.column(0)]
-            yield pa.record_batch([batch.column(1), pa.array(made, pa.list_(pa.list_(pa.string())))], ["toxic", "units"])
-
-    got = chosen.mapInArrow(split, "toxic int, units array<array<string>>").toArrow()
-    if not got.num_rows:
-        return Model([], 0.0)
-    labels, bags = got["toxic"].to_numpy(), Bags(got["units"].combine_chunks())
-    del got
-    base = counts.get(1, 0) / max(1, sum(counts.values()))
+def _learn(labels: np.ndarray, bags: Bags, base: float, landmarks: int, candidates: int, negatives: int, rounds: int) -> Model:
+    """The machine for the bags of texts with these labels."""
     rows = bags.apart()
     toxic, clean = rows[labels[rows] == 1], rows[labels[rows] == 0]
     if not len(toxic) or not len(clean):
@@ -327,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, landmarks: int = 9
     used = np.zeros(len(labels), bool)
     used[rows] = True
     inside = used[bags.text] & (labels[bags.text] == 1)
-    # each word of a sentence of a clean text is a negative example; those far from all landmarks are left to the bias
+    # each word of a sentence of a clean text is a negative example, and weighs as the root of its texts; those far from all landmarks are left to the bias
     against = np.flatnonzero((elsewhere > 0) & (telling <= TELLING))
     near = np.concatenate([np.zeros(0, np.float32), *(model.kernel([bags.words[i] for i in against[k : k + 20_000]]).max(axis=1) for k in range(0, len(against), 20_000))])
     against = against[np.argsort(-near, kind="stable")[:negatives]]
@@ -342,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, landmarks: int = 9
         x = np.concatenate([model.features([bags.words[i] for i in words] + [w for g in gapped for w in g]), x_against])
         y = np.array([1] * (len(x) - len(against)) + [-1] * len(against))
         seen = np.sqrt(times)
-        weight = np.concatenate([seen, np.repeat(seen / 40, [len(g) for g in gapped]), np.ones(len(against))])
+        weight = np.concatenate([seen, np.repeat(seen / 40, [len(g) for g in gapped]), np.sqrt(elsewhere[against])])
         for _ in range(2):  # words of clean sentences that come near weigh more the second time
             model.learn(x, y, weight)
             weight = np.where((y < 0) & (x @ model.w + model.bias > -0.5), weight * 5, weight)
@@ -353,6 +324,40 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, landmarks: int = 9
     return model
 
 
+def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, landmarks: int = 192, per_text: int = 400, candidates: int = 400, negatives: int = 30_000, rounds: int = 2) -> Model:
+    """Learn from labelled sentences of the texts of docs (doc_id, text) whose
+    doc_id labels (doc_id, toxic 0 or 1) name.
+
+    What is gathered is bounded: of each label at most `most` texts, those with
+    the lowest hashes of doc_id and text, of each at most `per_text` sentences
+    spread over it; as landmarks at most `candidates` telling words and 50
+    times as many frequent clean words come into question; of the words of
+    clean sentences the `negatives` nearest to a landmark are learnt from.
+    Positive sentences count once more with a character put into their witness. Nulls
+    teach nothing. Without a toxic and a clean text, or without a word that
+    tells them apart, every text scores the share of toxic labels."""
+    labels = labels.select(F.col("doc_id").cast("long"), (F.col("toxic") > 0).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").distinct()
+    counts = dict(labels.groupBy("toxic").agg(F.count("*")).collect())  # two rows at most
+    lowest = lambda *by: F.row_number().over(Window.partitionBy("toxic").orderBy(*by))
+    chosen = labels.withColumn("place", lowest(F.xxhash64("doc_id"), "doc_id")).where(F.col("place") <= most).drop("place")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    chosen = texts.join(F.broadcast(chosen), "doc_id")  # at most 2 * most rows are sent
+    chosen = chosen.withColumn("place", lowest(F.xxhash64("doc_id"), F.xxhash64("text"))).where(F.col("place") <= most).select("text", "toxic")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sentences(t.as_py(), per_text) for t in batch.column(0)]
+            yield pa.record_batch([batch.column(1), pa.array(made, pa.list_(pa.list_(pa.string())))], ["toxic", "units"])
+
+    got = chosen.mapInArrow(split, "toxic int, units array<array<string>>").toArrow()
+    if not got.num_rows:
+        return Model([], 0.0)
+    labels, bags = got["toxic"].to_numpy(), Bags(got["units"].combine_chunks())
+    del got
+    base = counts.get(1, 0) / max(1, sum(counts.values()))
+    return _learn(labels, bags, base, landmarks, candidates, negatives, rounds)
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The columns of docs with toxic_score (0 to 1) and toxic_predicted (1 from
     `threshold`, else 0), from the whole text alone, however long: words of
