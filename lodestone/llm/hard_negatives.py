@@ -30,15 +30,16 @@ LOWEST, LAST = -LONG, LONG - 1
 SCHEMA = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 
 
-def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def inner_products(a: np.ndarray, b: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Inner products of rows of whole numbers held as doubles, exactly; where
-    lengths differ the missing numbers are zero. One beyond a long is an error."""
+    lengths differ the missing numbers are zero. One beyond a long is an error
+    among the pairs that `other` marks, and 0 elsewhere."""
     n = min(a.shape[1], b.shape[1])
     a, b = a[:, :n], b[:, :n]
     if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(n, 1) <= 1 << 53:
         return (a @ b.T).astype(np.int64)
     whole = np.frompyfunc(int, 1, 1)
-    exact = whole(a).astype(object) @ whole(b).astype(object).T
+    exact = np.where(other, whole(a).astype(object) @ whole(b).astype(object).T, 0)
     if exact.size and max(exact.max(), -exact.min()) >= LONG:
         raise ValueError("an inner product does not fit a long")
     return exact.astype(np.int64)
@@ -71,8 +72,9 @@ class First:
         self.last_score[g[full]], self.last_ident[g[full]] = s[full], i[full]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], anchors: list, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Anchors' numbers, ids and labels of some rows, and the scores of each anchor with each."""
+def _chunks(batches: Iterator[pa.RecordBatch], anchors: list, asked: np.ndarray, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Anchors' numbers, ids and labels of some rows, and the scores of each
+    anchor with each of another id; asked: the anchors' ids."""
     for batch in batches:
         ids, labels = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for rows, v in rows_by_length(batch.column(2)):
@@ -81,7 +83,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], anchors: list, scale: int) -> Ite
                 step = max(16, HELD // len(which))
                 for at in range(0, len(v), step):
                     part = rows[at : at + step]
-                    yield which, ids[part], labels[part], inner_products(q, v[at : at + step])
+                    yield which, ids[part], labels[part], inner_products(q, v[at : at + step], asked[which, None] != ids[None, part])
 
 
 def mine(vectors: DataFrame, anchor: Column, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, scale: int = 256) -> DataFrame:
@@ -90,15 +92,14 @@ def mine(vectors: DataFrame, anchor: Column, positives: int = 5, negatives: int
     vectors: vec_id, embedding, label (whole numbers); anchors are the rows for
     which `anchor` holds. A score is the integer inner product of
     floor(scale * x); higher ones come first, ties by the smaller vec_id. An
-    anchor's positives are its first rows of the same label and another vec_id,
-    at most `positives`; for each, the result has the first rows of other
-    labels, at most `negatives`, with low * positive_score <= 100 *
+    anchor's positives are its first rows of the same label, at most
+    `positives`; for each, the result has the first rows of other labels, at most `negatives`, with low * positive_score <= 100 *
     negative_score <= high * positive_score, and none if none is in the window.
 
     Rows whose vec_id, label or vector is null, and vectors that are empty or
     hold null or non-finite numbers, take no part. Where lengths differ, the
     missing numbers are zero. Rows that come again count again, as anchors and
-    as candidates. An empty table, or one without anchors, gives an empty
+    as candidates, but never for an anchor of the same vec_id. An empty table, or one without anchors, gives an empty
     result; other columns are not read. A product beyond a long is an error."""
     spark = vectors.sparkSession
     rows = vectors.where("vec_id is not null and label is not null and embedding is not null")
@@ -128,7 +129,7 @@ def _mined(rows: DataFrame, table: pa.Table, positives: int, negatives: int, low
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, ids, labels = sent.value
         best = First(n, positives)
-        for which, own, label, score in _chunks(batches, anchors, scale):
+        for which, own, label, score in _chunks(batches, anchors, ids, scale):
             fits = (label[None, :] == labels[which, None]) & (own[None, :] != ids[which, None])
             fits &= best.open_to(which[:, None], score, own[None, :])
             i, j = np.nonzero(fits)
@@ -151,11 +152,11 @@ def _mined(rows: DataFrame, table: pa.Table, positives: int, negatives: int, low
         anchors, ids, labels = sent.value
         uppers, lowers = limits.value
         best = First(n * positives, negatives)
-        for which, own, label, score in _chunks(batches, anchors, scale):
+        for which, own, label, score in _chunks(batches, anchors, ids, scale):
             slot = np.full(score.shape, -1, np.int64)
             for k in range(positives):
                 slot += score <= uppers[which, k, None]
-            i, j = np.nonzero((slot >= 0) & (label[None, :] != labels[which, None]))
+            i, j = np.nonzero((slot >= 0) & (label[None, :] != labels[which, None]) & (own[None, :] != ids[which, None]))
             at, s = slot[i, j], score[i, j]
             reached = s >= lowers[which[i], at]  # lower limits fall with the slots, so none of a higher slot is lower
             i, j, at, s = i[reached], j[reached], at[reached], s[reached]

@@ -133,11 +133,18 @@ def _hashes(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(x[8:] for x in column.to_pylist()), np.uint64)
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of a few rows, as texts are long."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def distinct_lines(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, key) of the keys that count, each once a document."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             ids, keys = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = {*keys_of(text, least)} - {None}
@@ -274,7 +281,7 @@ class LineIndex:
         least = self.least
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _small(batches):
                 rows: list[tuple] = []
                 for i, text, dropped in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "dropped_keys")), strict=True):
                     lines = (text or "").split("\n")

@@ -1,7 +1,7 @@
 """A Merkle manifest as a persistent tree in aligned blocks.
 
 Every group of rows (a language) has a tree over its leaves, and a tree over
-the groups' roots stands above. A tree is stored by aligned blocks of 2 ** BITS
+the groups' roots stands above. A tree is stored by aligned blocks of 1024
 nodes: a block is one row that holds all of its levels, and the roots of a
 layer's blocks are the nodes of the layer above. So no task sees more than a
 block, and the number of layers is the logarithm of the leaves.
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import save
 
+#: A block has 2 ** BITS nodes.
 BITS = 10
 #: Digests are hex texts of this length.
 HEX = 64
@@ -48,9 +49,9 @@ def leaf(*values: Column) -> Column:
 
 
 def levels(leaves: list[str], height: int) -> list[list[str]]:
-    """The levels of a block whose tree has `height` more levels above its leaves."""
+    """The leaves of a block and `height` levels above them."""
     out = [leaves]
-    for _ in range(min(BITS, height)):
+    for _ in range(height):
         row = out[-1]
         out.append([digest("".join(row[i : i + 2])) for i in range(0, len(row), 2)])
     return out
@@ -89,10 +90,11 @@ def _unpacked(nodes: str, sizes: list[int]) -> list[list[str]]:
     return out
 
 
-def _packed(table: pa.Table) -> pa.Table:
-    """One row for the nodes (tree, block, at, height, id, node, changed) of a block."""
+def _packed(table: pa.Table, bits: int) -> pa.Table:
+    """One row for the nodes (tree, block, at, height, id, node, changed) of a
+    block, whose tree has `height` more levels."""
     table = table.sort_by("at")
-    rows = levels(table["node"].to_pylist(), table["height"][0].as_py())
+    rows = levels(table["node"].to_pylist(), min(bits, table["height"][0].as_py()))
     one = {"tree": table["tree"][:1], "block": table["block"][:1], "height": table["height"][:1], "ids": [table["id"].to_pylist()], "nodes": ["".join(map("".join, rows))], "sizes": [[len(r) for r in rows]], "changed": [table["changed"].to_pylist()]}
     kinds = {"height": pa.int32(), "ids": pa.list_(pa.int64()), "nodes": pa.string(), "sizes": pa.list_(pa.int32()), "changed": pa.list_(pa.string())}
     return pa.table({k: pa.array(v, kinds[k]) if k in kinds else v for k, v in one.items()})
@@ -101,10 +103,11 @@ def _packed(table: pa.Table) -> pa.Table:
 @dataclass
 class Tree:
     """layers: the blocks of all trees from the leaves upwards (BLOCK);
-    roots: (tree, node), the root of each."""
+    roots: (tree, node), the root of each; bits: a block has 2 ** bits nodes."""
 
     layers: list[DataFrame]
     roots: DataFrame
+    bits: int
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
@@ -123,31 +126,31 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     return placed.join(save(runs, "runs"), ["part", "tree"]).withColumn("at", F.col("place") + F.col("shift")).drop("part", "place", "shift")
 
 
-def build(nodes: DataFrame) -> Tree:
+def build(nodes: DataFrame, bits: int = BITS) -> Tree:
     """nodes: tree, at, height as numbered() gives them, id, node, changed
     (the leaf's digest after a change, null without one)."""
     tallest = nodes.agg(F.coalesce(F.max("height"), F.lit(0))).first()[0]
     layers, roots = [], None
-    for k in range(max(1, -(-tallest // BITS))):
-        blocks = nodes.withColumn("block", F.shiftright("at", BITS)).select("tree", "block", "at", "height", "id", "node", "changed")
-        blocks = save(blocks.groupBy("tree", "block").applyInArrow(_packed, BLOCK), f"layer{k}")
+    for k in range(max(1, -(-tallest // bits))):
+        blocks = nodes.withColumn("block", F.shiftright("at", bits)).select("tree", "block", "at", "height", "id", "node", "changed")
+        blocks = save(blocks.groupBy("tree", "block").applyInArrow(lambda table: _packed(table, bits), BLOCK), f"layer{k}")
         layers.append(blocks)
-        left = F.greatest(F.lit(0), F.col("height") - BITS)
+        left = F.greatest(F.lit(0), F.col("height") - bits)
         tops = blocks.select("tree", F.col("block").alias("at"), left.alias("height"), F.lit(None).cast("long").alias("id"), F.right("nodes", F.lit(HEX)).alias("node"), F.lit(None).cast("string").alias("changed"))
         done = tops.where("height = 0").select("tree", "node")  # a tree that ends in this layer has one block in it
         roots = done if roots is None else roots.unionByName(done)
         nodes = tops.where("height > 0")
-    return Tree(layers, save(roots, "roots"))
+    return Tree(layers, save(roots, "roots"), bits)
 
 
-def _children(blocks: DataFrame, paths: DataFrame) -> DataFrame:
+def _children(blocks: DataFrame, paths: DataFrame, bits: int) -> DataFrame:
     """Paths (PATH) of the nodes of blocks, from the paths of the blocks."""
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 found = steps(_unpacked(r["nodes"], r["sizes"]), r["path"])
-                first, n = r["block"] << BITS, len(found)
+                first, n = r["block"] << bits, len(found)
                 yield pa.record_batch([pa.array([r["tree"]] * n), pa.array(range(first, first + n), pa.int64()), pa.array(found), pa.array([r["subroot"]] * n)], ["tree", "at", "path", "subroot"])
 
     return _with_paths(blocks, paths).mapInArrow(down, PATH)
@@ -160,7 +163,7 @@ def _with_paths(blocks: DataFrame, paths: DataFrame) -> DataFrame:
 def block_paths(tree: Tree, paths: DataFrame) -> DataFrame:
     """Paths (PATH) of the lowest layer's blocks, from what lies above the root of each tree (PATH, at 0)."""
     for blocks in reversed(tree.layers[1:]):
-        own = save(_children(blocks, paths), "paths")  # trees that end below this layer have no block in it
+        own = save(_children(blocks, paths, tree.bits), "paths")  # trees that end below this layer have no block in it
         paths = own.unionByName(paths.join(blocks.select("tree").distinct(), "tree", "left_anti"))
     return paths
 
@@ -179,20 +182,20 @@ class Manifest:
     whole, repeated rows are leaves of their own, an empty table has no root
     and empty results, and other columns are not read."""
 
-    def __init__(self, docs: DataFrame, group: str, order: str, columns: list[str], changed: dict[str, Column] | None = None, where: Column | None = None):
-        self.spark = docs.sparkSession
+    def __init__(self, docs: DataFrame, group: str, order: str, columns: list[str], changed: dict[str, Column] | None = None, where: Column | None = None, bits: int = BITS):
+        self.bits = bits
         name = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("-"))  # in this order null precedes every name
         after = F.when(where, leaf(*[(changed or {}).get(c, F.col(c)) for c in columns])) if where is not None else F.lit(None).cast("string")
         rows = docs.select(name.alias("tree"), F.col(order).cast("long").alias("id"), leaf(*map(F.col, columns)).alias("node"), after.alias("changed"))
         rows = save(rows.withColumn("row", F.monotonically_increasing_id()), "leaves")
-        trees = build(numbered(rows, "id", "node", "row"))
+        trees = build(numbered(rows, "id", "node", "row"), bits)
         groups = trees.roots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.lit(None).cast("long").alias("id"), "node", F.lit(None).cast("string").alias("changed"))
         groups = save(numbered(groups, "name"), "groups")
-        above = build(groups)
+        above = build(groups, bits)
         top = above.roots.first()  # one row, none for an empty table
         self.root = top["node"] if top else None
         paths = block_paths(above, above.roots.select("tree", F.lit(0).cast("long").alias("at"), F.lit("").alias("path"), F.lit("").alias("subroot")))
-        tops = _children(above.layers[0], paths).select("at", "path").join(groups.select("at", "name", "node"), "at")
+        tops = _children(above.layers[0], paths, bits).select("at", "path").join(groups.select("at", "name", "node"), "at")
         paths = block_paths(trees, save(tops.select(F.col("name").alias("tree"), F.lit(0).cast("long").alias("at"), "path", F.col("node").alias("subroot")), "tops"))
         self.blocks = _with_paths(trees.layers[0], paths)
 
@@ -200,10 +203,12 @@ class Manifest:
         """tree, at, id, level, node: the nodes that the version of each changed
         row copied, from the leaf (level 0) to the root. All others are shared."""
 
+        bits = self.bits
+
         def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    paths, first = steps(_unpacked(r["nodes"], r["sizes"]), r["path"]), r["block"] << BITS
+                    paths, first = steps(_unpacked(r["nodes"], r["sizes"]), r["path"]), r["block"] << bits
                     found = [(r["tree"], first + i, r["ids"][i], level, node) for i, new in enumerate(r["changed"]) if new is not None for level, node in enumerate([new, *climb(new, paths[i])])]
                     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
                     yield pa.record_batch([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], ["tree", "at", "id", "level", "node"])
