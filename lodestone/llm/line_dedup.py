@@ -295,7 +295,8 @@ class LineIndex:
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_text"])
 
         texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        both = texts.join(drops, texts["doc_id"].eqNullSafe(drops["drop_id"]), "left").select("doc_id", "text", "dropped_keys")
+        # texts meet their lines by a shuffle at every size, and only the lines are held
+        both = texts.join(drops.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(drops["drop_id"]), "left").select("doc_id", "text", "dropped_keys")
         return both.mapInArrow(cut, "doc_id long, n_lines long, n_dropped long, kept_text string")
 
 
