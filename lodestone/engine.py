@@ -25,12 +25,7 @@ class Engine:
 
     def refresh(self) -> dict[str, str]:
         """The status of index and graph before, after which both are fresh."""
-        before = {"index": self.index.ensure(self.docs)}
-        count, latest = self.index.state["count"], self.index.state["built_at"]
-        before["graph"] = self.graph.status(count, latest)
-        if before["graph"] != "fresh":
-            self.graph.update(self.docs, self.pairs, self.memory)
-        return before
+        return {"index": self.index.ensure(self.docs), "graph": self.graph.ensure(self.docs, self.pairs, self.memory)}
 
     def search(self, query: str, limit: int = LIMIT, **filters) -> DataFrame:
         return self.index.search(query, self.now, limit, **filters)
@@ -44,9 +39,9 @@ class Engine:
         return found.orderBy(F.desc("score"), "id").limit(limit)
 
     def explain(self, start: str, end: str, depth: int = 6) -> list[tuple[str, str | None]]:
-        """The shortest way between two documents, given by id; empty if there is none."""
-        at = [i if ":" in i else f"footprint:{i}" for i in (start, end)]
-        return graph.explain(self.graph.read("edges"), *at, depth)
+        """The shortest way between two documents, memory documents or nodes, given by id; empty if there is none."""
+        at = self.graph.resolve([start, end])
+        return graph.explain(self.graph.read("edges"), at[start], at[end], depth)
 
     def hybrid(self, query: str, limit: int = LIMIT, least: float = 0.0, **budget) -> DataFrame:
         """(id, rank, origin, score, via): keyword matches of a score of at least

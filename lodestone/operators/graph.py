@@ -10,6 +10,8 @@ from lodestone.sources.shared import save
 
 # Relation, kind of the node that it points to, kind of bridge.
 BRIDGES = {"TOUCHES_FILE": "file", "HAS_TAG": "tag", "HAS_DECISION": "decision", "MENTIONS": "concept"}
+# Relations to nodes that documents share.
+SHARED = (*BRIDGES, "AUTHORED_BY")
 TOKEN_WEIGHT, PHRASE_WEIGHT, SUPERSEDES_WEIGHT = 0.6, 1.0, 3.0
 
 
@@ -186,11 +188,53 @@ def superseding(edges_: DataFrame, affected: DataFrame) -> DataFrame:
 
 
 def document_nodes(docs: DataFrame) -> DataFrame:
-    """(id, kind, label, ref, data): a node for each document with what ranking and rendering need."""
-    data = F.struct(F.get("files", F.lit(0)).alias("file_path"), "status", "work_type", "created_at", "actor")
+    """(id, kind, label, ref, data): a node for each document with what ranking
+    and rendering need; null where docs have no such column."""
+    of = lambda name, kind="string": F.col(name) if name in docs.columns else F.lit(None).cast(kind).alias(name)
+    data = F.struct(F.get("files", F.lit(0)).alias("file_path"), of("status"), of("work_type"), of("created_at"), of("updated_at"), of("actor"))
     return docs.select(node("footprint", F.col("id").cast("string")).alias("id"), F.lit("footprint").alias("kind"), F.col("title").alias("label"), F.col("id").cast("string").alias("ref"), data.alias("data"))
 
 
+def memory_nodes(memory: DataFrame) -> DataFrame:
+    """(id, kind, label, ref): a node for each memory document."""
+    label = F.col("title") if "title" in memory.columns else F.col("id").cast("string")
+    return memory.select(node("memory", F.col("id").cast("string")).alias("id"), F.lit("memory").alias("kind"), label.alias("label"), F.col("id").cast("string").alias("ref"))
+
+
+def rejected_nodes(docs: DataFrame) -> DataFrame:
+    """(owner, id, kind, label, ref): a node for each rejected option, which its document owns."""
+    ident = F.col("id").cast("string")
+    each = docs.select(ident.alias("ref"), F.posexplode("rejected").alias("at", "x"))
+    return each.select(node("footprint", F.col("ref")).alias("owner"), node("rejected_option", F.concat("ref", F.lit("#"), "at")).alias("id"), F.lit("rejected_option").alias("kind"), F.col("x.option").alias("label"), "ref")
+
+
+def shared_nodes(docs: DataFrame) -> DataFrame:
+    """(id, kind, label, ref, writer): what documents, or memory documents (id,
+    tags), lead to and share with others, as each of them writes it."""
+    ident = F.col("id").cast("string").alias("writer")
+    row = lambda kind, key, label, ref: (node(kind, key).alias("id"), F.lit(kind).alias("kind"), label.alias("label"), ref.alias("ref"), F.col("writer"))
+    tags = docs.select(ident, F.explode("tags").alias("label")).withColumn("key", text.normalise(F.col("label"))).where("key <> ''")
+    out = tags.select(*row("tag", F.col("key"), F.col("label"), F.col("key")))
+    if "files" not in docs.columns:
+        return out
+    files = docs.select(ident, F.explode("files").alias("label"))
+    said = docs.select(ident, text.trim(F.col("title")).alias("label"), text.normalise(F.col("title")).alias("key")).where("key <> ''")
+    words = docs.select(ident, F.explode(text.significant_tokens(F.col("title"))).alias("label"))
+    actors = docs.select(ident, F.col("actor").alias("label"), text.normalise(F.col("actor")).alias("key")).where("key <> ''")
+    parts = [
+        files.select(*row("file", F.col("label"), F.col("label"), F.col("label"))),
+        said.select(*row("decision", text.fnv1a32(F.col("key")), F.col("label"), F.lit(None).cast("string"))),
+        words.select(*row("concept", F.col("label"), F.col("label"), F.col("label"))),
+        actors.select(*row("actor", F.col("key"), F.col("label"), F.col("key"))),
+    ]
+    if "rejected" in docs.columns:
+        phrases = rejected_edges(docs).where("rel = 'MENTIONS'").select(F.split_part("src", F.lit(":"), F.lit(2)).alias("writer"), F.regexp_replace("dst", "^concept:", "").alias("label"))
+        parts.append(phrases.select(*row("concept", F.col("label"), F.col("label"), F.col("label"))))
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
 def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Nodes (id, kind, label, ref) after a write: what a document owns is
     replaced, of what documents share the first label stays."""

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import graph
 from lodestone.operators.search import LIMIT, compile_query, indexed_bm25, postings, ranked
-from lodestone.sources.shared import exists, folder, save
-
-SCHEMA_VERSION = 3
+from lodestone.operators.stored import DELTAS, SCHEMA_VERSION, Stored, bits_for
+from lodestone.sources.shared import save
 
 
 def manifest(docs: DataFrame) -> DataFrame:
@@ -64,111 +63,105 @@ def built_at(docs: DataFrame, updated: Column | None = None) -> DataFrame:
     return docs.agg(F.coalesce(F.max(latest), F.lit("1970-01-01T00:00:00.000Z")).alias("built_at"))
 
 
-class Stored:
-    """A base path whose current version is the last row of a pointer table.
-    What a version consists of is written before its row, so a reader sees the
-    old version or the new one."""
-
-    def __init__(self, spark: SparkSession, base: str | None, name: str):
-        self.spark, self.base = spark, base or folder(spark, name)
-        self.state = self._last()
-
-    def _last(self):
-        path = f"{self.base}/pointer"
-        return self.spark.read.parquet(path).orderBy(F.desc("version")).first() if exists(self.spark, path) else None
-
-    @property
-    def version(self) -> int:
-        return self.state["version"] if self.state else 0
-
-    def _point(self, **row) -> None:
-        fields = ", ".join(f"{k} {'array<int>' if isinstance(v, list) else 'string' if isinstance(v, str) else 'long'}" for k, v in row.items())
-        self.spark.createDataFrame([tuple(row.values())], fields).coalesce(1).write.mode("append").parquet(f"{self.base}/pointer")
-        self.state = self._last()
-
-    def status(self, count: int, latest: str) -> str:
-        """missing, stale with the reason, or fresh, for sources of so many documents and this latest time."""
-        if self.state is None:
-            return "missing"
-        if self.state["schema"] != SCHEMA_VERSION:
-            return "stale: schema"
-        if self.state["count"] != count:
-            return "stale: count"
-        return "stale: mtime" if latest > self.state["built_at"] else "fresh"
-
-
 class Index(Stored):
-    """Postings of columns, lengths, a manifest and what results show. An update
-    writes the postings of changed and added documents as a segment of their
-    own; a posting counts while its document is owned by its segment.
-    Segments are merged when there are SEGMENTS of them. A build or another
-    schema version starts anew."""
+    """Postings of columns, and documents with their length, their hash and
+    what results show. docs: (id, columns, ...), ids of any one type. An update
+    indexes new and changed documents alone."""
 
-    SEGMENTS = 8
+    tables = ("docs", "postings")
 
     def __init__(self, spark: SparkSession, base: str | None = None, columns: tuple[str, ...] = ("content",), stem: bool = False):
         super().__init__(spark, base, "index")
         self.columns, self.stem = columns, stem
 
-    def _path(self, name: str, version: int) -> str:
-        return f"{self.base}/{name}/v{version}"
-
     def read(self, name: str) -> DataFrame:
+        """postings (id, pos, term), lengths (id, dl), manifest (id, hash, size) or shown (what results show)."""
         if name == "postings":
-            paths = [self._path("postings", k) for k in self.state["segments"]]
-            found = None
-            for k, path in zip(self.state["segments"], paths, strict=True):
-                part = self.spark.read.parquet(path).withColumn("segment", F.lit(k))
-                found = part if found is None else found.unionByName(part)
-            if len(paths) == 1:
-                return found.drop("segment")
-            return found.join(self._owners().select("id", "segment"), ["id", "segment"], "left_semi").drop("segment")
+            return self._live("postings").drop("_segment")
+        rows = self._live("docs")
         if name == "lengths":
-            return self._owners().drop("segment")
-        return self.spark.read.parquet(self._path(name, self.version))
-
-    def _owners(self) -> DataFrame:
-        """The lengths with the segment that holds each document's postings: how
-        an index came to be, not what is in it."""
-        return self.spark.read.parquet(self._path("lengths", self.version))
-
-    def _segment(self, docs: DataFrame, version: int) -> DataFrame:
-        post = postings(docs, self.stem, self.columns)
-        post.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(self._path("postings", version))
-        counted = self.spark.read.parquet(self._path("postings", version)).groupBy("id").agg(F.count("*").alias("dl"))
-        return docs.select("id").join(counted, "id", "left").select("id", F.coalesce("dl", F.lit(0).cast("long")).alias("dl"), F.lit(version).alias("segment"))
-
-    def _commit(self, docs: DataFrame, lengths: DataFrame, segments: list[int]) -> None:
-        after = self.version + 1
-        lengths.write.mode("overwrite").parquet(self._path("lengths", after))
-        manifest(docs).write.mode("overwrite").parquet(self._path("manifest", after))
-        docs.select([c for c in docs.columns if c != "content"]).write.mode("overwrite").parquet(self._path("shown", after))
+            return rows.select("id", F.col("_dl").alias("dl"))
+        if name == "manifest":
+            return rows.select("id", F.col("_hash").alias("hash"), F.col("_size").alias("size"))
+        return rows.select([c for c in rows.columns if not c.startswith("_")])
+
+    def _arrange(self, name: str, rows: DataFrame) -> DataFrame:
+        return rows.repartitionByRange("term").sortWithinPartitions("term", "id") if name == "postings" else super()._arrange(name, rows)
+
+    def _hashed(self, docs: DataFrame, trust: bool = True) -> DataFrame:
+        """(key, hash) of all that is indexed or shown of a document; its time
+        of change (mtime) is neither. Where docs have mtime and size, a document
+        whose two are as they were stored keeps its hash and isn't hashed again."""
+        names = [c for c in docs.columns if c not in ("id", "mtime")]
+        own = F.sha1(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}))
+        if not (trust and self.state and {"mtime", "size"} <= {*docs.columns} and {"mtime", "size"} <= {*self._live("docs").columns}):
+            return docs.select(F.col("id").alias("key"), own.alias("hash"))
+        was = self._live("docs").select("id", F.col("_hash").alias("hash_was"), F.col("mtime").alias("mtime_was"), F.col("size").alias("size_was"))
+        same = F.col("mtime").eqNullSafe(F.col("mtime_was")) & F.col("size").eqNullSafe(F.col("size_was"))
+        return docs.join(was, "id", "left").select(F.col("id").alias("key"), F.when(same & F.col("hash_was").isNotNull(), F.col("hash_was")).otherwise(own).alias("hash"))
+
+    def _segment(self, docs: DataFrame, rows: DataFrame) -> tuple[dict[str, DataFrame], int, str]:
+        """The tables' rows of docs, whose hashes and ranges are in rows; their words and latest time."""
+        words = save(postings(docs, self.stem, self.columns), "postings")
+        lengths = save(words.groupBy("id").agg(F.count("*").alias("_dl")), "lengths")
+        shown = docs.select(*[c for c in docs.columns if c != "content"], F.length("content").alias("_size")) if "content" in docs.columns else docs.withColumn("_size", F.lit(0))
+        known = rows.select(F.col("key").alias("id"), F.col("hash").alias("_hash"), F.col("range").alias("_range"))
+        shown = shown.join(known, "id").join(lengths, "id", "left").withColumn("_dl", F.coalesce("_dl", F.lit(0).cast("long")))
         latest = built_at(docs).first()["built_at"] if "created_at" in docs.columns else ""
-        count = self.spark.read.parquet(self._path("manifest", after)).count()
-        self._point(version=after, schema=SCHEMA_VERSION, segments=segments, count=count, built_at=latest)
+        return {"docs": shown, "postings": words}, lengths.agg(F.coalesce(F.sum("_dl"), F.lit(0))).first()[0], latest
 
     def build(self, docs: DataFrame) -> None:
-        after = self.version + 1
-        self._commit(docs, self._segment(docs, after), [after])
+        hashed = save(self._hashed(docs), "hashes")
+        bits = bits_for(hashed.count())
+        rows = self._rows(hashed, bits)
+        segment, words, latest = self._segment(docs, rows)
+        self._begin(segment, rows, bits, words=words, built_at=latest)
+
+    def _follow(self, docs: DataFrame, changes: DataFrame, built: str | None = None) -> None:
+        if changes.isEmpty():
+            return
+        fresh = docs.join(changes.where("change <> 'removed'").select(F.col("key").alias("id")), "id", "left_semi")
+        gone = self._live("docs").join(changes.where("change <> 'added'").select(F.col("key").alias("id")), "id", "left_semi")
+        less = gone.agg(F.coalesce(F.sum("_dl"), F.lit(0))).first()[0]
+        segment, words, latest = self._segment(fresh, changes.where("change <> 'removed'"))
+        self._apply(changes, segment, words=self.state["words"] + words - less, built_at=built if built is not None else max(latest, self.state["built_at"]))
 
     def update(self, docs: DataFrame) -> None:
         """docs: the whole corpus as it is now; documents that read as before are left alone."""
-        if self.state is None or self.state["schema"] != SCHEMA_VERSION or len(self.state["segments"]) >= self.SEGMENTS:
+        if self._anew():
             return self.build(docs)
-        changes = save(diff(self.read("manifest"), manifest(docs)).where("change <> 'same'"), "changes")
-        fresh = docs.join(changes.where("change <> 'removed'"), "id", "left_semi")
-        kept = self._owners().join(changes, "id", "left_anti")
-        after = self.version + 1
-        self._commit(docs, kept.unionByName(self._segment(fresh, after)), [*self.state["segments"], after])
-
-    def ensure(self, docs: DataFrame) -> str:
-        """Build or update unless the index is fresh; returns the status before."""
+        rows, tree, _ = self._survey(self._hashed(docs))
+        self._follow(docs, self._changes(rows, tree), built_at(docs).first()["built_at"] if "created_at" in docs.columns else "")
+
+    def upsert(self, docs: DataFrame, removed: DataFrame | None = None, **also) -> None:
+        """docs: new and changed documents alone, an id once; removed: (id) of
+        documents that are gone. Nothing else of the corpus is read. `also`
+        is kept in the pointer."""
+        if self.state is None or self.state["schema"] != SCHEMA_VERSION:
+            self.build(docs)
+        else:
+            rows = self._rows(self._hashed(docs), self.state["bits"])
+            self._follow(docs, self._asked(rows, None if removed is None else removed.select(F.col("id").alias("key"))))
+        if also:
+            self._point(self.version + 1, **{**self._kept(), **also})
+
+    def _anew(self) -> bool:
+        """Whether there is nothing to go on from, or ranges of the tree have grown too large."""
+        return self.state is None or self.state["schema"] != SCHEMA_VERSION or bits_for(self.state["count"]) > self.state["bits"]
+
+    def ensure(self, docs: DataFrame, trust: bool = True) -> str:
+        """Build or update unless the index is fresh; returns the status before.
+        Schema and count come first; where they agree the trees of hashes
+        decide. Without trust, documents of the same size and time are hashed too."""
         now = docs.agg(F.count("*").alias("n"), F.coalesce(F.max("created_at"), F.lit("1970-01-01T00:00:00.000Z")).alias("latest")).first()
         status = self.status(now["n"], now["latest"])
-        if status in ("missing", "stale: schema"):
+        if self._anew():
             self.build(docs)
-        elif status != "fresh":
-            self.update(docs)
+            return status
+        rows, tree, root = self._survey(self._hashed(docs, trust))
+        status = self.status(now["n"], now["latest"], root)
+        if status != "fresh":
+            self._follow(docs, self._changes(rows, tree), now["latest"])
         return status
 
     def search(self, query: str, now: str, limit: int | None = LIMIT, **filters) -> DataFrame:
@@ -178,57 +171,135 @@ class Index(Stored):
             from lodestone.functions.stem import porter
 
             phrases = [[porter(t) for t in p] for p in phrases]
-        found = indexed_bm25(self.read("postings"), self.read("lengths"), phrases)
+        found = indexed_bm25(self.read("postings"), self.read("lengths"), phrases, (self.state["count"], self.state["words"]))
         return ranked(self.read("shown").join(found, "id"), now, limit, **filters)
 
 
 class Graph(Stored):
-    """Edges with their owner and nodes, kept up with a corpus. docs as
+    """Edges with their owner, and nodes, kept up with a corpus. docs as
     graph.edges() takes them, supersedes as (newer, older), memory documents as
-    (id, tags)."""
+    (id, tags), with a title where they have one.
 
-    @staticmethod
-    def _manifest(docs: DataFrame, memory: DataFrame | None) -> DataFrame:
-        """(id, hash) of each document's node and of what its edges follow from."""
-        own = [c for c in ("title", "tags", "files", "actor", "rejected") if c in docs.columns]
-        rows = docs.select(graph.node("footprint", F.col("id").cast("string")).alias("id"), F.sha1(F.to_json(F.struct(*own))).alias("hash"))
-        if memory is None:
-            return rows
-        return rows.union(memory.select(graph.node("memory", F.col("id").cast("string")), F.sha1(F.to_json(F.struct("tags")))))
+    A document owns its edges, its node and the nodes of its rejected options.
+    The nodes that documents share have a count of the edges that lead to them:
+    an update changes the counts of what its documents lead and led to, the
+    first label stays, and a node goes when its count is zero."""
+
+    key = "owner"
+    tables = ("docs", "edges", "owned")
+
+    def read(self, name: str) -> DataFrame:
+        """edges (src, dst, rel, weight, owner), docs (nodes of documents: id, kind, label, ref, data) or nodes of all kinds."""
+        if name == "edges":
+            return self._live("edges").drop("_segment")
+        docs = self._live("docs").select(F.col("owner").alias("id"), "kind", "label", "ref", "data")
+        if name == "docs":
+            return docs
+        owned = self._live("owned").select("id", "kind", "label", "ref")
+        shared = self._shared().where("refs > 0").select("id", "kind", "label", "ref")
+        return docs.unionByName(owned.unionByName(shared).withColumn("data", F.lit(None).cast(docs.schema["data"].dataType)))
+
+    def resolve(self, ids: list[str]) -> dict[str, str]:
+        """The node that each id stands for: documents and memory documents by their id, nodes by their own."""
+        return {r["asked"]: r["id"] for r in graph.resolve(self.read("docs"), ids).collect()}
+
+    def _shared(self) -> DataFrame:
+        """(id, kind, label, ref, refs): of a node written several times the last."""
+        rows = self.spark.read.parquet(*[self._path("shared", v) for v in self.state["shared"]])
+        if len(self.state["shared"]) == 1:
+            return rows.drop("version")
+        return rows.groupBy("id").agg(F.max_by(F.struct("kind", "label", "ref", "refs"), "version").alias("x")).select("id", "x.*")
+
+    def _versions(self, state: dict) -> dict[str, list[int]]:
+        return {**super()._versions(state), "shared": state["shared"]}
+
+    def _put_shared(self, rows: DataFrame, version: int) -> None:
+        rows.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(self._path("shared", version))
 
     @staticmethod
-    def _edges(docs: DataFrame, supersedes: DataFrame, memory: DataFrame | None) -> DataFrame:
-        found = graph.edges(docs, supersedes)
+    def _hashed(docs: DataFrame, supersedes: DataFrame, memory: DataFrame | None) -> DataFrame:
+        """(key, hash) of each document's node and of all that its edges follow
+        from: its own columns, and which documents it supersedes."""
+        own = [c for c in ("title", "tags", "files", "actor", "rejected", "status", "work_type", "created_at", "updated_at") if c in docs.columns]
+        older = F.xxhash64("older")
+        chained = supersedes.groupBy(F.col("newer").alias("id")).agg(F.count("*").alias("n_older"), F.bit_xor(older).alias("xor_older"), F.sum(older.cast("decimal(38,0)")).alias("sum_older"))
+        rows = docs.join(chained, "id", "left")
+        json_of = lambda *names: F.sha1(F.to_json(F.struct(*names), {"ignoreNullFields": "false"})).alias("hash")
+        found = rows.select(graph.node("footprint", F.col("id").cast("string")).alias("key"), json_of(*own, "n_older", "xor_older", "sum_older"))
+        if memory is None:
+            return found
+        return found.unionByName(memory.select(graph.node("memory", F.col("id").cast("string")).alias("key"), json_of(*[c for c in memory.columns if c != "id"])))
+
+    def _segment(self, rows: DataFrame, docs: DataFrame, supersedes: DataFrame, memory: DataFrame | None) -> tuple[dict[str, DataFrame], DataFrame, str]:
+        """The tables' rows of docs, whose hashes and ranges are in rows, and the
+        nodes that they share with others (id, kind, label, ref, refs); their latest time."""
+        pairs = supersedes.join(docs.select(F.col("id").alias("newer")), "newer", "left_semi")
+        edges = graph.edges(docs, pairs)
+        nodes, shared = graph.document_nodes(docs), graph.shared_nodes(docs)
         if memory is not None:
-            found = found.unionByName(graph.memory_edges(memory))
-        return found.withColumn("owner", F.col("src"))
-
-    def _write(self, edges: DataFrame, docs: DataFrame, memory: DataFrame | None) -> None:
-        after = self.version + 1
-        edges.repartition("src").write.mode("overwrite").parquet(f"{self.base}/edges/v{after}")
-        stored = self.spark.read.parquet(f"{self.base}/edges/v{after}")
-        graph.nodes(stored, docs, memory).write.mode("overwrite").parquet(f"{self.base}/nodes/v{after}")
-        self._manifest(docs, memory).write.mode("overwrite").parquet(f"{self.base}/manifest/v{after}")
+            edges = edges.unionByName(graph.memory_edges(memory))
+            nodes = nodes.unionByName(graph.memory_nodes(memory).withColumn("data", F.lit(None).cast(nodes.schema["data"].dataType)))
+            shared = shared.unionByName(graph.shared_nodes(memory))
+        edges = save(edges.withColumn("owner", F.col("src")), "edges")
+        known = rows.select(F.col("key").alias("owner"), F.col("hash").alias("_hash"), F.col("range").alias("_range"))
+        owned = graph.rejected_nodes(docs) if "rejected" in docs.columns else self.spark.createDataFrame([], "owner string, id string, kind string, label string, ref string")
+        labels = shared.groupBy("id").agg(F.min_by(F.struct("kind", "label", "ref"), "writer").alias("x")).select("id", "x.*")
+        refs = edges.where(F.col("rel").isin(*graph.SHARED)).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("refs"))
         latest = built_at(docs).first()["built_at"] if "created_at" in docs.columns else ""
-        self._point(version=after, schema=SCHEMA_VERSION, count=docs.count(), built_at=latest)
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/{name}/v{self.version}")
+        return {"docs": nodes.withColumnRenamed("id", "owner").join(known, "owner"), "edges": edges, "owned": owned}, save(refs.join(labels, "id"), "refs"), latest
 
     def build(self, docs: DataFrame, supersedes: DataFrame, memory: DataFrame | None = None) -> None:
-        self._write(self._edges(docs, supersedes, memory), docs, memory)
+        hashed = save(self._hashed(docs, supersedes, memory), "hashes")
+        bits = bits_for(hashed.count())
+        rows = self._rows(hashed, bits)
+        segment, shared, latest = self._segment(rows, docs, supersedes, memory)
+        self._put_shared(shared, self.version + 1)
+        self._begin(segment, rows, bits, shared=[self.version + 1], built_at=latest)
 
     def update(self, docs: DataFrame, supersedes: DataFrame, memory: DataFrame | None = None) -> None:
-        """Only edges that changed documents own, and SUPERSEDES edges at either
-        end of one or that the table of supersedes no longer has, are made anew."""
-        if self.state is None or self.state["schema"] != SCHEMA_VERSION:
+        """Only what documents that changed own is made anew, and the counts of
+        the nodes that they lead or led to; a document changes too with the
+        documents that it supersedes."""
+        if self._anew():
             return self.build(docs, supersedes, memory)
-        changes = save(diff(self.read("manifest"), self._manifest(docs, memory)).where("change <> 'same'"), "changes")
-        kept = self.read("edges").where("rel <> 'SUPERSEDES'").join(changes.select(F.col("id").alias("owner")), "owner", "left_anti")
-        left = changes.where("change <> 'removed'").select(F.col("id").alias("node"))
-        some = docs.join(left, graph.node("footprint", docs["id"].cast("string")) == left["node"], "left_semi")
-        if memory is not None:
-            memory_some = memory.join(left, graph.node("memory", memory["id"].cast("string")) == left["node"], "left_semi")
-        # supersedes follow from other documents' content, so all are taken from the table: one row a pair
-        new = self._edges(some, supersedes, None if memory is None else memory_some)
-        self._write(kept.unionByName(new), docs, memory)
+        rows, tree, _ = self._survey(self._hashed(docs, supersedes, memory))
+        self._follow(self._changes(rows, tree), docs, supersedes, memory)
+
+    def _anew(self) -> bool:
+        return self.state is None or self.state["schema"] != SCHEMA_VERSION or bits_for(self.state["count"]) > self.state["bits"]
+
+    def ensure(self, docs: DataFrame, supersedes: DataFrame, memory: DataFrame | None = None) -> str:
+        """Build or update unless the graph is fresh; returns the status before."""
+        if self._anew():
+            status = self.status(0, "")
+            self.build(docs, supersedes, memory)
+            return status
+        latest = built_at(docs).first()["built_at"] if "created_at" in docs.columns else ""
+        rows, tree, root = self._survey(self._hashed(docs, supersedes, memory))
+        status = self.status(rows.count(), latest, root)
+        if status != "fresh":
+            self._follow(self._changes(rows, tree), docs, supersedes, memory)
+        return status
+
+    def _follow(self, changes: DataFrame, docs: DataFrame, supersedes: DataFrame, memory: DataFrame | None) -> None:
+        if changes.isEmpty():
+            return
+        left = changes.where("change <> 'removed'")
+        of = lambda kind, rows: rows.join(left.select(F.col("key").alias("owner")), graph.node(kind, rows["id"].cast("string")) == F.col("owner"), "left_semi")
+        some, some_memory = of("footprint", docs), None if memory is None else of("memory", memory)
+        segment, more, latest = self._segment(left, some, supersedes, some_memory)
+        was = self._live("edges").join(changes.where("change <> 'added'").select(F.col("key").alias("owner")), "owner", "left_semi")
+        less = was.where(F.col("rel").isin(*graph.SHARED)).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("less"))
+        counts = save(more.select("id", F.col("refs").alias("more")).join(less, "id", "full_outer"), "counts")
+        old = self._shared().where("refs > 0").join(counts, "id", "left_semi")
+        labels = graph.upsert_nodes(old.drop("refs"), more.drop("refs"))
+        after = counts.join(labels, "id").join(old.select("id", "refs"), "id", "left")
+        refs = F.coalesce("refs", F.lit(0)) + F.coalesce("more", F.lit(0)) - F.coalesce("less", F.lit(0))
+        v = self.version + 1
+        self._put_shared(after.select("id", "kind", "label", "ref", refs.alias("refs")), v)
+        shared = [*self.state["shared"], v]
+        self._apply(changes, segment, shared=shared, built_at=max(latest, self.state["built_at"]))
+        if len(shared) > DELTAS:
+            v = self.version + 1
+            self._put_shared(self._shared().where("refs > 0"), v)
+            self._point(v, **{**self._kept(), "shared": [v]})

@@ -72,9 +72,9 @@ def bm25(docs: DataFrame, phrases: list[list[str]]) -> DataFrame:
     return counted.where(some).withColumn("bm25", total).select(*docs.columns, "bm25")
 
 
-def indexed_bm25(index: DataFrame, lengths: DataFrame, phrases: list[list[str]]) -> DataFrame:
+def indexed_bm25(index: DataFrame, lengths: DataFrame, phrases: list[list[str]], totals: tuple[int, int] | None = None) -> DataFrame:
     """(id, bm25) from saved postings: index is read for the query's terms
-    alone. A phrase occurs where its words follow each other; words of a
+    alone. totals: the documents and their words, if they are known. A phrase occurs where its words follow each other; words of a
     phrase meet at the place where it would begin."""
     spark = index.sparkSession
     wanted = [(t, n, i, len(p)) for n, p in enumerate(phrases) for i, t in enumerate(p)]
@@ -84,12 +84,12 @@ def indexed_bm25(index: DataFrame, lengths: DataFrame, phrases: list[list[str]])
     hits = index.where(F.col("term").isin(*{w[0] for w in wanted})).join(asked, "term")
     whole = hits.groupBy("id", "phrase", "words", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("met")).where("met = words")
     tf = whole.groupBy("id", "phrase").agg(F.count("*").alias("tf"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    n, words = totals or lengths.agg(F.count("*"), F.sum("dl")).first()
     df = {r["phrase"]: r["df"] for r in tf.groupBy("phrase").agg(F.count("*").alias("df")).collect()}  # a row a phrase
     if not df:
         return tf.select("id", F.lit(0.0).alias("bm25"))
     table = F.create_map(*[x for p, n in df.items() for x in (F.lit(p), F.lit(n))])
-    one = ranking.bm25_term(F.col("tf"), F.col("dl"), stats["n"], table[F.col("phrase")], stats["avgdl"])
+    one = ranking.bm25_term(F.col("tf"), F.col("dl"), n, table[F.col("phrase")], words / n)
     return tf.join(lengths.select("id", "dl"), "id").groupBy("id").agg(F.sum(one).alias("bm25"))
 
 
