@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import stored  # noqa: F401
+from lodestone.plans import stored, upkeep  # noqa: F401
 from lodestone.plans.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

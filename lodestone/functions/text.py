@@ -53,10 +53,14 @@ def fnv1a32(text: Column) -> Column:
     return F.lpad(F.lower(F.hex(h)), 8, "0")
 
 
+def utf16_length(text: Column) -> Column:
+    """Characters, those above U+FFFF as two units."""
+    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
 def estimate_tokens(text: Column) -> Column:
-    """ceil(UTF-16 length / 3.5); characters above U+FFFF are two units."""
-    astral = F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
-    return F.ceil((F.length(text) + astral) / F.lit(CHARS_PER_TOKEN)).cast("long")
+    """ceil(UTF-16 length / 3.5)."""
+    return F.ceil(utf16_length(text) / F.lit(CHARS_PER_TOKEN)).cast("long")
 
 
 def title(text: Column) -> Column:

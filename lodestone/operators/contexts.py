@@ -12,8 +12,19 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import estimate_tokens, first_line, trim
 from lodestone.operators.search import budget_prefix
 
-HEADER = "Relevant context:"
-NOTE = "(Token counts are approximate.)"
+# The texts of results, without the product's name.
+HEADER, GRAPH_HEADER = "Relevant context:", "Relevant context (graph-aware):"
+TOOL_HEADER = "Relevant context (token counts are approximate):"
+NOTE = "(Token counts are approximate — estimated, not tokenizer-exact.)"
+NOTHING = "No relevant context found."
+
+
+def estimate_header(text: str) -> int:
+    return -(-2 * len(text) // 7)  # ceil(n / 3.5)
+
+
+#: Tokens of what stands before and after the blocks.
+FRAME = estimate_header(f"{HEADER}\n\n") + estimate_header(f"\n\n{NOTE}")
 #: The kinds of bridges, the strongest first.
 ORDER = ("supersedes", "file", "decision", "concept", "tag")
 
@@ -28,7 +39,7 @@ def statement(title: Column, s: Column) -> Column:
 def reason(s: Column) -> Column:
     """Why: what was rejected beside a decision, the rejected option's reason, or the purpose of a record that has neither guidance."""
     first = F.get(s["rejected"], F.lit(0))
-    beside = F.when(F.size(s["rejected"]) > 0, F.concat(first["option"], F.lit(" was rejected: "), first["reason"]))
+    beside = F.when(F.size(s["rejected"]) > 0, F.concat(first["option"], F.lit(" was rejected — "), first["reason"]))
     guided = F.coalesce(trim(s["guidance"]), F.lit("")) != ""
     return F.when(F.size(s["decisions"]) > 0, beside).when(F.size(s["rejected"]) > 0, first["reason"]).when(guided, F.lit(None)).otherwise(first_line(s["purpose"]))
 
@@ -57,15 +68,15 @@ def why_selected(query: Column, origin: Column, via: Column) -> Column:
     """In words, from where a result came and over which bridge."""
     bridge = F.get(via, strongest(via))
     kind, label = bridge["kind"], bridge["label"]
-    shares = lambda what, mark="": F.concat(F.lit(f"shares {what} {mark}"), label, F.lit(f"{mark} with a match"))
+    shares = lambda what, mark="": F.concat(F.lit(f"shares {what} {mark}"), label, F.lit(f"{mark} with a matched memory"))
     return (
         F.when(origin == "fts", F.concat(F.lit('matched "'), query, F.lit('"')))
-        .when(kind == "supersedes", "supersedes or is superseded by a match")
+        .when(kind == "supersedes", "supersedes / superseded by a matched memory")
         .when(kind == "file", shares("file"))
-        .when(kind == "decision", "shares a decision with a match")
+        .when(kind == "decision", "shares a decision with a matched memory")
         .when(kind == "concept", shares("concept", '"'))
         .when(kind == "tag", shares("tag", '"'))
-        .otherwise("related to a match")
+        .otherwise("graph-related to a matched memory")
     )
 
 
@@ -75,11 +86,12 @@ def capped(values: Column, most: int) -> Column:
 
 
 def via_reason(via: Column, most: int = 3) -> Column:
-    """The labels of each kind of bridge, at most `most`, as "file a, b; tag c"."""
-    each = F.array(*map(F.lit, ORDER))
-    labels = lambda kind: F.slice(F.array_distinct(F.transform(F.filter(via, lambda x: x["kind"] == kind), lambda x: x["label"])), 1, most)
-    parts = F.transform(each, lambda kind: F.when(F.size(labels(kind)) > 0, F.trim(F.concat(kind, F.lit(" "), F.array_join(labels(kind), ", ")))))
-    return F.array_join(F.array_compact(parts), "; ")
+    """The kinds of bridges in their order, with at most `most` labels of each,
+    as "supersedes link; shared file a, b; shared tag c"."""
+    kinds = F.array_distinct(F.transform(via, lambda x: x["kind"]))
+    labels = lambda kind: F.slice(F.array_distinct(F.filter(F.transform(F.filter(via, lambda x: x["kind"] == kind), lambda x: x["label"]), lambda x: x != "")), 1, most)
+    part = lambda kind: F.when(kind == "supersedes", "supersedes link").otherwise(F.concat_ws(" ", F.lit("shared"), kind, F.nullif(F.array_join(labels(kind), ", "), F.lit(""))))
+    return F.array_join(F.transform(kinds, part), "; ")
 
 
 def over(results: DataFrame, least: float) -> DataFrame:
@@ -93,6 +105,13 @@ def anchored(related: DataFrame, bridges: DataFrame, seeds: DataFrame) -> DataFr
     return related.join(kept, "id", "left_semi")
 
 
+def _block() -> Column:
+    """The block of a result joined to its record (rank, id, title, own, path, sections)."""
+    said = F.when(F.col("own").isNotNull(), statement(F.col("own"), F.col("sections"))).otherwise(F.coalesce("title", F.col("id").cast("string")))
+    why = F.when(F.col("own").isNotNull(), reason(F.col("sections")))
+    return F.concat_ws("\n", F.concat(F.col("rank").cast("string"), F.lit(". "), said), F.concat(F.lit("   Reason: "), why), F.concat(F.lit("   Source: "), F.coalesce("path", F.lit(""))))
+
+
 def fitting(results: DataFrame, records: DataFrame, budget: int, blank: int | None = None) -> DataFrame:
     """(rank, id, block): the first results whose blocks fit the budget. The
     block of a result is its statement, its reason and its source; a result
@@ -100,26 +119,29 @@ def fitting(results: DataFrame, records: DataFrame, budget: int, blank: int | No
     a source, and a blank line between two costs that many tokens."""
     rows = results.join(records.select("id", F.col("title").alias("own"), "path", "sections"), "id", "left")
     if blank is None:
-        said = F.when(F.col("own").isNotNull(), statement(F.col("own"), F.col("sections"))).otherwise(F.coalesce("title", F.col("id").cast("string")))
-        why = F.when(F.col("own").isNotNull(), reason(F.col("sections")))
-        block = F.concat_ws("\n", F.concat(F.col("rank").cast("string"), F.lit(". "), said), F.concat(F.lit("   Reason: "), why), F.concat(F.lit("   Source: "), F.coalesce("path", F.lit(""))))
-        cost, header = estimate_tokens(F.concat(F.col("block"), F.lit("\n\n"))), estimate_header(f"{HEADER}\n\n") + estimate_header(f"\n\n{NOTE}")
+        block = _block()
+        cost, header = estimate_tokens(F.concat(F.col("block"), F.lit("\n\n"))), FRAME
     else:
         said = F.when(trim(F.col("snippet")) != "", trim(F.col("snippet"))).otherwise(F.col("title"))
         block = F.concat(F.col("rank").cast("string"), F.lit(". "), said, F.lit("\n   Source: "), F.coalesce("path", F.lit("")))
-        cost, header = estimate_tokens(F.col("block")) + blank, estimate_header(f"{HEADER} {NOTE}")
+        cost, header = estimate_tokens(F.col("block")) + blank, estimate_header(TOOL_HEADER)
     return budget_prefix(rows.select("rank", "id", block.alias("block")), cost, budget, header).select("rank", "id", "block", "used")
 
 
-def estimate_header(text: str) -> int:
-    return -(-2 * len(text) // 7)  # ceil(n / 3.5)
-
-
 def rendered(blocks: DataFrame, footer: bool = True) -> DataFrame:
     """One row: the context's text, and how many results it holds."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n")
     whole = F.concat(F.lit(f"{HEADER}\n\n"), body, F.lit(f"\n\n{NOTE}" if footer else ""))
-    return blocks.agg(F.count("*").alias("results"), F.when(F.count("*") == 0, F.lit(f"{HEADER}\n\nNo relevant context found.")).otherwise(whole).alias("text"))
+    return blocks.agg(F.count("*").alias("results"), F.when(F.count("*") == 0, F.lit(f"{HEADER}\n\n{NOTHING}")).otherwise(whole).alias("text"))
+
+
+def rendered_many(results: DataFrame, records: DataFrame, budget: int) -> DataFrame:
+    """(query_id, results, text): for each query the context that rendered()
+    gives of its results (query_id, rank, id, title)."""
+    rows = results.join(records.select("id", F.col("title").alias("own"), "path", "sections"), "id", "left")
+    kept = budget_prefix(rows.select("query_id", "rank", _block().alias("block")), estimate_tokens(F.concat(F.col("block"), F.lit("\n\n"))), budget, FRAME, "query_id")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n")  # a handful a query
+    return kept.groupBy("query_id").agg(F.count("*").alias("results"), F.concat(F.lit(f"{HEADER}\n\n"), body, F.lit(f"\n\n{NOTE}")).alias("text"))
 
 
 def graph_sections(ranked: DataFrame, records: DataFrame, query: str, budget: int, limit: int = 8) -> DataFrame:
@@ -137,7 +159,7 @@ def graph_sections(ranked: DataFrame, records: DataFrame, query: str, budget: in
         "rank",
         head.alias("head"),
         F.transform(F.col("sections.decisions"), lambda d: F.concat(F.coalesce(first_line(d), d), from_)).alias("decisions"),
-        F.transform(F.col("sections.rejected"), lambda r: F.concat(r["option"], F.lit(": "), r["reason"], from_)).alias("rejected"),
+        F.transform(F.col("sections.rejected"), lambda r: F.concat(r["option"], F.lit(" — "), r["reason"], from_)).alias("rejected"),
         F.when(F.col("origin") == "graph", labelled("file")).alias("shared"),
         "files",
         F.when(F.col("origin") == "graph", labelled("concept")).alias("concepts"),
@@ -157,7 +179,7 @@ def graph_sections(ranked: DataFrame, records: DataFrame, query: str, budget: in
     rows = one.where(F.size("all") > 0).select(F.posexplode(F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(name).alias("section"), c.alias("lines"))) for name, c in parts]))).alias("at", "x"))
     rows = rows.select((F.col("at") + 1).alias("rank"), "x.*")
     block = F.concat(F.col("section"), F.lit(":\n"), F.col("lines"), F.lit("\n\n"))
-    kept = budget_prefix(rows, estimate_tokens(block), budget, estimate_header(HEADER))
+    kept = budget_prefix(rows, estimate_tokens(block), budget, estimate_header(GRAPH_HEADER))
     return kept.select(F.col("rank").alias("place"), "section", "lines", "used")
 
 

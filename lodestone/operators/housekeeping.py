@@ -101,6 +101,19 @@ def hits(log: DataFrame) -> DataFrame:
     return log.where("returned_id is not null").groupBy("returned_id").agg(F.count("*").alias("hits"))
 
 
+def parsed_log(log: DataFrame) -> DataFrame:
+    """A log whose returned_ids are JSON text, with ids, their array, and
+    malformed, whether the text is no JSON array. A malformed row has no ids."""
+    ids = F.from_json("returned_ids", "array<string>")
+    broken = F.col("returned_ids").isNotNull() & (F.try_parse_json("returned_ids").isNull() | ~F.trim("returned_ids").startswith("["))
+    return log.withColumn("malformed", F.coalesce(broken, F.lit(False))).withColumn("ids", F.when(~F.col("malformed"), F.coalesce(ids, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
+
+
+def hits_json(log: DataFrame) -> DataFrame:
+    """(returned_id, hits) of a log whose returned_ids are JSON text; malformed rows are skipped."""
+    return parsed_log(log).select(F.explode("ids").alias("returned_id")).groupBy("returned_id").agg(F.count("*").alias("hits"))
+
+
 def never_referenced(docs: DataFrame, log: DataFrame) -> DataFrame:
     return docs.join(log.select(F.col("returned_id").alias("id")), "id", "left_anti")
 

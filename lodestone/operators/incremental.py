@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph
-from lodestone.operators.search import LIMIT, compile_query, indexed_bm25, postings, ranked
+from lodestone.operators.search import LIMIT, asked_words, compile_query, indexed_bm25, many_bm25, postings, ranked, ranked_many
 from lodestone.operators.stored import DELTAS, SCHEMA_VERSION, Stored, bits_for
 from lodestone.sources.shared import save
 
@@ -175,6 +175,19 @@ class Index(Stored):
         return ranked(self.read("shown").join(found, "id"), now, limit, **filters)
 
 
+    def search_many(self, queries: DataFrame, now: str, limit: int | None = LIMIT, **filters) -> DataFrame:
+        """(query_id, rank, id, title, score, status): the best matches of each
+        query (query_id, query); the postings are read once for all."""
+        asked = asked_words(queries)
+        if self.stem:
+            from lodestone.functions.stem import stem
+
+            stems = asked.select("term").distinct().withColumn("stemmed", stem("term"))
+            asked = asked.join(stems, "term").withColumn("term", F.col("stemmed")).drop("stemmed")
+        found = many_bm25(self.read("postings"), self.read("lengths"), asked, (self.state["count"], self.state["words"]))
+        return ranked_many(found.join(self.read("shown"), "id"), now, limit, **filters)
+
+
 class Graph(Stored):
     """Edges with their owner, and nodes, kept up with a corpus. docs as
     graph.edges() takes them, supersedes as (newer, older), memory documents as

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import ranking, text
+from lodestone.sources.shared import save
 
 # Fixed values.
 FILE_HIT, NEIGHBOUR_HIT, LIMIT = 10.0, 4.0, 8
@@ -93,6 +94,27 @@ def indexed_bm25(index: DataFrame, lengths: DataFrame, phrases: list[list[str]],
     return tf.join(lengths.select("id", "dl"), "id").groupBy("id").agg(F.sum(one).alias("bm25"))
 
 
+def asked_words(queries: DataFrame) -> DataFrame:
+    """(query_id, phrase, at, words, term) of queries (query_id, query), as
+    compile_query() cuts one: phrase is its number, at the word's place in it."""
+    words = F.filter(F.split("query", "[^A-Za-z0-9_]+"), lambda w: w != "")
+    parts = queries.select("query_id", F.posexplode(words).alias("phrase", "word"))
+    terms = F.filter(F.split(F.lower("word"), "_"), lambda t: t != "")
+    return parts.withColumn("terms", terms).select("query_id", "phrase", F.size("terms").alias("words"), F.posexplode("terms").alias("at", "term"))
+
+
+def many_bm25(index: DataFrame, lengths: DataFrame, asked: DataFrame, totals: tuple[int, int]) -> DataFrame:
+    """(query_id, id, bm25) of many queries (asked_words) over saved postings,
+    which are read once for all of them."""
+    hits = index.join(asked, "term")
+    whole = hits.groupBy("query_id", "phrase", "words", "id", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("met")).where("met = words")
+    tf = save(whole.groupBy("query_id", "phrase", "id").agg(F.count("*").alias("tf")), "tf")
+    df = tf.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
+    n, words = totals
+    one = ranking.bm25_term(F.col("tf"), F.col("dl"), n, F.col("df"), words / max(n, 1))
+    return tf.join(df, ["query_id", "phrase"]).join(lengths.select("id", "dl"), "id").groupBy("query_id", "id").agg(F.sum(one).alias("bm25"))
+
+
 def active(status: Column) -> Column:
     return status.isNull() | ~status.isin("superseded", "deprecated")
 
@@ -122,6 +144,21 @@ def ranked(found: DataFrame, now: str, limit: int | None, tags=None, files=None,
     return found if limit is None else found.orderBy(F.desc("score"), "id").limit(limit)
 
 
+def ranked_many(found: DataFrame, now: str, limit: int | None, tags=None, files=None, exclude_superseded: bool = False) -> DataFrame:
+    """(query_id, rank, id, title, score, status): the best matches of each
+    query of rows with bm25; without a limit all of them, unranked."""
+    found = filtered(found, tags, files, exclude_superseded)
+    score = ranking.score(F.col("bm25"), F.col("files"), files or [], F.col("created_at"), F.col("work_type"), F.col("status"), F.lit(now))
+    found = found.select("query_id", "id", "title", score.alias("score"), F.coalesce("status", F.lit("completed")).alias("status"))
+    return found if limit is None else first_ranks(found, limit)
+
+
+def first_ranks(found: DataFrame, limit: int) -> DataFrame:
+    """The best of each query (query_id, id, score) with rank from 1; ties go to the smaller id."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= limit)
+
+
 def related_to_file(docs: DataFrame, path: str, now: str, limit: int | None = LIMIT, tags=None, include_neighbours: bool = True, exclude_superseded: bool = False) -> DataFrame:
     """Documents that touch the file, mention its name, or touch a file of its
     directory, in this order of precedence."""

@@ -31,6 +31,8 @@ SCHEMA_VERSION = 4
 STEP, PER_RANGE = 5, 256
 #: Segments of a size that are merged, by powers of it, and versions of small tables that are put together.
 GROUP, DELTAS = 4, 8
+#: What the pointer has of every table.
+COLUMNS = ("version", "schema", "count", "bits", "built_at", "root", "segments", "dead", "trees")
 
 
 def bits_for(count: int) -> int:
@@ -107,7 +109,8 @@ class Stored:
         row = self.spark.read.parquet(path).orderBy(F.desc("version")).first() if exists(self.spark, path) else None
         if row is None:
             return None
-        return {k: json.loads(v) if isinstance(v, str) and v[:1] in ("[", "{") else v for k, v in row.asDict().items()}
+        found = {k: json.loads(v) if isinstance(v, str) and v[:1] in ("[", "{") else v for k, v in row.asDict().items()}
+        return found | (found.pop("more", None) or {})
 
     def _readable(self) -> dict | None:
         """The pointer's last row; None too where it or what it points to can't be read."""
@@ -299,6 +302,7 @@ class Stored:
 
     def _point(self, version: int, **row) -> None:
         row = {"version": version, "schema": SCHEMA_VERSION, **row}
+        row = {k: row.pop(k) for k in COLUMNS} | {"more": row}  # what only some tables have is one column
         plain = {k: json.dumps(x) if isinstance(x, (dict, list)) else x for k, x in row.items()}
         fields = ", ".join(f"{k} {'string' if isinstance(x, str) else 'long'}" for k, x in plain.items())
         # without a readable row before it, the pointer begins anew

@@ -165,7 +165,7 @@ def graph_node_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 SECTIONS_SQL = f"""{CORPUS_SQL}, parts AS (SELECT *, CASE WHEN id % 4 = 0 AND title <> '' THEN title END AS decision, id % 4 IN (0, 1) AS rejects, CASE WHEN id % 4 = 2 THEN actor ELSE '' END AS guidance, CASE WHEN id % 4 = 3 THEN tag ELSE '' END AS purpose FROM corpus),
   said AS (SELECT *, coalesce(decision, CASE WHEN rejects THEN 'Avoid ' || actor || ' for ' || title || '.' END, nullif(guidance, ''), title) AS statement,
-    CASE WHEN decision IS NOT NULL THEN CASE WHEN rejects THEN actor || ' was rejected: ' || tag END WHEN rejects THEN tag WHEN guidance <> '' THEN NULL ELSE nullif(purpose, '') END AS reason FROM parts)"""
+    CASE WHEN decision IS NOT NULL THEN CASE WHEN rejects THEN actor || ' was rejected — ' || tag END WHEN rejects THEN tag WHEN guidance <> '' THEN NULL ELSE nullif(purpose, '') END AS reason FROM parts)"""
 
 
 def _records(docs: DataFrame) -> DataFrame:
@@ -202,8 +202,8 @@ BLOCK = "rank || '. ' || statement || coalesce(chr(10) || '   Reason: ' || reaso
 
 @query(
     f"WITH {bm25_sql(TERMS)}, {SECTIONS_SQL[len(CORPUS_SQL) + 2 :]}, {TOP}, blocks AS (SELECT t.rank, {BLOCK} AS block FROM top t JOIN said s ON s.id = t.id), "
-    "spent AS (SELECT *, 6 + 10 + sum(ceil((length(block) + 2) / 3.5)::BIGINT) OVER (ORDER BY rank) AS used FROM blocks), kept AS (SELECT * FROM spent WHERE used <= 1600 OR rank = 1) "
-    "SELECT count(*) AS results, 'Relevant context:' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || '(Token counts are approximate.)' AS text FROM kept"
+    "spent AS (SELECT *, 6 + 19 + sum(ceil((length(block) + 2) / 3.5)::BIGINT) OVER (ORDER BY rank) AS used FROM blocks), kept AS (SELECT * FROM spent WHERE used <= 1600 OR rank = 1) "
+    "SELECT count(*) AS results, 'Relevant context:' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || '(Token counts are approximate — estimated, not tokenizer-exact.)' AS text FROM kept"
 )
 def context_rendered(spark: SparkSession, sf: str) -> DataFrame:
     """The best matches as a context of at most 1600 tokens."""

@@ -35,7 +35,9 @@ def sources(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
 
 
 def source_stats(spark: SparkSession, folder: str) -> DataFrame:
-    """One row: files and latest change; contents are not read."""
+    """One row: files and latest change, none of a folder that doesn't exist; contents are not read."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([(0, None)], "files long, latest timestamp")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
     return files.select("modificationTime").agg(F.count("*").alias("files"), F.max("modificationTime").alias("latest"))
 
