@@ -39,6 +39,10 @@ class Engine:
         found = graph.rank(graph.related_to_file(self.graph.read("edges"), path), self.index.read("shown"), self.now)
         return found.orderBy(F.desc("score"), "id").limit(limit)
 
+    def related_by_text(self, path: str, limit: int = LIMIT, **options) -> DataFrame:
+        """(id, pass, score): what touches a file, names it, or touches a file beside it, without the graph."""
+        return self.index.related_to_file(path, self.now, limit, **options)
+
     def explain(self, start: str, end: str, depth: int = 6) -> list[tuple[str, str | None]]:
         """The shortest way between two documents, memory documents or nodes, given by id; empty if there is none."""
         at = self.graph.resolve([start, end])

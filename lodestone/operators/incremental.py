@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph
-from lodestone.operators.search import LIMIT, asked_words, compile_query, indexed_bm25, many_bm25, postings, ranked, ranked_many
+from lodestone.operators.search import LIMIT, asked_words, compile_query, indexed_bm25, many_bm25, postings, ranked, ranked_many, related_to_file
 from lodestone.operators.stored import DELTAS, SCHEMA_VERSION, Stored, bits_for
 from lodestone.sources.shared import save
 
@@ -164,15 +164,21 @@ class Index(Stored):
             self._follow(docs, self._changes(rows, tree), now["latest"])
         return status
 
-    def search(self, query: str, now: str, limit: int | None = LIMIT, **filters) -> DataFrame:
-        """id, title, score, status of the best matches, from the stored tables alone."""
-        phrases = compile_query(query)
+    def match(self, phrases: list[list[str]]) -> DataFrame:
+        """(id, bm25) of documents that hold some phrase."""
         if self.stem:
             from lodestone.functions.stem import porter
 
             phrases = [[porter(t) for t in p] for p in phrases]
-        found = indexed_bm25(self.read("postings"), self.read("lengths"), phrases, (self.state["count"], self.state["words"]))
-        return ranked(self.read("shown").join(found, "id"), now, limit, **filters)
+        return indexed_bm25(self.read("postings"), self.read("lengths"), phrases, (self.state["count"], self.state["words"]))
+
+    def search(self, query: str, now: str, limit: int | None = LIMIT, **filters) -> DataFrame:
+        """id, title, score, status of the best matches, from the stored tables alone."""
+        return ranked(self.read("shown").join(self.match(compile_query(query)), "id"), now, limit, **filters)
+
+    def related_to_file(self, path: str, now: str, limit: int | None = LIMIT, **options) -> DataFrame:
+        """(id, pass, score): as search.related_to_file(), from the stored tables alone."""
+        return related_to_file(self.read("shown"), path, now, limit, match=self.match, **options)
 
 
     def search_many(self, queries: DataFrame, now: str, limit: int | None = LIMIT, **filters) -> DataFrame:

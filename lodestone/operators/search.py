@@ -159,16 +159,17 @@ def first_ranks(found: DataFrame, limit: int) -> DataFrame:
     return found.withColumn("rank", place).where(F.col("rank") <= limit)
 
 
-def related_to_file(docs: DataFrame, path: str, now: str, limit: int | None = LIMIT, tags=None, include_neighbours: bool = True, exclude_superseded: bool = False) -> DataFrame:
+def related_to_file(docs: DataFrame, path: str, now: str, limit: int | None = LIMIT, tags=None, include_neighbours: bool = True, exclude_superseded: bool = False, match=None) -> DataFrame:
     """Documents that touch the file, mention its name, or touch a file of its
-    directory, in this order of precedence."""
+    directory, in this order of precedence. With match, which gives (id, bm25)
+    of phrases, docs need no content."""
     stem, folder = re.sub(r"\.[^.]*$", "", path.rsplit("/", 1)[-1]), path.rpartition("/")[0]
     touching = docs.where(F.array_contains("files", path)).select("id", F.lit(1).alias("pass"), F.lit(FILE_HIT).alias("hit"), F.lit(True).alias("boosted"))
     phrases = compile_query(stem)
     passes = touching
     if phrases:
         own = ranking.score(F.col("bm25"), F.col("files"), [path], F.col("created_at"), F.col("work_type"), F.col("status"), F.lit(now))
-        named = bm25(docs, phrases).withColumn("own", own)
+        named = (docs.join(match(phrases), "id") if match else bm25(docs, phrases)).withColumn("own", own)
         if limit is not None:
             named = named.orderBy(F.desc("own"), "id").limit(4 * limit)
         passes = passes.union(named.select("id", F.lit(2), F.col("bm25"), ranking.files_overlap(F.col("files"), [path])))

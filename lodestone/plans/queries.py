@@ -44,6 +44,20 @@ def six(c: Column | str, name: str) -> Column:
 
 corpus = tables.documents
 TERMS = ["oui", "clown", "als"]
+_KEPT: dict = {}
+
+
+def indexed(spark: SparkSession, sf: str) -> incremental.Index:
+    """The stored index of a folder's corpus: built when it is first asked for
+    in an application, and brought up to date when the files have changed."""
+    index, seen = _KEPT.get((spark.sparkContext.applicationId, sf)) or (incremental.Index(spark), None)
+    now = tables.stat(spark, sf, "documents", "labels")
+    if now != seen:
+        index.ensure(corpus(spark, sf))
+    _KEPT[spark.sparkContext.applicationId, sf] = index, now
+    return index
+
+
 TOKENS = r"list_filter(regexp_split_to_array(lower(strip_accents({0})), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 TOKENS_OF = TOKENS.format("content")
 WORDS_SQL = f"{CORPUS_SQL}, words AS (SELECT *, {TOKENS_OF} AS toks FROM corpus), lens AS (SELECT *, len(toks) AS dl FROM words)"
@@ -133,7 +147,7 @@ def _search(name: str, where: str, files: list[str] | None = None, **options) ->
     sql = f"WITH {bm25_sql(TERMS)} SELECT id, round({FULL}{boost}, 6) AS score, coalesce(status, 'completed') AS status FROM matched {where} ORDER BY score DESC, id LIMIT 8"
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        found = search.search(corpus(spark, sf), " ".join(TERMS), NOW, limit=None, files=files, **options)
+        found = indexed(spark, sf).search(" ".join(TERMS), NOW, limit=None, files=files, **options)
         return found.select("id", six("score", "score"), "status").orderBy(F.desc("score"), "id").limit(8)
 
     run.__name__ = name
@@ -167,12 +181,12 @@ def _related_sql(near: bool) -> str:
 
 @query(_related_sql(True))
 def related_to_file(spark: SparkSession, sf: str) -> DataFrame:
-    return search.related_to_file(corpus(spark, sf), FILE, NOW, limit=None).select("id", "pass", six("score", "score"))
+    return indexed(spark, sf).related_to_file(FILE, NOW, limit=None).select("id", "pass", six("score", "score"))
 
 
 @query(_related_sql(False))
 def related_no_neighbors(spark: SparkSession, sf: str) -> DataFrame:
-    return search.related_to_file(corpus(spark, sf), FILE, NOW, limit=None, include_neighbours=False).select("id", "pass", six("score", "score"))
+    return indexed(spark, sf).related_to_file(FILE, NOW, limit=None, include_neighbours=False).select("id", "pass", six("score", "score"))
 
 
 # --- records
@@ -376,7 +390,7 @@ EDGES_ONLY = EDGES_SQL[len(CORPUS_SQL) + 2 :]
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     """Keyword matches first, then what the graph relates to them."""
     docs = corpus(spark, sf)
-    seeds = search.search(docs, " ".join(TERMS), NOW, limit=None, exclude_superseded=True)
+    seeds = indexed(spark, sf).search(" ".join(TERMS), NOW, limit=None, exclude_superseded=True)
     seeds = save(seeds.select(graph.node("footprint", F.col("id").cast("string")).alias("id"), "id", six("score", "score")).toDF("id", "doc", "score").orderBy(F.desc("score"), "doc").limit(8).drop("doc"), "seeds")
     found = graph.rank(graph.expand(save(edges(spark, sf), "edges"), seeds.select("id"), 1), docs, NOW, exclude_superseded=True)
     related = found.select("id", six("score", "score")).orderBy(F.desc("score"), "id").limit(8)
@@ -401,7 +415,7 @@ def context_budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     docs = corpus(spark, sf)
-    found = search.bm25(docs, [[t] for t in TERMS])
+    found = docs.join(indexed(spark, sf).match([[t] for t in TERMS]), "id")
     score = ranking.score(F.col("bm25"), F.col("files"), [], F.col("created_at"), F.col("work_type"), F.col("status"), F.lit(NOW))
     rank = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("score"), "id"))
     # each match costs a token at least, so no later rank than the budget fits; Spark keeps as many a group before it shuffles
@@ -416,7 +430,7 @@ def context_budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
 def bench_token_reduction(spark: SparkSession, sf: str) -> DataFrame:
     docs = corpus(spark, sf)
     whole = docs.agg(F.sum(text.estimate_tokens(F.col("content"))).alias("all_tokens")).withColumn("k", F.lit(1))
-    top = search.search(docs, " ".join(TERMS), NOW, limit=None).select("id", "title", six("score", "score")).orderBy(F.desc("score"), "id").limit(8)
+    top = indexed(spark, sf).search(" ".join(TERMS), NOW, limit=None).select("id", "title", six("score", "score")).orderBy(F.desc("score"), "id").limit(8)
     got = top.agg(F.sum(text.estimate_tokens(F.col("title"))).alias("tokens")).withColumn("k", F.lit(1))
     return whole.join(got, "k").select("all_tokens", "tokens", six(100.0 * (1 - F.col("tokens") / F.col("all_tokens")), "reduction"))
 

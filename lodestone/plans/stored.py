@@ -193,7 +193,7 @@ TOP = f"top AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FR
 
 
 def _top(spark: SparkSession, sf: str, limit: int = 8, **filters) -> DataFrame:
-    found = search.search(corpus(spark, sf), " ".join(TERMS), NOW, limit=None, **filters).select("id", "title", six("score", "score"))
+    found = q.indexed(spark, sf).search(" ".join(TERMS), NOW, limit=None, **filters).select("id", "title", six("score", "score"))
     return contexts.top_ranks(found, limit)
 
 

@@ -14,6 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stat(spark: SparkSession, sf_dir: str, *names: str) -> str:
+    """A hash of the tables' files: paths, sizes and times of change. No column is read."""
+    found = None
+    for name in names:
+        part = table(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        found = part if found is None else found.unionByName(part)
+    line = F.concat_ws("|", "file_path", "file_size", "file_modification_time")
+    row = found.distinct().agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(line)).alias("x"), F.sum(F.xxhash64(line).cast("decimal(38,0)")).alias("s")).first()
+    return "|".join(map(str, row))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with title, tags, files, status, work type, ISO text
     created_at, actor and supersedes (the document before with the same text)."""
