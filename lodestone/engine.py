@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from lodestone.functions import ranking, security, text
 from lodestone.operators import contexts, graph, housekeeping, incremental, writing
 from lodestone.operators.search import LIMIT, first_ranks
-from lodestone.sources import tables
+from lodestone.sources import markdown, tables
 from lodestone.sources.shared import exists, save
 
 
 class Engine:
-    """docs: a corpus as sources.tables.documents() gives it; supersedes:
-    (newer, older), found by equal texts if not given; memory: documents of the
-    graph that lead to their tags alone (id, tags). The index and the graph lie below `base`, and are
-    built or brought up to date by refresh(); reads use what is stored."""
+    """docs: a corpus as sources.tables.documents() gives it, or, with sections
+    and decisions of its own, sources.markdown.corpus(); supersedes: (newer,
+    older), found by equal texts if not given; memory: documents (id, tags) that
+    the graph joins by their tags alone, and that are searched too where they
+    have a title and a body and ids are text. The index and the graph lie below
+    `base`, and are built or brought up to date by refresh(); reads use what is stored."""
 
     def __init__(self, spark: SparkSession, docs: DataFrame, supersedes: DataFrame | None = None, base: str | None = None, now: str = tables.NOW, stem: bool = True, memory: DataFrame | None = None):
         self.spark, self.docs, self.now, self.memory = spark, docs, now, memory
@@ -24,17 +26,36 @@ class Engine:
         self.index = incremental.Index(spark, f"{base}/index" if base else None, ("title", "tags", "files", "content"), stem)
         self.graph = incremental.Graph(spark, f"{base}/graph" if base else None, "graph")
 
+    @classmethod
+    def open(cls, spark: SparkSession, footprints: str, memory: str, base: str | None = None, **options) -> Engine:
+        """An engine over two folders of Markdown records; what can't be read is left out (sources.markdown.corpus)."""
+        docs, pairs, remembered, _ = markdown.corpus(spark, footprints, memory)
+        return cls(spark, docs, pairs, base, memory=remembered, **options)
+
+    def searched(self) -> DataFrame:
+        """What the index holds: the documents, then memory documents with what each says."""
+        if self.memory is None or not {"title", "body"} <= {*self.memory.columns}:
+            return self.docs
+        rows = writing.memory_rows(self.memory).join(self.memory.select("id", contexts.memory_statement(F.col("title"), F.col("body")).alias("says"), *([F.col("path")] if "path" in self.memory.columns else [])), "id")
+        return self.docs.unionByName(rows, allowMissingColumns=True)
+
     def refresh(self) -> dict[str, str]:
         """The status of index and graph before, after which both are fresh."""
-        return {"index": self.index.ensure(self.docs), "graph": self.graph.ensure(self.docs, self.pairs, self.memory)}
+        return {"index": self.index.ensure(self.searched()), "graph": self.graph.ensure(self.docs, self.pairs, self.memory)}
 
     def search(self, query: str, limit: int = LIMIT, **filters) -> DataFrame:
         return self.index.search(query, self.now, limit, **filters)
 
     def records(self) -> DataFrame:
-        """(id, title, path, files, sections): a title is a record's decision, its content the purpose."""
+        """(id, title, path, files, sections) of what is searched."""
         return records_of(self.index.read("shown"))
 
+    def _nodes(self, hits: DataFrame) -> DataFrame:
+        """hits (id, ...) with the nodes of their documents for ids."""
+        refs = self.graph.read("docs").select(F.col("ref").alias("id"), F.col("id").alias("node"))
+        named = hits.withColumn("id", F.col("id").cast("string")).join(refs, "id", "left")
+        return named.withColumn("id", F.coalesce("node", graph.node("footprint", F.col("id")))).drop("node")
+
     def related_to_file(self, path: str, limit: int = LIMIT) -> DataFrame:
         found = graph.rank(graph.related_to_file(self.graph.read("edges"), path), self.index.read("shown"), self.now)
         return found.orderBy(F.desc("score"), "id").limit(limit)
@@ -54,7 +75,7 @@ class Engine:
         below `least` go, and what no bridge from one that stays leads to. With
         fail_open an error of the graph leaves the keyword matches."""
         hits = self.search(query, limit, exclude_superseded=True)
-        seeds = save(contexts.top_ranks(hits.select(graph.node("footprint", F.col("id").cast("string")).alias("id"), "score"), limit), "seeds")
+        seeds = save(contexts.top_ranks(self._named(hits.select("id", "score"), fail_open), limit), "seeds")
         kept = contexts.over(seeds, least)
         none = F.array().cast("array<struct<kind:string,label:string>>")
         found = kept.select("id", "rank", F.lit("fts").alias("origin"), "score", none.alias("via"))
@@ -67,6 +88,14 @@ class Engine:
         n = kept.count()
         return found.unionByName(related.select("id", (F.col("rank") + n).alias("rank"), F.lit("graph").alias("origin"), "score", F.coalesce("via", none).alias("via")))
 
+    def _named(self, hits: DataFrame, fail_open: bool) -> DataFrame:
+        try:
+            return self._nodes(hits)
+        except Exception:
+            if fail_open:  # without a graph all are taken for footprints
+                return hits.withColumn("id", graph.node("footprint", F.col("id").cast("string")))
+            raise
+
     def _related(self, seeds: DataFrame, kept: DataFrame, limit: int, budget: dict) -> DataFrame:
         """(id, score, rank, via): the best that all seeds lead to, of which those stay that some kept seed leads to."""
         ids = [r["id"] for r in seeds.orderBy("rank").collect()]  # at most `limit`
@@ -81,7 +110,7 @@ class Engine:
         """Keyword and graph results as text within a budget of tokens, None if
         nothing reaches `least`. With fail_open an error of the graph leaves keyword results."""
         found = self.hybrid(query, limit, least, fail_open)
-        records = self.records().withColumn("id", graph.node("footprint", F.col("id").cast("string")))
+        records = self._named(self.records(), fail_open)
         parts = contexts.graph_sections(found, records, query, budget, limit).orderBy("place").collect()  # five at most
         return "\n\n".join([contexts.GRAPH_HEADER, *(f"{r['section']}:\n{r['lines']}" for r in parts)]) if parts else None
 
@@ -199,7 +228,18 @@ class Engine:
 
 
 def records_of(docs: DataFrame) -> DataFrame:
+    """(id, title, path, files, sections): documents without sections decided
+    their title; a memory document guides by what it says."""
     none = F.array().cast("array<string>")
+    options = F.array().cast("array<struct<option:string,reason:string>>")
     said = F.when(F.col("title") != "", F.array("title")).otherwise(none)
-    sections = F.struct(F.lit("").alias("purpose"), said.alias("decisions"), F.array().cast("array<struct<option:string,reason:string>>").alias("rejected"), F.lit("").alias("guidance"))
-    return docs.select("id", "title", F.get("files", F.lit(0)).alias("path"), "files", sections.alias("sections"))
+    of = lambda name, value: value.alias(name)
+    sections = F.struct(of("purpose", F.lit("")), of("decisions", said), of("rejected", options), of("guidance", F.lit("")))
+    if "sections" in docs.columns:
+        own = lambda name, empty: F.coalesce(F.col(f"sections.{name}"), empty)
+        sections = F.struct(of("purpose", own("purpose", F.lit(""))), of("decisions", own("decisions", none)), of("rejected", own("rejected", options)), of("guidance", own("guidance", F.lit(""))))
+    if "says" in docs.columns:
+        plain = F.struct(of("purpose", F.lit("")), of("decisions", none), of("rejected", options), of("guidance", F.col("says")))
+        sections = F.when(F.col("says").isNotNull(), plain).otherwise(sections)
+    path = F.col("path") if "path" in docs.columns else F.get("files", F.lit(0))
+    return docs.select("id", "title", path.alias("path"), "files", sections.alias("sections"))

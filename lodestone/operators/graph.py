@@ -19,17 +19,24 @@ def node(kind: str, key: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), key)
 
 
+def decisions(docs: DataFrame) -> Column:
+    """A document's decisions: its title where it lists none of its own."""
+    return F.col("decisions") if "decisions" in docs.columns else F.array("title")
+
+
 def edges(docs: DataFrame, supersedes: DataFrame) -> DataFrame:
     """(src, dst, rel, weight), one row for each src, dst and rel with its
     highest weight. docs: id, title, tags, files, actor; a title is the
-    document's decision and its words are concepts. Where docs have `rejected`,
+    document's decision and its words are concepts, or, where docs have
+    `decisions`, those are. Where docs have `rejected`,
     rejected options lead to nodes and concepts of their own."""
     src = node("footprint", F.col("id").cast("string"))
     one = F.lit(1.0)
     files = docs.select(src.alias("src"), F.explode("files").alias("file")).select("src", node("file", F.col("file")).alias("dst"), F.lit("TOUCHES_FILE").alias("rel"), one.alias("weight"))
     tags = docs.select(src.alias("src"), F.explode("tags").alias("tag")).withColumn("tag", text.normalise(F.col("tag"))).where("tag <> ''")
-    said = docs.select(src.alias("src"), text.normalise(F.col("title")).alias("said")).where("said <> ''")
-    words = docs.select(src.alias("src"), F.explode(text.significant_tokens(F.col("title"))).alias("word"))
+    decided = docs.select(src.alias("src"), F.explode(decisions(docs)).alias("decision"))
+    said = decided.select("src", text.normalise(F.col("decision")).alias("said")).where("said <> ''")
+    words = decided.select("src", F.explode(text.significant_tokens(F.col("decision"))).alias("word"))
     actors = docs.select(src.alias("src"), text.normalise(F.col("actor")).alias("who")).where("who <> ''")
     parts = [
         files,
@@ -191,7 +198,7 @@ def document_nodes(docs: DataFrame) -> DataFrame:
     """(id, kind, label, ref, data): a node for each document with what ranking
     and rendering need; null where docs have no such column."""
     of = lambda name, kind="string": F.col(name) if name in docs.columns else F.lit(None).cast(kind).alias(name)
-    data = F.struct(F.get("files", F.lit(0)).alias("file_path"), of("status"), of("work_type"), of("created_at"), of("updated_at"), of("actor"))
+    data = F.struct((F.col("path") if "path" in docs.columns else F.get("files", F.lit(0))).alias("file_path"), of("status"), of("work_type"), of("created_at"), of("updated_at"), of("actor"))
     return docs.select(node("footprint", F.col("id").cast("string")).alias("id"), F.lit("footprint").alias("kind"), F.col("title").alias("label"), F.col("id").cast("string").alias("ref"), data.alias("data"))
 
 
@@ -218,8 +225,9 @@ def shared_nodes(docs: DataFrame) -> DataFrame:
     if "files" not in docs.columns:
         return out
     files = docs.select(ident, F.explode("files").alias("label"))
-    said = docs.select(ident, text.trim(F.col("title")).alias("label"), text.normalise(F.col("title")).alias("key")).where("key <> ''")
-    words = docs.select(ident, F.explode(text.significant_tokens(F.col("title"))).alias("label"))
+    decided = docs.select(ident, F.explode(decisions(docs)).alias("decision"))
+    said = decided.select("writer", text.trim(F.col("decision")).alias("label"), text.normalise(F.col("decision")).alias("key")).where("key <> ''")
+    words = decided.select("writer", F.explode(text.significant_tokens(F.col("decision"))).alias("label"))
     actors = docs.select(ident, F.col("actor").alias("label"), text.normalise(F.col("actor")).alias("key")).where("key <> ''")
     parts = [
         files.select(*row("file", F.col("label"), F.col("label"), F.col("label"))),

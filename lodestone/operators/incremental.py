@@ -111,9 +111,8 @@ class Index(Stored):
         return {"docs": shown, "postings": words}, lengths.agg(F.coalesce(F.sum("_dl"), F.lit(0))).first()[0], latest
 
     def build(self, docs: DataFrame) -> None:
-        hashed = save(self._hashed(docs), "hashes")
-        bits = bits_for(hashed.count())
-        rows = self._rows(hashed, bits)
+        bits = bits_for(docs.count())
+        rows = self._rows(self._hashed(docs, trust=False), bits)
         segment, words, latest = self._segment(docs, rows)
         self._begin(segment, rows, bits, words=words, built_at=latest)
 
@@ -239,7 +238,7 @@ class Graph(Stored):
     def _hashed(docs: DataFrame, supersedes: DataFrame, memory: DataFrame | None) -> DataFrame:
         """(key, hash) of each document's node and of all that its edges follow
         from: its own columns, and which documents it supersedes."""
-        own = [c for c in ("title", "tags", "files", "actor", "rejected", "status", "work_type", "created_at", "updated_at") if c in docs.columns]
+        own = [c for c in ("title", "tags", "files", "actor", "decisions", "rejected", "status", "work_type", "created_at", "updated_at", "path") if c in docs.columns]
         older = F.xxhash64("older")
         chained = supersedes.groupBy(F.col("newer").alias("id")).agg(F.count("*").alias("n_older"), F.bit_xor(older).alias("xor_older"), F.sum(older.cast("decimal(38,0)")).alias("sum_older"))
         rows = docs.join(chained, "id", "left")
@@ -268,9 +267,8 @@ class Graph(Stored):
         return {"docs": nodes.withColumnRenamed("id", "owner").join(known, "owner"), "edges": edges, "owned": owned}, save(refs.join(labels, "id"), "refs"), latest
 
     def build(self, docs: DataFrame, supersedes: DataFrame, memory: DataFrame | None = None) -> None:
-        hashed = save(self._hashed(docs, supersedes, memory), "hashes")
-        bits = bits_for(hashed.count())
-        rows = self._rows(hashed, bits)
+        bits = bits_for(docs.count() + (0 if memory is None else memory.count()))
+        rows = self._rows(self._hashed(docs, supersedes, memory), bits)
         segment, shared, latest = self._segment(rows, docs, supersedes, memory)
         self._put_shared(shared, self.version + 1)
         self._begin(segment, rows, bits, shared=[self.version + 1], built_at=latest)

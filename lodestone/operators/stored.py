@@ -188,12 +188,13 @@ class Stored:
 
     def _changes(self, rows: DataFrame, tree: DataFrame) -> DataFrame:
         """What differs between all sources and what is stored, from the ranges that differ alone."""
-        at = save(differing(self._tree(), tree, self.state["bits"]), "ranges")
+        at = differing(self._tree(), tree, self.state["bits"])
         few = [r["range"] for r in at.limit(65).collect()]
         old = self._owners()
-        if len(few) <= 64:  # the files are sorted by range: others are not read
+        if len(few) <= 64:  # the files are sorted by range: what holds others is not read
             old, rows = old.where(F.col("range").isin(few)), rows.where(F.col("range").isin(few))
         else:
+            at = save(at, "ranges")
             old, rows = old.join(at, "range", "left_semi"), rows.join(at, "range", "left_semi")
         return save(changed_owners(old, rows), "changes")
 
@@ -214,19 +215,19 @@ class Stored:
             below = stored.where(F.col("level") == level + STEP).select("range", "hash")
             below = below.join(ups, F.shiftright(below["range"], STEP) == ups["up"], "left_semi").join(at.select("range"), "range", "left_anti")
             own = above(below.unionByName(at.where("hash is not null")))
-            at = save(ups.withColumnRenamed("up", "range").join(own, "range", "left"), "nodes")
+            at = ups.withColumnRenamed("up", "range").join(own, "range", "left")
             found = found.unionByName(at.select(F.lit(level).alias("level"), "range", "hash"))
         return found
 
     def _arrange(self, name: str, rows: DataFrame) -> DataFrame:
         """How the rows of a table lie in their files."""
-        return rows.repartitionByRange("_range").sortWithinPartitions("_range") if name == self.tables[0] else rows
+        return rows.sortWithinPartitions("_range") if name == self.tables[0] else rows
 
     def _put(self, name: str, rows: DataFrame, version: int) -> None:
         self._arrange(name, rows.withColumn("_segment", F.lit(version))).write.mode("overwrite").parquet(self._path(name, version))
 
     def _put_tree(self, tree: DataFrame, version: int) -> None:
-        rows = tree.withColumn("version", F.lit(version)).repartitionByRange("level", "range").sortWithinPartitions("level", "range")
+        rows = tree.withColumn("version", F.lit(version)).sortWithinPartitions("level", "range")
         rows.write.mode("overwrite").parquet(self._path("tree", version))
 
     def _begin(self, segment: dict[str, DataFrame], rows: DataFrame, bits: int, **also) -> None:

@@ -151,6 +151,42 @@ def flatten(title: Column, s: Column, tags: Column, files: Column) -> Column:
     return F.array_join(F.filter(F.transform(parts, trim), lambda x: x.isNotNull() & (x != "")), "\n\n")
 
 
+def validate_memory(front: Column) -> Column:
+    """What is wrong with a memory document's frontmatter: it needs schema version 1 and an id."""
+    version = F.when(~front["schema_version"].eqNullSafe(F.lit("1")), F.lit("schema_version must be 1"))
+    return F.array_compact(F.array(version, F.when(F.coalesce(front["id"], F.lit("")) == "", F.lit("id is missing"))))
+
+
+def corpus(spark: SparkSession, footprints: str, memory: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, supersedes, memory, quarantine) of two folders, as the engine
+    takes them: documents with their text put together from all sections, the
+    sections, decisions and rejected options; (newer, older) as either of the
+    two records it; memory documents (id, title, body, tags, path)."""
+    good, bad = records(spark, footprints)
+    texts, bad_texts = records(spark, memory, "memory")
+    front = F.col("front")
+    listed = lambda name: F.coalesce(F.from_json(front[name], "array<string>"), F.array().cast("array<string>"))
+    chain = lambda name: F.coalesce(F.from_json(F.get_json_object(front["related"], f"$.{name}"), "array<string>"), F.array().cast("array<string>"))
+    below = lambda folder: F.regexp_replace("path", f"^.*?\\Q{folder.split('://')[-1].rstrip('/')}\\E/", "")
+    docs = good.withColumn("tags", listed("tags")).withColumn("files", listed("files_touched"))
+    docs = docs.select(
+        "id",
+        "title",
+        flatten(F.col("title"), F.col("sections"), F.col("tags"), F.col("files")).alias("content"),
+        "tags",
+        "files",
+        *[front[name].alias(name) for name in ("status", "work_type", "created_at", "updated_at", "actor")],
+        below(footprints).alias("path"),
+        "sections",
+        F.coalesce("sections.decisions", F.array().cast("array<string>")).alias("decisions"),
+        F.col("sections.rejected").alias("rejected"),
+    )
+    newer = good.select(F.col("id").alias("newer"), F.explode(chain("supersedes")).alias("older"))
+    older = good.select(F.explode(chain("superseded_by")).alias("newer"), F.col("id").alias("older"))
+    remembered = texts.select("id", "title", "body", listed("tags").alias("tags"), below(memory).alias("path"))
+    return docs, newer.unionByName(older).distinct(), remembered, bad.unionByName(bad_texts)
+
+
 def records(spark: SparkSession, folder: str, kind: str = "footprint") -> tuple[DataFrame, DataFrame]:
     """(valid, quarantine): parsed records below a folder, and those that can't
     be read, are invalid or repeat an id (the newest is kept)."""
@@ -162,7 +198,7 @@ def records(spark: SparkSession, folder: str, kind: str = "footprint") -> tuple[
     listed = lambda name: F.coalesce(F.from_json(F.col("front")[name], "array<string>"), F.array().cast("array<string>"))
     urls = F.coalesce(F.from_json(F.get_json_object(F.col("front")["related"], "$.urls"), "array<string>"), F.array().cast("array<string>"))
     places = F.array_compact(F.array(F.when(F.exists(listed("files_touched"), bad_path), F.lit("files_touched must stay in the project")), F.when(F.exists(urls, bad_url), F.lit("related.urls must be http or https"))))
-    wrong = F.concat(validate(F.col("front")), places) if kind == "footprint" else F.array_compact(F.array(F.when(F.col("front")["id"].isNull(), F.lit("id is missing"))))
+    wrong = F.concat(validate(F.col("front")), places) if kind == "footprint" else validate_memory(F.col("front"))
     parsed = parsed.withColumn("errors", F.concat(wrong, F.array_compact(F.array("front_error")))).withColumn("id", F.col("front")["id"])
     again = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("modificationTime"), "path")) > 1
     parsed = parsed.withColumn("errors", F.when(F.col("id").isNotNull() & again, F.concat("errors", F.array(F.lit("duplicate id")))).otherwise(F.col("errors")))

@@ -236,6 +236,56 @@ def test_hooks_filter_after_the_expansion_and_fall_back(spark, monkeypatch):
         engine.hybrid("keyset")
 
 
+RECORD = """---
+schema_version: 1
+id: {id}
+created_at: "2024-06-{day:02}T00:00:00.000Z"
+actor: ann
+work_type: bug_fix
+status: {status}
+tags: [{tags}]
+files_touched: [{files}]
+related:
+  supersedes: [{supersedes}]
+---
+# {title}
+
+## Purpose
+{purpose}
+
+## Decisions
+- {decision}
+
+## Rejected options
+### Offset paging
+It is slow
+"""
+
+
+def test_engine_over_markdown(spark, tmp_path):
+    put = lambda name, text: ((tmp_path / name).parent.mkdir(parents=True, exist_ok=True), (tmp_path / name).write_text(text))
+    one = {"id": "fp_1", "day": 2, "status": "completed", "tags": "Search", "files": "api/a.ts", "supersedes": "fp_2", "title": "Paging", "purpose": "Learners are many", "decision": "Use keyset paging"}
+    put("fp/2024/06/one.md", RECORD.format(**one))
+    put("fp/2024/05/two.md", RECORD.format(**one | {"id": "fp_2", "day": 1, "status": "superseded", "supersedes": "", "title": "Old paging", "decision": "Use cursors", "files": "api/b.ts"}))
+    put("fp/2024/05/three.md", RECORD.format(**one | {"id": "fp_3", "supersedes": "", "title": "Cache", "decision": "Cache learners", "tags": "cache"}))
+    put("mem/conventions.md", "---\nschema_version: 1\nid: conventions\ntags: [search]\n---\n# Conventions\n\ntext\n- Always page by keyset marmot\n")
+    put("mem/bad.md", "---\nschema_version: 2\nid: bad\n---\n# Bad\n")
+    assert [r["errors"] for r in markdown.corpus(spark, f"{tmp_path}/fp", f"{tmp_path}/mem")[3].collect()] == [["schema_version must be 1"]]
+    engine = Engine.open(spark, f"{tmp_path}/fp", f"{tmp_path}/mem", f"file://{tmp_path}/store")
+    assert engine.refresh() == {"index": "missing", "graph": "missing"} and engine.refresh() == {"index": "fresh", "graph": "fresh"}
+    assert [r["id"] for r in engine.search("marmot").collect()] == ["conventions"]
+    assert engine.index.read("shown").where("id = 'fp_1'").first()["path"] == "2024/06/one.md"
+    edges = {(r["src"], r["dst"]) for r in engine.graph.read("edges").collect()}
+    assert ("footprint:fp_1", "footprint:fp_2") in edges and ("memory:conventions", "tag:search") in edges and ("footprint:fp_1", "concept:keyset") in edges and ("footprint:fp_1", "concept:paging") in edges
+    shown = engine.context("marmot")
+    assert shown.startswith("Relevant context (graph-aware):\n\nRelevant Memories:\n1. Always page by keyset marmot\n   Why selected: matched \"marmot\"\n   Source: conventions.md")
+    assert '2. Use keyset paging\n   Why selected: shares tag "search" with a matched memory\n   Source: 2024/06/one.md' in shown
+    assert "Related Decisions:\n- Use keyset paging (from Paging)" in shown and "Rejected Alternatives:\n- Offset paging — It is slow (from Paging)" in shown
+    put("fp/2024/05/three.md", RECORD.format(**one | {"id": "fp_3", "supersedes": "", "title": "Cache", "decision": "Cache walruses", "tags": "cache"}))
+    engine = Engine.open(spark, f"{tmp_path}/fp", f"{tmp_path}/mem", f"file://{tmp_path}/store")
+    assert engine.refresh() == {"index": "stale: content", "graph": "stale: content"} and [r["id"] for r in engine.search("walruses").collect()] == ["fp_3"]
+
+
 def test_budget_stops_before_a_seed(spark):
     docs = spark.createDataFrame([doc(i, f"word{i}", "c", ["a"] if i < 4 else ["b"], []) for i in range(8)], DOC)
     e = graph.edges(docs, spark.createDataFrame([], "newer long, older long"))
