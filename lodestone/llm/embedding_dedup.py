@@ -78,8 +78,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, hashes: int = 10
     whether that is the row's own. Vectors that are null, empty, zero or hold
     null or non-finite numbers, and those of different length, don't link.
     Equal vectors are one class while links are searched and each other's
-    links in the result. A null vec_id names no component; other columns are
-    ignored. Buckets of over `limit` classes are worked off in pairs of blocks,
+    links in the result. A null vec_id names no component; rows that share a
+    vec_id are vectors of their own with one name; an empty table gives an empty
+    result; other columns are ignored. Buckets of over `limit` classes are worked off in pairs of blocks,
     and no task makes a row for each pair."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

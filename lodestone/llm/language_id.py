@@ -110,7 +110,8 @@ def fit(labelled: DataFrame, per_language: int = 1000) -> Model | None:
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred and score of each row of docs, from the whole text
     alone. `und` with score 0 where the text is null or has no letter, or
-    nothing was learnt; null doc_ids and repeated rows stay, other columns are
+    nothing was learnt; very long texts are read whole, null doc_ids and
+    repeated rows stay, an empty table gives an empty result, other columns are
     ignored."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 

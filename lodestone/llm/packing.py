@@ -112,8 +112,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, keep
     A document is its ids and end_id; only longer ones are cut. Returns one
     row per piece: doc_id, piece, start, length, ids_crc32, sequence_id,
     offset, and ids if keep_ids. A null text is an empty one and so one
-    token; null doc_ids stay null, repeated rows are packed each for itself,
-    other columns are ignored, and no documents give no rows."""
+    token; a very long one is cut into as many pieces as it takes; null doc_ids
+    stay null, repeated rows are packed each for itself, other columns are ignored, and no documents give no rows."""
     spark = docs.sparkSession
     pieces = save(tokenise(docs, path, capacity, end_id, keep_ids), "pieces")
     here = pieces.groupBy("chunk", "length").agg(F.count("*").alias("n"))

@@ -218,7 +218,9 @@ def find(docs: DataFrame, rounds: int = ROUNDS, least: int = 5, confidence: floa
 
 def redact(docs: DataFrame, **options) -> DataFrame:
     """docs with each span of the text replaced by its kind in brackets; spans
-    that overlap become one, under the first one's kind. Texts without spans stay."""
+    that overlap become one, under the first one's kind. Null, empty and other
+    texts without spans stay, very long ones are redacted whole, repeated rows
+    each for itself; an empty table stays empty."""
     found = find(docs, **options)
     ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     some = F.size("spans") > 0

@@ -64,7 +64,8 @@ def pre_token_table(docs: DataFrame, path: str) -> DataFrame:
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of each row
     of docs; other columns are ignored. A null text counts as an empty one, a
-    null doc_id stays null, and repeated rows each have their own result. The
+    null doc_id stays null, repeated rows each have their own result, very long
+    texts are counted whole, and an empty table gives an empty result. The
     counts are those of the library without begin, end or added special
     tokens; special strings inside a text count as the one token they are."""
     spark = docs.sparkSession
