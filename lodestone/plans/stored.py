@@ -136,7 +136,7 @@ def graph_supersede_closure(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {CORPUS_SQL} SELECT 'footprint:' || id AS id, 'footprint' AS kind, title AS label, id::VARCHAR AS ref, file AS file_path, status, work_type, created_at, actor FROM corpus")
 def graph_document_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.document_nodes(corpus(spark, sf)).select("id", "kind", "label", "ref", "data.*")
+    return graph.document_nodes(corpus(spark, sf)).select("id", "kind", "label", "ref", *[f"data.{c}" for c in ("file_path", "status", "work_type", "created_at", "actor")])
 
 
 @query(f"WITH {EDGES_SQL} SELECT src, dst, rel, CASE WHEN rel = 'HAS_TAG' AND split_part(src, ':', 2)::BIGINT % 3 = 0 THEN 2.0 ELSE weight END::DOUBLE AS weight, CASE WHEN rel = 'HAS_TAG' AND split_part(src, ':', 2)::BIGINT % 3 = 0 THEN 'later' ELSE src END AS owner FROM edges")
