@@ -274,29 +274,68 @@ def _undirected(edges_: DataFrame) -> DataFrame:
     return kept.select(F.col("src").alias("a"), F.col("dst").alias("b"), "rel").union(kept.select("dst", "src", "rel"))
 
 
-def distances(edges_: DataFrame, start: str, depth: int = 6, stop: str | None = None) -> DataFrame:
+def _further(both: DataFrame, frontier: DataFrame, reached: DataFrame, distance: int) -> DataFrame:
+    """What the frontier leads to and wasn't reached before; of several ways the smallest id wins."""
+    step = both.join(frontier.select(F.col("id").alias("a")), "a").join(reached.select(F.col("id").alias("b")), "b", "left_anti")
+    return save(step.groupBy("b").agg(F.min(F.struct("a", "rel")).alias("x")).select(F.col("b").alias("id"), F.lit(distance).alias("distance"), F.col("x.a").alias("before"), F.col("x.rel").alias("rel")), "hop")
+
+
+def _origin(edges_: DataFrame, start: str) -> DataFrame:
+    return edges_.sparkSession.createDataFrame([(start, 0, None, None)], "id string, distance int, before string, rel string")
+
+
+def distances(edges_: DataFrame, start: str, depth: int = 6) -> DataFrame:
     """(id, distance, before, rel): the shortest way from start, at most `depth`
-    edges, authorship left out; ends early at `stop`. Each hop joins the
-    frontier alone and is written out, and of several ways the smallest id wins."""
+    edges, authorship left out. Each hop joins the frontier alone and is
+    written out, and of several ways the smallest id wins."""
     both = _undirected(edges_)
-    spark = edges_.sparkSession
-    reached = spark.createDataFrame([(start, 0, None, None)], "id string, distance int, before string, rel string")
-    frontier = reached
+    reached = frontier = _origin(edges_, start)
     for d in range(1, depth + 1):
-        step = both.join(frontier.select(F.col("id").alias("a")), "a").join(reached.select(F.col("id").alias("b")), "b", "left_anti")
-        step = save(step.groupBy("b").agg(F.min(F.struct("a", "rel")).alias("x")).select(F.col("b").alias("id"), F.lit(d).alias("distance"), F.col("x.a").alias("before"), F.col("x.rel").alias("rel")), "hop")
-        if step.isEmpty():
-            break
-        reached, frontier = reached.union(step), step
-        if stop and not step.where(F.col("id") == stop).isEmpty():
+        frontier = _further(both, frontier, reached, d)
+        if frontier.isEmpty():
             break
+        reached = reached.union(frontier)
     return reached
 
 
+def between(edges_: DataFrame, start: str, end: str, depth: int = 6) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """(id, distance, before, rel) as distances() gives them for the nodes that
+    a shortest way from start to end may take (and others nearer to start), and the
+    hops as (side, nodes of the frontier that was followed). Without a way of at most
+    `depth` edges end is not among the rows.
+
+    Searched from both ends, the smaller frontier first, until the two meet:
+    the ways to end are then followed over nodes that its own side has reached.
+    A hub between two documents is met, and what else it leads to is never read."""
+    both = _undirected(edges_)
+    levels = [[_origin(edges_, start)], [_origin(edges_, end)]]
+    reached, sizes, hops = [levels[0][0], levels[1][0]], [1, 1], []
+    met = levels[0][0] if start == end else None
+    while met is None and len(hops) < depth:
+        side = min((0, 1), key=lambda k: (sizes[k], len(levels[k])))
+        hops.append((side, sizes[side]))
+        step = _further(both, levels[side][-1], reached[side], len(levels[side]))
+        sizes[side] = step.count()
+        if not sizes[side]:
+            return reached[0], hops
+        common = step.join(levels[1 - side][-1].select("id"), "id", "left_semi")
+        levels[side].append(step)
+        reached[side] = reached[side].union(step)
+        met = None if common.isEmpty() else save(common.select("id"), "met")
+    if met is None:
+        return reached[0], hops
+    found, at = reached[0], len(levels[0])
+    for level in levels[1][-2::-1]:  # from where they met towards end
+        near = both.join(met.select(F.col("id").alias("a")), "a").join(level.select(F.col("id").alias("b")), "b", "left_semi")
+        met = save(near.groupBy("b").agg(F.min(F.struct("a", "rel")).alias("x")).select(F.col("b").alias("id"), F.lit(at).alias("distance"), F.col("x.a").alias("before"), F.col("x.rel").alias("rel")), "back")
+        found, at = found.union(met), at + 1
+    return found, hops
+
+
 def explain(edges_: DataFrame, start: str, end: str, depth: int = 6) -> list[tuple[str, str | None]]:
     """The nodes of a shortest path with the relation that leads to each; empty
     if there is none. Only the path's nodes come to the driver."""
-    found, path, at = distances(edges_, start, depth, end), [], end
+    (found, _), path, at = between(edges_, start, end, depth), [], end
     while at is not None:
         row = found.where(F.col("id") == at).first()
         if row is None:

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import sqlite3
 
 import pytest
@@ -97,10 +98,29 @@ def test_graph(spark):
     assert path[0] == ("footprint:1", None) and path[-1][0] == "footprint:2" and len(path) == 2
     assert graph.explain(e, "footprint:1", "footprint:3") == []
     assert graph.explain(e, "footprint:1", "footprint:1") == [("footprint:1", None)]
+    assert graph.explain(e, "footprint:1", "footprint:2", 0) == []
     rejected = spark.createDataFrame([(9, [("Redis cache", "slow")])], "id long, rejected array<struct<option:string,reason:string>>")
     assert {(r.dst, r.weight) for r in graph.rejected_edges(rejected).collect()} == {("rejected_option:9#0", 1.0), ("concept:redis cache", 1.0), ("concept:redis", 0.6), ("concept:cache", 0.6)}
 
 
+def test_paths_from_both_ends(spark):
+    rng = random.Random(7)
+    for _ in range(2):
+        pairs = {(f"footprint:{rng.randrange(12)}", f"{rng.choice(['tag', 'file'])}:{rng.randrange(9)}") for _ in range(16)}
+        e = spark.createDataFrame([(a, b, "HAS_TAG" if b.startswith("tag") else "TOUCHES_FILE", 1.0) for a, b in sorted(pairs)], "src string, dst string, rel string, weight double")
+        start, known = min(pairs)[0], {r.id: r for r in graph.distances(e, min(pairs)[0]).collect()}
+        for end in [*sorted(known)[-2:], "footprint:99"]:
+            want, at = [], end
+            while at in known:
+                want.append((at, known[at].rel))
+                at = known[at].before
+            assert graph.explain(e, start, end) == want[::-1]
+    # two documents that share a tag with 40 others meet at it, and the others are never reached
+    hub = [(f"footprint:{i}", "tag:hub", "HAS_TAG", 1.0) for i in range(42)]
+    found, hops = graph.between(spark.createDataFrame(hub, "src string, dst string, rel string, weight double"), "footprint:3", "footprint:41")
+    assert hops == [(0, 1), (1, 1)] and {r.id for r in found.collect()} == {"footprint:3", "tag:hub", "footprint:41"}
+
+
 def test_markdown(spark, tmp_path):
     body = "# T\n\n## purpose\n\nold\n\n## Purpose\n\n why \n\n## Decisions\n\n- a\n- b\n\n## Rejected options\n\n### X\n\nslow\n\n### Y\n\n## Commands run\n\n```bash\n## not a heading\nls\n```\n\n## Memory learned\n\n- m"
     s = one(spark, markdown.sections(F.lit(body)).alias("s")).s
