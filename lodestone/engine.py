@@ -46,6 +46,12 @@ class Engine:
     def search(self, query: str, limit: int = LIMIT, **filters) -> DataFrame:
         return self.index.search(query, self.now, limit, **filters)
 
+    def search_shown(self, query: str, limit: int = LIMIT, **filters) -> DataFrame:
+        """What search() finds, with a snippet of each content."""
+        found = save(self.search(query, limit, **filters), "found")
+        contents = self.searched().select("id", "content").join(found.select("id"), "id", "left_semi")
+        return found.join(self.index.snippets(contents, query), "id").orderBy(F.desc("score"), "id")
+
     def records(self) -> DataFrame:
         """(id, title, path, files, sections) of what is searched."""
         return records_of(self.index.read("shown"))

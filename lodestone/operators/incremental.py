@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph
-from lodestone.operators.search import LIMIT, asked_words, compile_query, indexed_bm25, many_bm25, postings, ranked, ranked_many, related_to_file
+from lodestone.operators.search import LIMIT, asked_words, compile_query, indexed_bm25, many_bm25, phrase_hits, postings, ranked, ranked_many, related_to_file, snippets
 from lodestone.operators.stored import DELTAS, SCHEMA_VERSION, Stored, bits_for
 from lodestone.sources.shared import save
 
@@ -175,6 +175,18 @@ class Index(Stored):
         """id, title, score, status of the best matches, from the stored tables alone."""
         return ranked(self.read("shown").join(self.match(compile_query(query)), "id"), now, limit, **filters)
 
+    def snippets(self, docs: DataFrame, query: str) -> DataFrame:
+        """(id, snippet) of docs (id, content), few as a rule; hits come from the stored postings."""
+        phrases = compile_query(query)
+        if self.stem:
+            from lodestone.functions.stem import porter
+
+            phrases = [[porter(t) for t in p] for p in phrases]
+        first = self.columns.index("content") << 32
+        words = self.read("postings").where(F.col("pos").between(first, first + (1 << 32) - 1)).withColumn("pos", F.col("pos") - first)
+        hits = phrase_hits(words, phrases).join(docs.select("id"), "id", "left_semi")
+        return snippets(docs.select("id", "content"), hits)
+
     def related_to_file(self, path: str, now: str, limit: int | None = LIMIT, **options) -> DataFrame:
         """(id, pass, score): as search.related_to_file(), from the stored tables alone."""
         return related_to_file(self.read("shown"), path, now, limit, match=self.match, **options)

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions import ranking, text
 from lodestone.sources.shared import save
@@ -73,18 +74,22 @@ def bm25(docs: DataFrame, phrases: list[list[str]]) -> DataFrame:
     return counted.where(some).withColumn("bm25", total).select(*docs.columns, "bm25")
 
 
-def indexed_bm25(index: DataFrame, lengths: DataFrame, phrases: list[list[str]], totals: tuple[int, int] | None = None) -> DataFrame:
-    """(id, bm25) from saved postings: index is read for the query's terms
-    alone. totals: the documents and their words, if they are known. A phrase occurs where its words follow each other; words of a
+def phrase_hits(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """(id, phrase, words, start): where each phrase begins, and of how many words
+    it is. A phrase occurs where its words follow each other; words of a
     phrase meet at the place where it would begin."""
-    spark = index.sparkSession
     wanted = [(t, n, i, len(p)) for n, p in enumerate(phrases) for i, t in enumerate(p)]
-    if not wanted:
-        return lengths.select("id", F.lit(0.0).alias("bm25")).limit(0)
-    asked = F.broadcast(spark.createDataFrame(wanted, "term string, phrase int, at int, words int"))  # the query's words
+    asked = F.broadcast(index.sparkSession.createDataFrame(wanted, "term string, phrase int, at int, words int"))  # the query's words
     hits = index.where(F.col("term").isin(*{w[0] for w in wanted})).join(asked, "term")
-    whole = hits.groupBy("id", "phrase", "words", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("met")).where("met = words")
-    tf = whole.groupBy("id", "phrase").agg(F.count("*").alias("tf"))
+    return hits.groupBy("id", "phrase", "words", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("met")).where("met = words").drop("met")
+
+
+def indexed_bm25(index: DataFrame, lengths: DataFrame, phrases: list[list[str]], totals: tuple[int, int] | None = None) -> DataFrame:
+    """(id, bm25) from saved postings: index is read for the query's terms
+    alone. totals: the documents and their words, if they are known."""
+    if not any(phrases):
+        return lengths.select("id", F.lit(0.0).alias("bm25")).limit(0)
+    tf = phrase_hits(index, phrases).groupBy("id", "phrase").agg(F.count("*").alias("tf"))
     n, words = totals or lengths.agg(F.count("*"), F.sum("dl")).first()
     df = {r["phrase"]: r["df"] for r in tf.groupBy("phrase").agg(F.count("*").alias("df")).collect()}  # a row a phrase
     if not df:
@@ -197,6 +202,56 @@ def snippet(words: Column, terms: list[str], width: int = 12) -> Column:
     return F.concat(F.when(start > 1, "… ").otherwise(""), F.array_join(shown, " "), F.when(start + width - 1 < F.size(words), " …").otherwise(""))
 
 
+def snippets(docs: DataFrame, hits: DataFrame, width: int = 12) -> DataFrame:
+    """(id, snippet) of docs (id, content; an id once) by the positions of
+    phrases in the content (phrase_hits).
+
+    A window of `width` words may begin at a hit or at the beginning of the
+    sentence before it. It is worth 1000 for each phrase that begins in it, 1 for each
+    that does so again, and 100 where a sentence begins, 120 for the first one; the first of
+    equals is shown, centred on its hits unless it begins with a sentence. The text
+    is the document's own, hits are in brackets, and dots stand for what is left out. Without
+    a hit its first words are shown; a null content gives a null snippet.
+
+    Positions are counted in a range frame per document, so a document
+    costs its hits and not its words times its hits."""
+    words = f"[\\p{{L}}\\p{{N}}\\p{{Co}}][\\p{{L}}\\p{{N}}\\p{{Co}}{text.MARKS}]*"
+    whole = docs.select("id", F.regexp_extract_all("content", F.lit(words), F.lit(0)).alias("said"), F.split("content", words, -1).alias("gaps"))
+    places = F.sequence(F.lit(0), F.size("said") - 1)
+    begins = F.filter(places, lambda i: (i == 0) | F.get(F.col("gaps"), i).rlike(r"[.:][ \t\n\r]+\z"))
+    texts = whole.select("id", F.size("said").alias("n"), F.when(F.size("said") > 0, begins).otherwise(F.array().cast("array<int>")).alias("begins"))
+    near = hits.join(texts, "id").withColumn("start", F.col("start").cast("int"))
+    before = F.array_max(F.filter("begins", lambda b: b <= F.col("start")))
+    hit = F.struct(F.col("start").alias("at"), F.col("start").alias("hit"), F.lit(0).alias("extra"), F.lit(0).alias("kind"))
+    ahead = F.struct(before.alias("at"), F.col("start").alias("hit"), F.when(before == 0, 120).otherwise(100).alias("extra"), F.lit(1).alias("kind"))
+    also = F.when((F.col("n") > width) & (before < F.col("start")), F.array(ahead)).otherwise(F.array().cast(T.ArrayType(T.StructType([T.StructField(f, T.IntegerType()) for f in ("at", "hit", "extra", "kind")]))))
+    asked = near.select("id", "n", F.explode(F.concat(F.array(hit), also)).alias("c")).select("id", "n", "c.*", F.lit(None).cast("int").alias("phrase"), F.lit(None).cast("int").alias("words"))
+    there = near.select("id", "n", F.col("start").alias("at"), F.col("start").alias("hit"), F.lit(0).alias("extra"), F.lit(None).cast("int").alias("kind"), "phrase", "words")
+    frame = Window.partitionBy("id").orderBy("at").rangeBetween(0, width - 1)
+    inside = asked.unionByName(there).select(
+        "id", "n", "at", "hit", "extra", "kind", F.size(F.collect_set("phrase").over(frame)).alias("different"), F.count("phrase").over(frame).alias("all"),
+        F.max(F.when(F.col("phrase").isNotNull(), F.struct("hit", "phrase", "words"))).over(frame).alias("last"),
+    )
+    lead = (F.lit(width) - (F.col("last.hit") + F.col("last.words") - F.col("at"))) / 2
+    centred = F.greatest(F.lit(0), F.least(F.col("at") - lead.cast("int"), F.col("n") - width))
+    window = F.when(F.col("kind") == 0, centred).otherwise(F.col("at"))
+    worth = F.struct((F.col("different") * 999 + F.col("all") + F.col("extra")).alias("worth"), -F.col("hit"), -F.col("kind"))
+    best = inside.where("kind is not null").groupBy("id").agg(F.max_by(window, worth).alias("from"))
+    marks = near.join(best, "id").where((F.col("start") >= F.col("from")) & (F.col("start") < F.col("from") + width))
+    marks = marks.groupBy("id", "from").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("words")).alias("end"))).alias("marks"))
+    rows = whole.join(marks, "id", "left").withColumn("from", F.coalesce("from", F.lit(0))).withColumn("to", F.least(F.col("from") + width, F.size("said")))
+
+    def word(i: Column) -> Column:
+        opens = F.exists("marks", lambda m: m["start"] == i) & ~F.exists("marks", lambda m: (m["start"] < i) & (m["end"] > i))
+        closes = F.exists("marks", lambda m: (m["start"] <= i) & (m["end"] > i)) & ((i == F.col("to") - 1) | ~F.exists("marks", lambda m: (m["start"] <= i) & (m["end"] > i + 1)))
+        return F.concat(F.when(opens, "[").otherwise(""), F.get(F.col("said"), i), F.when(closes, "]").otherwise(""), F.when(i < F.col("to") - 1, F.get(F.col("gaps"), i + 1)).otherwise(""))
+
+    head = F.when(F.col("from") > 0, " … ").otherwise(F.get(F.col("gaps"), F.lit(0)))
+    tail = F.when(F.col("from") + width < F.size("said"), " … ").otherwise(F.get(F.col("gaps"), F.size("said")))
+    body = F.array_join(F.transform(F.sequence("from", F.col("to") - 1), word), "")
+    return rows.select("id", F.when(F.size("said") > 0, F.concat(head, body, tail)).otherwise(F.get(F.col("gaps"), F.lit(0))).alias("snippet"))
+
+
 def budget_prefix(ranked: DataFrame, cost: Column, budget: int, header: int, group: str | None = None) -> DataFrame:
     """Rows of a ranked result (rank from 1) while their running cost and the
     header's fit the budget; the first always stays. Costs are positive, so the

@@ -222,6 +222,26 @@ def context_assembled(spark: SparkSession, sf: str) -> DataFrame:
     return trimmed.select("rank", "id", "block")
 
 
+HIT = f"lower(strip_accents(said[i])) IN ({', '.join(repr(t) for t in TERMS)})"
+SNIPPET_SQL = rf"""parts AS (SELECT c.id, t.rank, regexp_extract_all(content, '[\p{{L}}\p{{N}}]+') AS said, regexp_split_to_array(content, '[\p{{L}}\p{{N}}]+') AS gaps FROM top t JOIN corpus c ON c.id = t.id),
+  places AS (SELECT *, len(said) AS n, unnest(range(1, len(said) + 1)) AS i FROM parts), hits AS (SELECT id, n, i - 1 AS place, lower(strip_accents(said[i])) AS word FROM places WHERE {HIT}),
+  begins AS (SELECT id, i - 1 AS place FROM places WHERE i = 1 OR regexp_matches(gaps[i], '[.:][ \t\n\r]+$')),
+  asked AS (SELECT id, n, place, place AS hit, 0 AS extra, 0 AS kind FROM hits UNION ALL
+    SELECT h.id, n, max(b.place), h.place, CASE max(b.place) WHEN 0 THEN 120 ELSE 100 END, 1 FROM hits h JOIN begins b ON b.id = h.id AND b.place <= h.place WHERE n > 12 GROUP BY h.id, n, h.place HAVING max(b.place) < h.place),
+  worth AS (SELECT a.*, max(a.extra) + 999 * count(DISTINCT h.word) + count(*) AS worth, max(h.place) AS last FROM asked a JOIN hits h ON h.id = a.id AND h.place BETWEEN a.place AND a.place + 11 GROUP BY ALL),
+  best AS (SELECT id, n, CASE kind WHEN 0 THEN greatest(0, least(place - (11 - last + place) // 2, n - 12)) ELSE place END AS f FROM worth QUALIFY row_number() OVER (PARTITION BY id ORDER BY worth DESC, hit, kind) = 1),
+  spelt AS (SELECT id, rank, f, n, gaps, i, CASE WHEN {HIT} THEN '[' || said[i] || ']' ELSE said[i] END || CASE WHEN i < least(f + 12, n) THEN gaps[i + 1] ELSE '' END AS word FROM places JOIN best USING (id, n) WHERE i > f AND i <= f + 12)
+  SELECT id, rank::INT AS rank, CASE WHEN f > 0 THEN ' … ' ELSE gaps[1] END || string_agg(word, '' ORDER BY i) || CASE WHEN f + 12 < n THEN ' … ' ELSE gaps[n + 1] END AS snippet FROM spelt GROUP BY id, rank, f, n, gaps"""
+
+
+@query(f"WITH {bm25_sql(TERMS)}, {TOP}, {SNIPPET_SQL}")
+def search_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    """The best matches with their snippets, hits from the stored postings."""
+    found = save(_top(spark, sf), "top")
+    contents = corpus(spark, sf).select("id", "content").join(found.select("id"), "id", "left_semi")
+    return found.select("id", F.col("rank").cast("int").alias("rank")).join(q.indexed(spark, sf).snippets(contents, " ".join(TERMS)), "id")
+
+
 @query(f"WITH {bm25_sql(TERMS)}, {TOP} SELECT id, rank::INT AS rank, score FROM top WHERE score >= 5.0")
 def hook_min_score(spark: SparkSession, sf: str) -> DataFrame:
     """Matches that are good enough to be shown unasked."""

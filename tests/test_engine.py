@@ -124,6 +124,9 @@ def test_engine(spark, tmp_path):
     engine = Engine(spark, spark.createDataFrame(rows, DOC), spark.createDataFrame([(1, 4)], "newer long, older long"), base=f"file://{tmp_path}/store")
     assert engine.refresh() == {"index": "missing", "graph": "missing"} and engine.refresh() == {"index": "fresh", "graph": "fresh"}
     assert engine.search("pagings").first()["id"] == 1
+    shown = engine.search_shown("pagings offset").collect()
+    assert {r["id"]: r["snippet"] for r in shown} == {1: "keyset [paging] of learner search", 4: "[offset] [paging]"}
+    assert [r["id"] for r in shown] == [r["id"] for r in engine.search("pagings offset").collect()]
     assert [r["id"] for r in engine.related_to_file("api/learners.ts").collect()][:2] in (["footprint:1", "footprint:2"], ["footprint:2", "footprint:1"])
     assert engine.explain("1", "2") and engine.explain("1", "3") == []
     shown = engine.context("keyset")

@@ -88,6 +88,28 @@ def test_bm25_against_sqlite(spark):
     assert "[redis]" in d.where("id = 2").select(search.snippet(text.tokens(F.col("content")), ["redis"])).first()[0]
 
 
+def test_snippets_against_sqlite(spark):
+    """Windows, sentence starts, phrases, overlapping hits and whole short texts as SQLite's full text shows them."""
+    rng = random.Random(3)
+    vocabulary = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu café ÉTÉ naïve x1".split()
+    texts = ["", "...", "beta", "no hit here: none. at all", "  beta,  gamma!"]
+    for n in (5, 12, 13, 14, 25, 40, 80) * 6:
+        texts.append("".join(rng.choice(vocabulary) + rng.choice([" ", " ", " ", ", ", ". ", ": ", ".", "\n", " - "]) for _ in range(n)))
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize='unicode61')")
+    con.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", enumerate(texts))
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, content string").cache()
+    index = search.postings(d).cache()
+    for query, match in (("beta", '"beta"'), ("zeta beta ete", '"zeta" OR "beta" OR "ete"'), ("beta_gamma alpha", '"beta gamma" OR "alpha"'), ("mu_mu mu", '"mu mu" OR "mu"')):
+        want = dict(con.execute("SELECT rowid, snippet(t, 0, '[', ']', ' … ', 12) FROM t WHERE t MATCH ?", (match,)))
+        hits = search.phrase_hits(index, search.compile_query(query))
+        got = {r.id: r.snippet for r in search.snippets(d, hits).collect()}
+        assert len(got) == len(texts) and {i: got[i] for i in want} == want
+        assert got[0] == "" and got[1] == "..." and (3 in want or got[3] == texts[3])
+    nothing = search.snippets(spark.createDataFrame([(1, None)], "id int, content string"), search.phrase_hits(index, [["beta"]])).collect()
+    assert [tuple(r) for r in nothing] == [(1, None)]
+
+
 def test_graph(spark):
     d = docs(spark)
     e = graph.edges(d, spark.createDataFrame([(2, 1)], "newer long, older long"))
