@@ -382,13 +382,14 @@ def graph_distances(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH RECURSIVE {EDGES_SQL}, either AS (SELECT src AS a, dst AS b, rel FROM edges WHERE rel <> 'AUTHORED_BY' UNION SELECT dst, src, rel FROM edges WHERE rel <> 'AUTHORED_BY'), "
     "way AS (SELECT 'footprint:5' AS id, 0 AS d UNION SELECT b, d + 1 FROM way JOIN either ON a = id WHERE d < 4), near AS (SELECT id, min(d) AS d FROM way GROUP BY id), "
     "best AS (SELECT n.id, n.d, min({'a': e.a, 'rel': e.rel}) AS x FROM near n JOIN either e ON e.b = n.id JOIN near m ON m.id = e.a AND m.d = n.d - 1 GROUP BY ALL), "
-    "back AS (SELECT 'footprint:22' AS id UNION ALL SELECT x.a FROM back JOIN best USING (id)) "
-    "SELECT n.d::BIGINT AS step, n.id, b.x.rel AS rel FROM back JOIN near n USING (id) LEFT JOIN best b ON b.id = n.id"
+    "back AS (SELECT goal, goal AS id FROM (VALUES ('footprint:8'), ('footprint:9')) t(goal) UNION ALL SELECT goal, x.a FROM back JOIN best USING (id)) "
+    "SELECT goal, n.d::BIGINT AS step, n.id, b.x.rel AS rel FROM back JOIN near n USING (id) LEFT JOIN best b ON b.id = n.id"
 )
 def graph_shortest_path(spark: SparkSession, sf: str) -> DataFrame:
-    """The way between two documents, searched from both."""
-    path = graph.explain(save(edges(spark, sf), "edges"), "footprint:5", "footprint:22", 4)
-    return spark.createDataFrame([(i, *step) for i, step in enumerate(path)], "step long, id string, rel string")
+    """The ways from a document to two others, searched from both ends."""
+    known = save(edges(spark, sf), "edges")
+    found = [(goal, i, *step) for goal in ("footprint:8", "footprint:9") for i, step in enumerate(graph.explain(known, "footprint:5", goal, 4))]
+    return spark.createDataFrame(found, "goal string, step long, id string, rel string")
 
 
 TOP_SQL = f"{bm25_sql(TERMS)}, seeds AS (SELECT id, round({FULL}, 6) AS score FROM matched WHERE {ACTIVE} ORDER BY score DESC, id LIMIT 8)"
