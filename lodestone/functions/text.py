@@ -99,16 +99,16 @@ def suffix(*keys: Column) -> Column:
 
 
 def version_parts(text: Column) -> Column:
-    """Numbers of a version cut at '.' and '-'; others count as 0."""
-    return F.transform(F.split(text, "[.-]"), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))
+    """Numbers that the parts of a version begin with, cut at '.' and '-', of any size; parts without one count as 0."""
+    number = lambda p: F.regexp_extract(p, r"^\s*\+?([0-9]+)", 1).try_cast("double")
+    return F.transform(F.split(text, "[.-]"), lambda p: F.coalesce(F.when(number(p) < float("inf"), number(p)), F.lit(0.0)))
 
 
 def is_newer(a: Column, b: Column) -> Column:
     """Whether version a is later than b; missing parts are 0."""
     n = F.greatest(F.size(version_parts(a)), F.size(version_parts(b)))
-    pad = lambda v: F.slice(F.concat(v, F.array_repeat(F.lit(0), n)), F.lit(1), n)
-    key = lambda v: F.array_join(F.transform(pad(version_parts(v)), lambda x: F.lpad(x.cast("string"), 10, "0")), ".")
-    return key(a) > key(b)
+    pad = lambda v: F.slice(F.concat(version_parts(v), F.array_repeat(F.lit(0.0), n)), F.lit(1), n)
+    return pad(a) > pad(b)
 
 
 def looks_like_file(target: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import text
 from lodestone.operators.search import active
 
 
@@ -67,7 +68,8 @@ def default_queries(docs: DataFrame, n: int = 5) -> DataFrame:
 
 def summaries(docs: DataFrame) -> DataFrame:
     """Records as search results without a score; the snippet is the purpose, which is the first line of the content."""
-    return docs.select("id", "title", F.lit(0.0).alias("score"), F.coalesce("status", F.lit("completed")).alias("status"), "created_at", F.get("files", F.lit(0)).alias("path"))
+    purpose = F.coalesce(text.first_line(F.col("content")), F.lit(""))
+    return docs.select("id", "title", F.lit(0.0).alias("score"), purpose.alias("snippet"), F.coalesce("status", F.lit("completed")).alias("status"), "created_at", F.get("files", F.lit(0)).alias("path"))
 
 
 def access_rows(entries: DataFrame, store_query: bool = True, most: int = 280) -> DataFrame:

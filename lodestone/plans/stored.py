@@ -284,7 +284,7 @@ def bench_default_queries(spark: SparkSession, sf: str) -> DataFrame:
     return housekeeping.default_queries(corpus(spark, sf))
 
 
-@query(f"WITH {CORPUS_SQL} SELECT id, title, 0.0::DOUBLE AS score, coalesce(status, 'completed') AS status, created_at, file AS path FROM corpus WHERE tag = 'de'")
+@query(f"WITH {CORPUS_SQL} SELECT id, title, 0.0::DOUBLE AS score, coalesce(list_filter(list_transform(string_split(content, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13))), lambda l: l <> '')[1], '') AS snippet, coalesce(status, 'completed') AS status, created_at, file AS path FROM corpus WHERE tag = 'de'")
 def list_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return housekeeping.summaries(housekeeping.listed(corpus(spark, sf), tag="de"))
 

@@ -51,7 +51,7 @@ def test_full_text_equals_sqlite(spark, some):
 def test_folding_and_versions(spark):
     row = spark.createDataFrame([("naïve Café straße señor ÅNGSTRÖM éa_b",)], "t string").select(text.tokens(F.col("t")).alias("x")).first()
     assert row.x == ["naive", "cafe", "straße", "senor", "angstrom", "ea", "b"]
-    cases = [("1.0.0.0.0.0.0.0.0.0", "1", False), ("1.0.0.0.0.0.0.0.0.0.1", "1", True), ("2.0", "1.9.9", True), ("1.10", "1.9", True), ("1.2", "1.2.0", False)]
+    cases = [("1.0.0.0.0.0.0.0.0.0", "1", False), ("1.0.0.0.0.0.0.0.0.0.1", "1", True), ("2.0", "1.9.9", True), ("1.10", "1.9", True), ("1.2", "1.2.0", False), ("2147483648", "2147483647", True), ("99999999999999.1", "3", True), ("1.3rc1", "1.2", True), ("1.v9", "1.1", False), ("9" * 400, "1", False), ("", "0", False)]
     got = spark.createDataFrame(cases, "a string, b string, want boolean").select("want", text.is_newer(F.col("a"), F.col("b")).alias("got")).collect()
     assert all(r.want == r.got for r in got)
 
