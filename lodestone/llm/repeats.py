@@ -321,7 +321,7 @@ def neighbours(contexts: DataFrame, order: list[str], span: int, gram: int, task
         return pa.record_batch([*columns, pa.array([task], pa.int32()), pa.array([side], pa.int32()), row["suffix"].combine_chunks(), row["before"].combine_chunks()], names + more)
 
     by = [*order, "no", "place"]
-    ranged = contexts.select("no", "place", "single", "gram", "suffix", "before").repartitionByRange(tasks, *by).sortWithinPartitions(*by)
+    ranged = contexts.repartitionByRange(tasks, *by).sortWithinPartitions(*by)
     found = save(ranged.mapInArrow(of, f"{REACH}, task int, edge int, suffix binary, before binary"), "neighbours")
     edges = found.where("edge is not null").orderBy("task", "edge").collect()  # two rows a task
     extra = []
@@ -352,7 +352,7 @@ def _windows(span: int, gram: int):
 def _closer(contexts: DataFrame, span: int, gram: int, tasks: int) -> DataFrame:
     """(no, start, end): what the windows around the single suffixes of contexts that occur elsewhere cover."""
     need = span - gram
-    reach = neighbours(contexts, ["suffix", "before"], span, gram, tasks).unionByName(neighbours(contexts, ["gram", "before", "suffix"], span, gram, tasks))
+    reach = neighbours(contexts, ["suffix", "before"], span, gram, tasks).unionByName(neighbours(contexts.withColumn("own", F.substring("suffix", 1, gram)), ["own", "before", "suffix"], span, gram, tasks))
     long = (F.col("left") >= 0) & (F.col("left") + F.col("right") >= need)
     reach = reach.where("single").groupBy("no", "place").agg(F.max("left").alias("left_most"), F.max("right").alias("right_most"), F.max(F.when(long, F.col("left"))).alias("left"), F.max(F.when(long, F.col("right"))).alias("right"))
     reach = save(reach.where(F.col("left_most") + F.col("right_most") >= need), "reach")
@@ -365,7 +365,10 @@ def _closer(contexts: DataFrame, span: int, gram: int, tasks: int) -> DataFrame:
     ranges = asked.groupBy("gram").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     windows = contexts.join(ranges, "gram").select("no", "place", "single", "suffix", "before", "least", "most").mapInArrow(_windows(span, gram), "no long, place long, single boolean, o int, window binary")
     windows = save(windows, "windows")
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    # suffixes near each other in one text have windows in common: it is places that count
+    start = F.col("place") - F.col("o")
+    ends = windows.groupBy("window").agg(F.min("no").alias("n1"), F.max("no").alias("n2"), F.min(start).alias("s1"), F.max(start).alias("s2"))
+    twice = ends.where("n1 < n2 or s1 < s2").select("window")
     more = windows.where("single").join(twice, "window", "left_semi").select("no", (F.col("place") - F.col("o")).alias("start"), (F.col("place") - F.col("o") + span).alias("end"))
     more = more.groupBy("no", "start").agg(F.max("end").alias("end"))
     return done.unionByName(more)

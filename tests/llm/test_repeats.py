@@ -71,6 +71,22 @@ def test_against_brute_force(saved, part, batch_bytes, monkeypatch):
             assert sum(s.end - s.start for s in r.spans) == r.n_removed and hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
 
 
+def test_pieces_of_almost_a_span(spark):
+    """Two sampled suffixes of a text reach far enough only by different partners: what both look at occurs once."""
+    rng = np.random.default_rng(1)
+    text = lambda n: "".join(rng.choice(list("abcdefghijklmnop "), n))
+    texts = []
+    for _ in range(60):
+        core = text(400)
+        for _ in range(int(rng.integers(2, 6))):
+            a, n = int(rng.integers(0, 200)), int(rng.integers(150, 215))
+            texts.append(text(int(rng.integers(0, 150))) + core[a : a + n] + text(int(rng.integers(0, 150))))
+        texts.append(text(30) + core[:300] + text(20))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == plain(texts, 200)
+
+
 def test_empty_and_short(spark):
     docs = spark.createDataFrame([(None, None, 1), (1, "short", 2), (1, "short", 2)], "doc_id long, text string, batch int")
     assert repeats.remove_repeats(docs.limit(0)).collect() == []
