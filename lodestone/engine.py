@@ -9,7 +9,7 @@ from lodestone.functions import ranking, security, text
 from lodestone.operators import contexts, graph, housekeeping, incremental, writing
 from lodestone.operators.search import LIMIT, first_ranks
 from lodestone.sources import markdown, tables
-from lodestone.sources.shared import exists, save
+from lodestone.sources.shared import exists, few, save
 
 
 class Engine:
@@ -204,7 +204,9 @@ class Engine:
         found = self.index.search_many(queries, self.now, None, exclude_superseded=True)
         if digits is not None:
             found = found.withColumn("score", F.round(F.col("score") * 10.0**digits) / 10.0**digits)
-        found = first_ranks(found, limit)
+        found = save(first_ranks(found.select("query_id", "id", "score"), limit), "found")
+        titles = self.index.read("shown").select("id", "title").join(few(found.select("id").distinct()), "id", "left_semi")
+        found = found.join(titles, "id")
         texts = contexts.rendered_many(found, self.records(), budget)
         whole = self.docs.agg(F.ceil((F.sum(text.utf16_length(F.col("content"))) + 2 * (F.count("*") - 1)) / 3.5).alias("baseline")).first()["baseline"] or 0
         empty = contexts.estimate_header(f"{contexts.HEADER}\n\n{contexts.NOTHING}")
