@@ -28,8 +28,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, discard_path, exists, save, shared_dir, starts_of
@@ -39,6 +40,8 @@ INVERSE = pow(BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(3).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes of text that are worked on at once; a longer text overlaps from one part to the next.
 PART = 1 << 20
+#: Bytes of short texts that are sampled together: numpy's calls are few, and what they work on stays in the cache.
+PACK = 1 << 17
 #: Suffixes that a task sends on at once.
 SENT = 200_000
 #: The most bits of the filter by which suffixes that met none are left out before they are shuffled. A full filter lets more through; the join that follows decides.
@@ -61,34 +64,50 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     n = len(data)
     if not hasattr(gram_hashes, "up") or len(gram_hashes.up) < n:
         gram_hashes.up, gram_hashes.down = _powers(BASE, max(n, PART)), _powers(INVERSE, max(n, PART))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[data] * gram_hashes.up[:n], dtype=np.uint64)])
-    return _mix((sums[gram:] - sums[: n - gram + 1]) * gram_hashes.down[: n - gram + 1])
+    terms = _TABLE[data]
+    terms *= gram_hashes.up[:n]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(terms, out=sums[1:])
+    found = sums[gram:] - sums[: n - gram + 1]
+    found *= gram_hashes.down[: n - gram + 1]
+    return _mix(found)
 
 
-def sampled(data: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
+def sampled(data: np.ndarray, span: int, gram: int, bounds: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(place, first, last, key) of each sampled suffix: the windows from first
-    to last sample it, key orders it by its first 4 bytes and has 32 bits of its gram's hash."""
+    to last sample it, key orders it by its first 4 bytes and has 32 bits of its gram's hash.
+    With bounds data is texts in a row, each from one bound to the next; no window crosses one."""
     n = len(data) - span + 1
     if n < 1:
         return (np.zeros(0, np.int64),) * 4
     grams = gram_hashes(data, gram)
-    low = grams & np.uint64(0xFFFFFFFF00000000) | np.arange(len(grams), dtype=np.uint64)
+    low = grams & np.uint64(0xFFFFFFFF00000000)
+    low |= np.arange(len(grams), dtype=np.uint64)
     wide, width = 1, span - gram + 1
     while wide * 2 <= width:
         low = np.minimum(low[:-wide], low[wide:])
         wide *= 2
     if wide < width:
         low = np.minimum(low[:n], low[width - wide :])
-    place = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = starts_of([place])
+    first = starts_of([low])
     last = np.concatenate([first[1:] - 1, [n - 1]])
-    place = place[first]
+    place = (low[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    if bounds is not None:  # the windows of one text that sample a place are those of the text that it is in
+        own = text_of(place, bounds)
+        first, last = np.maximum(first, bounds[own]), np.minimum(last, bounds[own + 1] - span)
+        some = first <= last
+        place, first, last = place[some], first[some], last[some]
     lead = sum(data[place + i].astype(np.uint64) << np.uint64(8 * (3 - i)) for i in range(4)) << np.uint64(32)
     key = (lead | grams[place] & np.uint64(0xFFFFFFFF)) ^ np.uint64(1 << 63)
     return place, first, last, key.view(np.int64)
 
 
-def parts(data: bytes, span: int) -> Iterator[tuple[int, np.ndarray]]:
+def text_of(place: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which of the texts in a row each place is in."""
+    return np.searchsorted(bounds, place, "right") - 1
+
+
+def parts(data: bytes | np.ndarray, span: int) -> Iterator[tuple[int, np.ndarray]]:
     """Overlapping parts of a text such that each window lies in one: a run of
     windows that a cut divides is sampled in two stretches, which is as good."""
     whole = np.frombuffer(data, np.uint8)
@@ -97,9 +116,32 @@ def parts(data: bytes, span: int) -> Iterator[tuple[int, np.ndarray]]:
         yield at, whole[at : at + PART]
 
 
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts as they lie in memory, and where each text begins and the last one ends."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), bounds
+
+
+def packs(data: np.ndarray, bounds: np.ndarray, span: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row, at, bytes, bounds): texts in a row from that row on, of PACK bytes
+    together or one text; of a text longer than PART its parts, each with the place where it begins."""
+    row, rows = 0, len(bounds) - 1
+    while row < rows:
+        if bounds[row + 1] - bounds[row] > PART:
+            for at, part in parts(data[bounds[row] : bounds[row + 1]], span):
+                yield row, at, part, np.array([0, len(part)])
+            row += 1
+        else:
+            end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + min(PACK, PART), "right")) - 1)
+            yield row, 0, data[bounds[row] : bounds[end]], bounds[row : end + 1] - bounds[row]
+            row = end
+
+
 def _digests(part: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
-    view, digest = memoryview(part), hashlib.blake2b
-    return [digest(view[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+    data, digest = part.tobytes(), hashlib.blake2b
+    return [digest(data[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
 
 
 def _sixteens(digests: list[bytes]) -> pa.Array:
@@ -123,16 +165,16 @@ def entries(docs: DataFrame, span: int, gram: int) -> DataFrame:
 
     def of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, digests, batches = [], [], []
-        for row in rows:
-            for own, text in zip(row.column(0).to_pylist(), row.column(1), strict=True):
-                for _, part in parts((text.as_py() or "").encode(), span):
-                    _, first, last, key = sampled(part, span, gram)
-                    keys.append(key)
-                    digests += _digests(part, first, last + span)
-                    batches.append(np.full(len(key), own, np.int32))
-                    if len(digests) > SENT:
-                        yield counted(keys, digests, batches)
-                        keys, digests, batches = [], [], []
+        for batch in rows:
+            own, (data, bounds) = batch.column(0).to_numpy(), bytes_of(batch.column(1))
+            for row, _, part, inner in packs(data, bounds, span):
+                place, first, last, key = sampled(part, span, gram, inner)
+                keys.append(key)
+                digests += _digests(part, first, last + span)
+                batches.append(own[row + text_of(place, inner)])
+                if len(digests) > SENT:
+                    yield counted(keys, digests, batches)
+                    keys, digests, batches = [], [], []
         if digests:
             yield counted(keys, digests, batches)
 
@@ -160,9 +202,10 @@ class Family:
         return self.spark.table(self.name).where(F.col("run").isin(*runs)).select("gram", "stretch", "n")
 
     def add(self, found: DataFrame) -> None:
-        """found: rows (gram, stretch, n, batch). Each batch becomes a run; they are sorted by one shuffle."""
+        """found: rows (gram, stretch, n, batch). Each batch becomes a run; they are sorted by one shuffle.
+        A suffix may have several rows in a run; counts are summed where they are asked for."""
         start = max((run for run, _ in self.levels), default=-1) + 1
-        array = found.repartition(self.buckets, "gram").groupBy("batch", "gram", "stretch").agg(F.sum("n").alias("n"))
+        array = found.repartition(self.buckets, "gram")
         array.select("gram", "stretch", "n", F.lit(1).alias("size"), (F.col("batch") + start).alias("run")).write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
         there = [r["run"] for r in self.spark.table(self.name).where(F.col("run") >= start).select("run").distinct().collect()]  # one row a batch
@@ -171,17 +214,16 @@ class Family:
             self._admit(run)
 
     def _admit(self, run: int) -> None:
-        own = self.of(run).groupBy("gram").agg(F.sum("n").alias("n"))
-        met = own.where("n > 1").select("gram")
+        own = self.of(run)
+        met = own.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
         if self.levels:
-            levels = self.of(*[r for r, _ in self.levels]).select("gram").distinct()
+            levels = self.of(*[r for r, _ in self.levels]).select("gram")
             met = met.unionByName(own.select("gram").join(levels.hint("merge"), "gram", "left_semi")).distinct()
         met.write.mode("append").parquet(f"{self.path}/met")
         size, gone = 1, []
         while self.levels and self.levels[-1][1] == size:
             old, _ = self.levels.pop()
-            merged = self.of(old, run).groupBy("gram", "stretch").agg(F.sum("n").alias("n"))
-            merged.select("gram", "stretch", "n", F.lit(2 * size).alias("size"), F.lit(self.next).alias("run")).write.insertInto(self.name)
+            self.of(old, run).select("gram", "stretch", "n", F.lit(2 * size).alias("size"), F.lit(self.next).alias("run")).write.insertInto(self.name)
             gone += [(size, old), (size, run)]
             run, size, self.next = self.next, 2 * size, self.next + 1
             self.spark.catalog.refreshTable(self.name)
@@ -195,8 +237,7 @@ class Family:
         one of their gram has a stretch of its own."""
         met = self.spark.read.schema("gram long").parquet(f"{self.path}/met").distinct()
         found = self.of(*[r for r, _ in self.levels]).join(met, "gram", "left_semi").groupBy("gram", "stretch").agg(F.sum("n").alias("n"))
-        lone = found.groupBy("gram").agg((F.min("n") == 1).alias("lone"))
-        return found.join(lone, "gram")
+        return found.withColumn("lone", F.min("n").over(Window.partitionBy("gram")) == 1)
 
     def close(self, keep: bool = False) -> None:
         self.spark.sql(f"DROP TABLE {self.name}")
@@ -216,39 +257,53 @@ def _filter(grams: DataFrame) -> np.ndarray:
     return out
 
 
+HIT = "no long, doc_id long, n_bytes long, sha256 string, text string, first long, last long, place long, stretch binary"
+
+
 def _hits(docs: DataFrame, words: np.ndarray, span: int, gram: int) -> DataFrame:
-    """doc_id, n_bytes, sha256 of each text; of texts with suffixes that pass the filter also the text and those suffixes."""
+    """A row for each text (no, doc_id, n_bytes, sha256, and the text itself if it has suffixes that
+    pass the filter) and one for each of those suffixes (no, first, last, place, stretch)."""
     known = docs.sparkSession.sparkContext.broadcast(words)
-    names = ["doc_id", "n_bytes", "sha256", "text", "firsts", "lasts", "places", "stretches"]
+    fields = [pa.field(x.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]]) for x in HIT.split(", ")]
+
+    def rows_of(**columns) -> pa.RecordBatch:
+        n = len(columns["no"])
+        given = {name: x if isinstance(x, pa.Array) else pa.array(x) for name, x in columns.items()}
+        return pa.record_batch([given.get(f.name, pa.nulls(n, f.type)) for f in fields], schema=pa.schema(fields))
+
+    def suffixes(places: list[tuple[np.ndarray, ...]], stretches: list[bytes]) -> pa.RecordBatch:
+        no, first, last, place = (np.concatenate(x) for x in zip(*places, strict=True))
+        return rows_of(no=no, first=first, last=last, place=place, stretch=_sixteens(stretches))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = known.value
         mask = np.int64(64 * len(words) - 1)
+        start = TaskContext.get().partitionId() << 33
         for batch in batches:
-            sizes, digests, texts, counts, stretches = [], [], [], [0], []
-            columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                data = text.encode()
-                found = 0
-                for at, part in parts(data, span):
-                    place, first, last, key = sampled(part, span, gram)
-                    low = key & mask
-                    some = (words[low >> 6] >> (low & 63)) & 1 == 1
-                    place, first, last = place[some], first[some], last[some]
-                    for column, x in zip(columns, (first + at, last + at, place + at), strict=True):
-                        column.append(x)
-                    stretches += _digests(part, first, last + span)
-                    found += len(first)
-                counts.append(counts[-1] + found)
-                sizes.append(len(data))
-                digests.append(hashlib.sha256(data).hexdigest())
-                texts.append(text if found else None)
-            offsets = pa.array(counts, pa.int32())
-            arrays = [pa.ListArray.from_arrays(offsets, x) for x in [*(pa.array(np.concatenate(c)) for c in columns), _sixteens(stretches)]]
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string()), *arrays], names)
-
-    return docs.mapInArrow(of, "doc_id long, n_bytes long, sha256 string, text string, firsts array<long>, lasts array<long>, places array<long>, stretches array<binary>")
+            data, bounds = bytes_of(batch.column(1))
+            view, found = memoryview(data), np.zeros(batch.num_rows, bool)
+            places, stretches = [], []
+            for row, at, part, inner in packs(data, bounds, span):
+                place, first, last, key = sampled(part, span, gram, inner)
+                low = key & mask
+                some = (words[low >> 6] >> (low & 63)) & 1 == 1
+                place, first, last = place[some], first[some], last[some]
+                own = text_of(place, inner)
+                found[row + own] = True
+                stretches += _digests(part, first, last + span)
+                back = at - inner[own]
+                places.append((start + row + own, first + back, last + back, place + back))
+                if len(stretches) > SENT:
+                    yield suffixes(places, stretches)
+                    places, stretches = [], []
+            if stretches:
+                yield suffixes(places, stretches)
+            digests = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            texts = pc.if_else(pa.array(found), batch.column(1), pa.scalar(None, pa.string()))
+            yield rows_of(no=start + np.arange(batch.num_rows), doc_id=batch.column(0), n_bytes=np.diff(bounds), sha256=pa.array(digests, pa.string()), text=texts)
+            start += batch.num_rows
+
+    return docs.mapInArrow(of, HIT)
 
 
 CONTEXT = "no long, place long, gram long, single boolean, suffix binary, before binary"
@@ -260,8 +315,9 @@ def _contexts(span: int, gram: int):
     def of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             out: list[list] = [[] for _ in range(6)]
-            for own, text, looks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = text.as_py().encode()
+            text, bounds = bytes_of(batch.column(1))
+            for own, a, b, looks in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), batch.column(2).to_pylist(), strict=True):
+                data = text[a:b].tobytes()
                 for x in looks:
                     p = x["place"]
                     for column, value in zip(out, (own, p, x["gram"], x["single"], data[p : p + span], data[max(0, p - span + gram) : p][::-1]), strict=True):
@@ -337,14 +393,17 @@ def _windows(span: int, gram: int):
 
     def of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            out: list[list] = [[] for _ in range(5)]
-            for no, place, single, suffix, before, least, most in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                data = before[::-1] + suffix
-                for o in range(max(0, least, span - len(suffix)), min(most, len(before)) + 1):
-                    a = len(before) - o
-                    for column, x in zip(out, (no, place, single, o, hashlib.blake2b(data[a : a + span], digest_size=16).digest()), strict=True):
-                        column.append(x)
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()), strict=True)], ["no", "place", "single", "o", "window"])
+            digests, counts, lows = [], [], []
+            for suffix, before, least, most in zip(*(batch.column(i).to_pylist() for i in range(3, 7)), strict=True):
+                data, mid = before[::-1] + suffix, len(before)
+                low, high = max(0, least, span - len(suffix)), min(most, mid)
+                digests += [hashlib.blake2b(data[a : a + span], digest_size=16).digest() for a in range(mid - low, mid - high - 1, -1)]
+                counts.append(max(0, high - low + 1))
+                lows.append(low)
+            no, place, single = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), counts) for i in range(3))
+            counts = np.array(counts, np.int64)
+            o = np.arange(len(digests)) - np.repeat(np.cumsum(counts) - counts - lows, counts)
+            yield pa.record_batch([pa.array(no, pa.int64()), pa.array(place, pa.int64()), pa.array(single, pa.bool_()), pa.array(o.astype(np.int32)), _sixteens(digests)], ["no", "place", "single", "o", "window"])
 
     return of
 
@@ -382,23 +441,30 @@ def _cut(keep: bool):
 
     def of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            out: list[list] = [[] for _ in range(6)]
-            for r in batch.to_pylist():
-                first = np.array([x["start"] for x in r["runs"]], np.int64)
-                end = np.array([x["end"] for x in r["runs"]], np.int64)
-                order = np.argsort(first, kind="stable")
-                first, end = first[order], np.maximum.accumulate(end[order])
-                new = np.concatenate([[True], first[1:] > end[:-1]])
-                begin, stop = first[new], end[np.concatenate([new[1:], [True]])]
-                data, at, kept = r["text"].encode(), 0, []
-                for a, b in zip(begin.tolist(), stop.tolist(), strict=True):
-                    kept.append(data[at:a])
-                    at = b
-                kept = b"".join([*kept, data[at:]])
-                for column, x in zip(out, (r["no"], len(data) - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], kept if keep else None), strict=True):
-                    column.append(x)
-            spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.record_batch([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), spans, pa.binary()), strict=True)], ["no", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+            (text, bounds), runs = bytes_of(batch.column(1)), batch.column(2)
+            view, counts = memoryview(text), np.diff(runs.offsets.to_numpy())
+            first, end = (x.to_numpy() for x in runs.flatten().flatten())
+            # all texts of the batch in one order: a text is far from the next
+            far = np.repeat(np.arange(len(counts)) << 40, counts)
+            order = np.argsort(first + far)
+            first, end = (first + far)[order], np.maximum.accumulate((end + far)[order])
+            new = np.concatenate([first[:1] >= 0, first[1:] > end[:-1]])
+            begin, stop = first[new], end[np.concatenate([new[1:], new[:1]])]
+            each = np.searchsorted(begin, np.arange(len(counts) + 1) << 40)
+            begin, stop = begin & ((1 << 40) - 1), stop & ((1 << 40) - 1)
+            removed, hashes, kept = [], [], []
+            for a, b, i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), each[:-1].tolist(), each[1:].tolist(), strict=True):
+                pieces, at = [], a
+                for x, y in zip(begin[i:j].tolist(), stop[i:j].tolist(), strict=True):
+                    pieces.append(view[at : a + x])
+                    at = a + y
+                left = b"".join([*pieces, view[at:b]])
+                removed.append(b - a - len(left))
+                hashes.append(hashlib.sha256(left).hexdigest())
+                kept.append(left if keep else None)
+            spans = pa.ListArray.from_arrays(pa.array(each, pa.int32()), pa.StructArray.from_arrays([pa.array(begin, pa.int64()), pa.array(stop, pa.int64())], ["start", "end"]))
+            columns = [batch.column(0), pa.array(removed, pa.int64()), pa.array(np.diff(each), pa.int64()), pa.array(hashes, pa.string()), spans, pa.array(kept, pa.binary())]
+            yield pa.record_batch(columns, ["no", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
     return of
 
@@ -431,9 +497,8 @@ def remove_repeats(docs: DataFrame, span: int = 200, gram: int = 64, batch_bytes
     if common is None:  # no text is long enough
         none = F.lit(0).cast("long")
         return docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"), F.lit(None).cast("binary").alias("kept"))
-    hits = save(_hits(docs, _filter(common.select("gram").distinct()), span, gram).withColumn("no", F.monotonically_increasing_id()), "hits")
-    each = hits.where("text is not null").select("no", F.explode(F.arrays_zip("firsts", "lasts", "places", "stretches")).alias("x"))
-    each = each.select("no", F.col("x.firsts").alias("first"), F.col("x.lasts").alias("last"), F.col("x.places").alias("place"), F.col("x.stretches").alias("stretch"))
+    hits = save(_hits(docs, _filter(common.select("gram").distinct()), span, gram), "hits")
+    each = hits.where("place is not null").select("no", "first", "last", "place", "stretch")
     met = save(each.join(common, "stretch").select("no", "first", "last", "place", "gram", "stretch", "n", "lone"), "met")
     # of equal stretches one is enough for others to be compared with
     shown = met.where("n > 1 and lone").groupBy("gram", "stretch").agg(F.min(F.struct("no", "place")).alias("x")).select("x.*", "gram", F.lit(False).alias("single"))
@@ -447,6 +512,6 @@ def remove_repeats(docs: DataFrame, span: int = 200, gram: int = 64, batch_bytes
     runs = save(runs.groupBy("no").agg(F.collect_list(F.struct("start", "end")).alias("runs")), "runs")
     discard(met)
     cut = save(texts.join(runs, "no").mapInArrow(_cut(keep), CUT), "cut")
-    rest = hits.select("no", "doc_id", "n_bytes", "sha256").join(cut, "no", "left")
+    rest = hits.where("n_bytes is not null").select("no", "doc_id", "n_bytes", "sha256").join(cut, "no", "left")
     none = F.lit(0).cast("long")
     return rest.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "spans", "kept")

@@ -4,6 +4,7 @@ import uuid
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import queries, repeats
@@ -123,3 +124,36 @@ def test_parts_sample_every_window(monkeypatch):
     monkeypatch.setattr(repeats, "PART", 1000)
     runs = [(int(f) + at, int(last) + at) for at, part in repeats.parts(data, 200) for f, last in zip(*repeats.sampled(part, 200, 64)[1:3])]
     assert [x for a, b in runs for x in range(a, b + 1)] == list(range(4801))
+
+
+def test_short_texts_are_sampled_together(monkeypatch):
+    """Texts in a row are hashed at once and sampled as each would be alone."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcé "), int(n))) for n in rng.integers(0, 900, 300)] + ["", "x" * 5000, ""]
+    alone = []
+    for i, text in enumerate(texts):
+        for at, part in repeats.parts(text.encode(), 200):
+            place, first, last, key = repeats.sampled(part, 200, 64)
+            alone += zip([i] * len(place), (place + at).tolist(), (first + at).tolist(), (last + at).tolist(), key.tolist())
+    calls, hashes = [], repeats.gram_hashes
+    monkeypatch.setattr(repeats, "gram_hashes", lambda data, gram: calls.append(len(data)) or hashes(data, gram))
+    data, bounds = repeats.bytes_of(pa.array(["left out", *texts])[1:])
+    together = []
+    for row, at, part, inner in repeats.packs(data, bounds, 200):
+        place, first, last, key = repeats.sampled(part, 200, 64, inner)
+        own = repeats.text_of(place, inner)
+        back = at - inner[own]
+        together += zip((row + own).tolist(), (place + back).tolist(), (first + back).tolist(), (last + back).tolist(), key.tolist())
+    assert together == alone and len(calls) <= 1 + sum(len(t.encode()) for t in texts) // (repeats.PACK // 2)
+
+
+def test_cut_joins_runs_that_touch():
+    texts = ["abcdefghij", "é" * 6, "klmnopqrst"]
+    runs = [[(4, 6), (0, 2), (2, 3), (0, 1)], [(0, 12)], [(9, 10), (1, 5), (2, 4)]]
+    runs = pa.array([[{"start": a, "end": b} for a, b in r] for r in runs], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+    batch = pa.record_batch([pa.array([7, 8, 9]), pa.array(texts), runs], ["no", "text", "runs"])
+    (out,) = repeats._cut(True)([batch])
+    assert out.column("kept").to_pylist() == [b"dghij", b"", b"kpqrs"]
+    assert [[(x["start"], x["end"]) for x in r] for r in out.column("spans").to_pylist()] == [[(0, 3), (4, 6)], [(0, 12)], [(1, 5), (9, 10)]]
+    assert out.column("n_removed").to_pylist() == [5, 12, 5] and out.column("n_spans").to_pylist() == [2, 1, 2]
+    assert out.column("kept_sha256").to_pylist() == [hashlib.sha256(x).hexdigest() for x in (b"dghij", b"", b"kpqrs")]
